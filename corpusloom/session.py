@@ -20,6 +20,7 @@ def build_session(app: str = "corpusloom", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "loom-warehouse"))
         .getOrCreate()
