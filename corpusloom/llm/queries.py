@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("terms",)
+FAMILIES = ("splitting", "terms", "mixing")
 
 
 def _merge() -> Registry:
