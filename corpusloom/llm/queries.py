@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("splitting", "terms", "mixing")
+FAMILIES = ("splitting", "credentials", "terms", "leakage", "mixing", "subjects")
 
 
 def _merge() -> Registry:
