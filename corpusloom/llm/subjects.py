@@ -37,6 +37,8 @@ FUNCTION_WORDS = (
 LANGUAGES = [name for name, _ in FUNCTION_WORDS]
 _SETS = [frozenset(w.split()) for _, w in FUNCTION_WORDS]
 MIN_SHARE_OF_DOCS = 2000
+#: (cosine, lead) a sentence needs while the centroids settle, and afterwards.
+STRICT, FINAL = (0.35, 0.1), (0.22, 0.05)
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1|\Z)")
 _EXCERPT = re.compile(r"--- \S+:\d+-\d+ \(similarity")
@@ -180,23 +182,23 @@ def _collect(rows: DataFrame, run, k: int) -> dict[int, np.ndarray]:
 
 
 def assign(unit: np.ndarray, centroids: np.ndarray, low: float, margin: float) -> np.ndarray:
-    """Area of each sentence: the nearest centroid, or -1 below the bar or without a lead."""
+    """Area of each sentence: the nearest centroid, or -1 below the bar, without a lead over the
+    second, or where the last row, the centroid of stock remarks, is nearest."""
     cos = unit @ centroids.T
     best = cos.argmax(1)
-    top = np.take_along_axis(cos, best[:, None], 1)[:, 0]
-    if cos.shape[1] > 1:
-        second = np.partition(cos, -2, axis=1)[:, -2]
-        return np.where((top > low) & (top - second > margin), best, -1)
-    return np.where(top > low, best, -1)
+    top, second = np.take_along_axis(cos, best[:, None], 1)[:, 0], np.partition(cos, -2, axis=1)[:, -2]
+    return np.where((top > low) & (top - second > margin) & (best < len(centroids) - 1), best, -1)
 
 
 def _centroids(sums: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
-    """Unit centroids, less their common mean; areas without sentences keep their old one."""
+    """Unit centroids from sums and counts: of the areas, less their common mean, and in the last
+    row of the sentences about none. Rows without sentences keep their old centroid."""
     count = sums[:, -1:]
     mean = np.where(count > 0, sums[:, :-1] / np.maximum(count, 1), 0)
     have = count[:, 0] > 0
-    if have.any():
-        mean[have] -= mean[have].mean(0)
+    areas = have & (np.arange(len(sums)) < len(sums) - 1)
+    if areas.any():
+        mean[areas] -= mean[areas].mean(0)
     out = _unit(mean)
     if old is not None:
         out[~have] = old[~have]
@@ -204,7 +206,7 @@ def _centroids(sums: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
 
 
 def subject_areas(
-    docs: DataFrame, areas: DataFrame, labels: DataFrame, benchmark: DataFrame, share: float = 0.22, low: float = 0.22, margin: float = 0.05, rounds: int = 4
+    docs: DataFrame, areas: DataFrame, labels: DataFrame, benchmark: DataFrame, share: float = 0.22, rounds: int = 5
 ) -> DataFrame:
     """(doc_id, area). `areas` is the fixed list of areas. Null texts, ids and labels, and labels
     of unknown areas, are left out; repeated rows count once. Documents without own sentences
@@ -227,7 +229,7 @@ def subject_areas(
     for g in sizes:
         idf[g] = np.array([np.log(1 + sizes[g] / c) for h, _, c in known if h == g])
     rows = cut(sents.mapInArrow(_indexed(vocab, idf), INDEXED), "indexed-sentences")
-    got = latent.truncated_svd(rows.where(F.size("idx") > 0), {g: len(vocab[g]) for g in sizes}, rank=k + 2, centred=True)
+    got = latent.truncated_svd(rows.where(F.size("idx") > 0), {g: len(vocab[g]) for g in sizes}, rank=2 * k + 4, centred=True)
     vectors = {g: basis * idf[g][:, None] for g, (basis, _) in got.items()}
     if not vectors or not k:
         return spark.createDataFrame([], "doc_id long, area string")
@@ -242,16 +244,19 @@ def subject_areas(
     def seed(g: int, doc: np.ndarray, sums: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return part.column("label").to_numpy(zero_copy_only=False)[doc].astype(np.int64), _unit(sums - mean[g])
 
-    centroids = {g: _centroids(s) for g, s in _collect(labelled, _sums(vectors, k, seed), k).items()}
+    centroids = {g: _centroids(s) for g, s in _collect(labelled, _sums(vectors, k + 1, seed), k + 1).items()}
     sent_rows = rows.select("doc_id", "grp", "words", "lens")
-    for _ in range(rounds):
+    for step in range(rounds):
+        bar = STRICT if step < rounds - 2 else FINAL
         now = dict(centroids)
 
-        def move(g: int, doc: np.ndarray, sums: np.ndarray, part: pa.RecordBatch, now=now) -> tuple[np.ndarray, np.ndarray]:
+        def move(g: int, doc: np.ndarray, sums: np.ndarray, part: pa.RecordBatch, now=now, bar=bar) -> tuple[np.ndarray, np.ndarray]:
             unit = _unit(sums - mean[g])
-            return (assign(unit, now[g], low, margin) if g in now else np.full(len(doc), -1)), unit
+            area = assign(unit, now[g], *bar) if g in now else np.full(len(doc), -1)
+            return np.where(area < 0, k, area), unit
 
-        centroids |= {g: _centroids(s, now[g]) for g, s in _collect(sent_rows, _sums(vectors, k, move), k).items()}
+        moved = _collect(sent_rows, _sums(vectors, k + 1, move), k + 1)
+        centroids = {g: _centroids(moved[g], c) for g, c in now.items()}
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +264,7 @@ def subject_areas(
             for g, doc, sums, part in _parts(batch, vectors):
                 if g not in centroids:
                     continue
-                area = assign(_unit(sums - mean[g]), centroids[g], low, margin)
+                area = assign(_unit(sums - mean[g]), centroids[g], *FINAL)
                 hits = np.zeros((part.num_rows, k))
                 np.add.at(hits, (doc[area >= 0], area[area >= 0]), 1)
                 d, a = np.nonzero((hits > 0) & (hits >= share * hits.sum(1, keepdims=True)))
