@@ -62,6 +62,12 @@ def matrix(column: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
 
 
+def code_matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equally long byte vectors as a matrix."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1)
+
+
 def to_codes(x: np.ndarray) -> np.ndarray:
     """Vectors as signed bytes, scaled to their greatest element."""
     return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-12))).astype(np.int8)
@@ -99,7 +105,7 @@ class Forest:
             sample.setdefault(r["dim"], []).append(bytes(r[column]))
         rng, parts = np.random.default_rng(seed), {}
         for d in sorted(sample):
-            x = np.frombuffer(b"".join(sorted(sample[d])), kind).reshape(-1, d)
+            x = np.frombuffer(b"".join(sorted(sample[d])), kind).reshape(len(sample[d]), -1)[:, :d]
             x = from_codes(x) if kind is np.int8 else x
             values, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(d))
             spread = axes * np.sqrt(np.maximum(values, 1e-9))
@@ -118,17 +124,17 @@ class Forest:
 TREE_ROWS = "tree int, key long, id long, code binary"
 
 
-def tree_rows(forest: Forest, dims_of_codes: bool = False):
-    """Arrow map (id, dim, vec or code) to TREE_ROWS, one row a tree; tree = dim * 64 + number."""
+def tree_rows(forest: Forest, codes: bool = False):
+    """Arrow map (id, dim, vec or code) to TREE_ROWS, one row a tree; tree = dim * 64 + number. A
+    code may be longer than the dimension; its first bytes are hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                raw = matrix(part.column(2), int(d), np.int8 if dims_of_codes else np.float32)
-                code = raw if dims_of_codes else to_codes(raw)
-                for t, key in enumerate(forest.keys(from_codes(code), int(d))):
+                code = code_matrix(part.column(2)) if codes else to_codes(matrix(part.column(2), int(d)))
+                for t, key in enumerate(forest.keys(from_codes(code[:, :d]), int(d))):
                     tree = pa.array(np.full(len(key), int(d) * 64 + t, np.int32))
                     yield pa.RecordBatch.from_arrays([tree, pa.array(key), part.column("id"), binary_column(code)], ["tree", "key", "id", "code"])
 
@@ -159,7 +165,7 @@ def stretches(batches: Iterator[pa.RecordBatch], window: int, rows: int = ROWS)
                     if lo < len(i):
                         yield tree, k, i, c, lo, len(i)
                 tree, held, lo = int(t), [], 0
-            held.append((part.column("key").to_numpy(), part.column("id").to_numpy(), matrix(part.column("code"), tree // 64, np.int8)))
+            held.append((part.column("key").to_numpy(), part.column("id").to_numpy(), code_matrix(part.column("code"))))
             if sum(len(h[1]) for h in held) - lo >= rows + window:
                 k, i, c = joined()
                 hi = len(i) - window
@@ -172,16 +178,17 @@ def stretches(batches: Iterator[pa.RecordBatch], window: int, rows: int = ROWS)
             yield tree, k, i, c, lo, len(i)
 
 
-def blocks(x: np.ndarray, lo: int, hi: int, window: int, size: int = 256) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(first centre, last centre, first column, cosines) of the centres against their windows.
-    Cosines outside a centre's own window, and of a row with itself, are -2."""
+def blocks(x: np.ndarray, lo: int, hi: int, window: int, size: int = 256, stride: int = 1, left: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first centre, last centre, columns, cosines) of the centres against every stride-th row
+    of their windows. Cosines outside a centre's own window, and of a row with itself, are -2.
+    With `left`, the centres are its rows and the windows those of x."""
     for s in range(lo, hi, size):
         e = min(hi, s + size)
-        a, b = max(0, s - window), min(len(x), e + window)
-        cos = x[s:e] @ x[a:b].T
-        away = np.abs(np.arange(s, e)[:, None] - np.arange(a, b)[None, :])
+        columns = np.arange(max(0, s - window), min(len(x), e + window), stride)
+        cos = (x if left is None else left)[s:e] @ x[columns].T
+        away = np.abs(np.arange(s, e)[:, None] - columns[None, :])
         cos[(away == 0) | (away > window)] = -2
-        yield s, e, a, cos
+        yield s, e, columns, cos
 
 
 def near_pairs(window: int, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -192,9 +199,9 @@ def near_pairs(window: int, bar: float) -> Callable[[Iterator[pa.RecordBatch]],
         for _, _, ids, codes, lo, hi in stretches(batches, window):
             x = from_codes(codes)
             out = [np.zeros((0, 2), np.int64)]
-            for s, _, a, cos in blocks(x, lo, hi, window):
+            for s, _, columns, cos in blocks(x, lo, hi, window):
                 i, j = np.nonzero(cos >= bar)
-                i, j = ids[i + s], ids[j + a]
+                i, j = ids[i + s], ids[columns[j]]
                 out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0))
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

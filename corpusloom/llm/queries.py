@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("similar", "splitting", "credentials", "terms", "leakage", "mixing", "subjects")
+FAMILIES = ("similar", "splitting", "clusters", "credentials", "terms", "leakage", "mixing", "subjects")
 
 
 def _merge() -> Registry:

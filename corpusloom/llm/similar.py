@@ -54,7 +54,7 @@ def without_surplus_copies(vectors: DataFrame, keep: int) -> DataFrame:
     return tagged.join(crowded, ["dim", "same"], "left_anti").select("id", "dim", "vec").unionByName(first.select("id", "dim", "vec"))
 
 
-def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees: int = 6, window: int = 16, seed: int = 11) -> DataFrame:
+def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees: int = 7, window: int = 64, seed: int = 11) -> DataFrame:
     """(a, b, cosine), a < b: pairs with a cosine of at least `bar` each of which is among the
     other's k most similar. Equal cosines are ordered by the smaller id. `vectors` is
     (id, dim, vec). Every neighbour that could push a pair out of a list is itself above the bar,
@@ -70,7 +70,7 @@ def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees:
     return listed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("cosine").alias("cosine")).where("n = 2").select("a", "b", "cosine")
 
 
-def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, trees: int = 8, share: float = 0.03, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, trees: int = 8, share: float = 0.08, seed: int = 11) -> DataFrame:
     """(id, rank, neighbour, cosine): the k most similar vectors of every vector whose id is
     divisible by `divisor`, searched among all. Each tree is ascended until a `share` of the
     collection has been seen (at least 512 rows): without structure in the data that share, not
