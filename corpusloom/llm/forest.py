@@ -93,9 +93,10 @@ class Forest:
         self.parts = parts
 
     @classmethod
-    def fit(cls, vectors: DataFrame, trees: int, seed: int, column: str = "vec", kind: type = np.float32) -> Forest:
-        """Fit on rows chosen by the hash of their id, at most about FIT_ROWS a dimension."""
-        counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
+    def fit(cls, vectors: DataFrame, trees: int, seed: int, column: str = "vec", kind: type = np.float32, counts: dict[int, int] | None = None) -> Forest:
+        """Fit on rows chosen by the hash of their id, at most about FIT_ROWS a dimension. `counts`
+        are the rows of each dimension, where they are known already."""
+        counts = counts or rows_by_dim(vectors)
         keep = F.lit(False)
         for d, n in counts.items():
             step = max(1, -(-n // FIT_ROWS))
@@ -121,6 +122,11 @@ class Forest:
         return [((x @ planes) > cut).astype(np.int64) @ weights for planes, cut in self.parts[dim]]
 
 
+def rows_by_dim(vectors: DataFrame) -> dict[int, int]:
+    """Number of rows of each dimension."""
+    return {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
+
+
 TREE_ROWS = "tree int, key long, id long, code binary"
 
 
