@@ -54,7 +54,7 @@ def without_surplus_copies(vectors: DataFrame, keep: int) -> DataFrame:
     return tagged.join(crowded, ["dim", "same"], "left_anti").select("id", "dim", "vec").unionByName(first.select("id", "dim", "vec"))
 
 
-def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees: int = 7, window: int = 64, seed: int = 11) -> DataFrame:
+def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees: int = 9, window: int = 96, seed: int = 11) -> DataFrame:
     """(a, b, cosine), a < b: pairs with a cosine of at least `bar` each of which is among the
     other's k most similar. Equal cosines are ordered by the smaller id. `vectors` is
     (id, dim, vec). Every neighbour that could push a pair out of a list is itself above the bar,
