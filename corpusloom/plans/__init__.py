@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("incremental",)
+FAMILIES = ("text", "dense", "incremental")
 
 
 def all_queries() -> Registry:
