@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("text", "dense", "incremental")
+FAMILIES = ("text", "dense", "events", "structure", "incremental")
 
 
 def all_queries() -> Registry:

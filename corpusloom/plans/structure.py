@@ -1,0 +1,242 @@
+"""Queries on file graphs, trees, catalogs, diagnostics and holographic vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import diagnostics, graph, holographic
+from corpusloom.plans.dense import collection
+from corpusloom.registry import Registry
+from corpusloom.session import table
+
+REGISTRY = Registry()
+PATHS = r"""WITH p AS (SELECT DISTINCT replace(path, '\', '/') AS path FROM chunks WHERE path IS NOT NULL),
+l AS (SELECT path AS source, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS target FROM p)
+"""
+
+
+@REGISTRY.query(
+    "file_graph_nodes",
+    PATHS
+    + r""", t AS (SELECT path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS e FROM p)
+SELECT path AS name, 'file' AS kind, CASE WHEN e IN ('rs', 'c', 'py', 'ts') THEN 'Code' WHEN e = 'md' THEN 'Document' WHEN e IN ('json', 'toml', 'yaml') THEN 'Config' ELSE 'Gist' END AS type,
+CASE WHEN e IN ('rs', 'c', 'py', 'ts') THEN 1 WHEN e = 'md' THEN 2 WHEN e IN ('json', 'toml', 'yaml') THEN 3 ELSE 0 END::INT AS grp FROM t UNION ALL SELECT DISTINCT target, 'directory', 'Directory', 0 FROM l""",
+)
+def file_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_nodes(table(spark, sf_dir, "chunks").select("path"))
+
+
+@REGISTRY.query("file_graph_links", PATHS + "SELECT source, target FROM l")
+def file_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_links(table(spark, sf_dir, "chunks").select("path"))
+
+
+@REGISTRY.query("graph_neighbours", PATHS + "SELECT name, count(*) AS degree FROM (SELECT source AS name, target AS other FROM l UNION SELECT target, source FROM l) GROUP BY name")
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(graph.file_links(table(spark, sf_dir, "chunks").select("path")))
+
+
+TREE = (
+    PATHS
+    + r""", cs AS (SELECT DISTINCT list_filter(string_split(path, '/'), lambda c: c <> '' AND c <> '.') AS cs FROM p), d AS (SELECT cs, unnest(generate_series(1, len(cs)))::INT AS depth FROM cs),
+tree AS (SELECT DISTINCT array_to_string(cs[1:depth], '/') AS node, CASE WHEN depth = 1 THEN '.' ELSE array_to_string(cs[1:depth-1], '/') END AS up, depth FROM d)
+"""
+)
+
+
+@REGISTRY.query("directory_tree", TREE + "SELECT node, up, depth FROM tree")
+def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.directory_tree(table(spark, sf_dir, "chunks").select("path"))
+
+
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, digest): newest content hash of each file of the DAG, by catalog root."""
+    rows = table(spark, sf_dir, "dag_nodes").where("node_type = 'file' AND path IS NOT NULL AND content_hash IS NOT NULL")
+    path = F.concat(F.lit("c"), F.col("catalog_id").cast("string"), F.lit("/"), F.regexp_replace(T.normal_path("path"), r"^(\./)+", ""))
+    return rows.groupBy(path.alias("path")).agg(F.max(F.lower("content_hash")).alias("digest"))
+
+
+@REGISTRY.query("merkle_digests")
+def merkle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.merkle_levels(file_digests(spark, sf_dir))
+
+
+@REGISTRY.query(
+    "catalog_totals",
+    r"""WITH o AS (SELECT catalog_id, chunk_id, max(path) AS path, max(strlen(text)) AS bytes FROM chunks WHERE chunk_id IS NOT NULL GROUP BY ALL)
+SELECT catalog_id, count(*) AS chunks, count(DISTINCT regexp_replace(replace(path, '\', '/'), '^\./', '')) AS files, coalesce(sum(bytes), 0)::BIGINT AS bytes,
+coalesce(sum(CASE WHEN bytes IS NOT NULL THEN greatest(1, ceil(bytes / 3.2)) END), 0)::BIGINT AS tokens FROM o GROUP BY catalog_id""",
+)
+def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.catalog_totals(table(spark, sf_dir, "chunks"))
+
+
+@REGISTRY.query(
+    "catalog_integrity",
+    """WITH o AS (SELECT DISTINCT chunk_id, catalog_id, uncompressed_len, strlen(text) AS bytes, md5(text) AS digest, content_hash FROM chunks WHERE text IS NOT NULL)
+SELECT catalog_id, count(*) FILTER (uncompressed_len IS NULL OR uncompressed_len <> bytes) AS wrong_len, count(*) AS n FROM o GROUP BY catalog_id""",
+)
+def catalog_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks whose recorded length is not that of their text."""
+    rows = table(spark, sf_dir, "chunks").where("text IS NOT NULL")
+    rows = rows.select("chunk_id", "catalog_id", "uncompressed_len", F.octet_length("text").alias("bytes"), F.md5("text").alias("digest"), "content_hash").distinct()
+    wrong = F.col("uncompressed_len").isNull() | (F.col("uncompressed_len") != F.col("bytes"))
+    return rows.groupBy("catalog_id").agg(F.sum(wrong.cast("long")).alias("wrong_len"), F.count(F.lit(1)).alias("n"))
+
+
+@REGISTRY.query(
+    "dirty_nodes",
+    """WITH o AS (SELECT DISTINCT catalog_id, node_id, arrival_seq, content_hash, observed_at FROM dag_nodes WHERE content_hash IS NOT NULL),
+f AS (SELECT catalog_id, node_id, arg_min(lower(content_hash), observed_at) AS a, arg_max(lower(content_hash), observed_at) AS b FROM o GROUP BY ALL)
+SELECT catalog_id, count(*) AS nodes, count(*) FILTER (a <> b) AS dirty FROM f GROUP BY catalog_id""",
+)
+def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each catalog whose newest hash is not their first."""
+    rows = table(spark, sf_dir, "dag_nodes").where("content_hash IS NOT NULL")
+    ends = rows.groupBy("catalog_id", "node_id").agg(F.min_by(F.lower("content_hash"), "observed_at").alias("a"), F.max_by(F.lower("content_hash"), "observed_at").alias("b"))
+    return ends.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("dirty"))
+
+
+@REGISTRY.query(
+    "stitch_summary",
+    """WITH o AS (SELECT DISTINCT catalog_id, node_id, node_type, path, content_hash, observed_at FROM dag_nodes WHERE node_type = 'leaf' AND content_hash IS NOT NULL AND path IS NOT NULL),
+f AS (SELECT catalog_id, node_id, arg_max(path, (observed_at, path)) AS path, count(DISTINCT lower(content_hash)) AS versions FROM o GROUP BY ALL),
+r AS (SELECT catalog_id, try_cast(regexp_extract(path, '#([0-9]+)-([0-9]+)$', 2) AS BIGINT) - try_cast(regexp_extract(path, '#([0-9]+)-([0-9]+)$', 1) AS BIGINT) AS bytes FROM f WHERE versions > 1)
+SELECT catalog_id, count(*) AS leaves, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM r GROUP BY catalog_id""",
+)
+def stitch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that changed, and the bytes they span, per catalog."""
+    rows = table(spark, sf_dir, "dag_nodes").where("node_type = 'leaf' AND content_hash IS NOT NULL AND path IS NOT NULL")
+    leaves = rows.groupBy("catalog_id", "node_id").agg(F.max_by("path", F.struct("observed_at", "path")).alias("path"), F.count_distinct(F.lower("content_hash")).alias("versions")).where("versions > 1")
+    at = lambda i: F.regexp_extract("path", r"#([0-9]+)-([0-9]+)$", i).try_cast("long")
+    return leaves.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum(at(2) - at(1)), F.lit(0)).alias("bytes"))
+
+
+@REGISTRY.query(
+    "layer_pages",
+    """WITH f AS (SELECT DISTINCT catalog_id AS file, container_bytes AS size FROM catalog_meta WHERE container_bytes > 0), p AS (SELECT file, size, unnest(generate_series(0, ceil(size / 16384.0)::INT - 1))::INT AS page_no FROM f)
+SELECT file, page_no, page_no::BIGINT * 16384 AS start, least(16384, size - page_no::BIGINT * 16384)::BIGINT AS length FROM p""",
+)
+def layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "catalog_meta").select(F.col("catalog_id").alias("file"), F.col("container_bytes").alias("size")).distinct()
+    return graph.layer_pages(files, 16384)
+
+
+CHAIN = """WITH RECURSIVE o AS (SELECT DISTINCT catalog_id, run_id, up_to_seq FROM sync_runs WHERE up_to_seq IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY run_id) AS r FROM (SELECT catalog_id, run_id, sha256(up_to_seq::VARCHAR) AS d FROM o)),
+c AS (SELECT catalog_id, 0::BIGINT AS r, '' AS root FROM (SELECT DISTINCT catalog_id FROM n) UNION ALL SELECT c.catalog_id, n.r, sha256(c.root || n.d) FROM c JOIN n ON n.catalog_id = c.catalog_id AND n.r = c.r + 1)
+SELECT catalog_id, arg_max(root, r) AS root FROM c GROUP BY catalog_id"""
+
+
+@REGISTRY.query("running_chain", CHAIN)
+def running_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash chain over the runs of each catalog, whose number is that of its processing runs."""
+    runs = table(spark, sf_dir, "sync_runs").where("up_to_seq IS NOT NULL").select("catalog_id", "run_id", F.sha2(F.col("up_to_seq").cast("string"), 256).alias("d")).distinct()
+    return graph.running_chain(runs, "catalog_id", "run_id", "d")
+
+
+def diagnostic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compiler output as JSON lines, one for each patch whose status is known: rejected ones are
+    errors, proposed ones warnings, verified ones build noise."""
+    p = table(spark, sf_dir, "code_patches").where("patch_id IS NOT NULL AND relative_path IS NOT NULL").select("patch_id", "catalog_id", "relative_path", "status").distinct()
+    level = F.when(F.col("status") == "rejected", "error").otherwise("warning")
+    span = lambda primary, line: F.struct(F.lit(primary).alias("is_primary"), F.col("relative_path").alias("file_name"), line.cast("int").alias("line_start"), F.lit(5).alias("column_start"))
+    message = F.struct(F.format_string("problem %d", "patch_id").alias("message"), level.alias("level"), F.array(span(False, F.col("patch_id") % 7), span(True, F.col("patch_id") % 11)).alias("spans"))
+    reason = F.when(F.col("status") == "verified", "build-script-executed").otherwise("compiler-message")
+    return p.select("catalog_id", F.to_json(F.struct(reason.alias("reason"), message.alias("message"))).alias("value"))
+
+
+DIAG = """WITH p AS (SELECT DISTINCT patch_id, catalog_id, relative_path, status FROM code_patches WHERE patch_id IS NOT NULL AND relative_path IS NOT NULL),
+d AS (SELECT catalog_id, 'problem ' || patch_id AS message, CASE WHEN status = 'rejected' THEN 'error' ELSE 'warning' END AS level, relative_path AS file_name, (patch_id % 11)::INT AS line_start, 5::INT AS column_start FROM p WHERE status IS DISTINCT FROM 'verified')
+"""
+
+
+@REGISTRY.query("primary_spans", DIAG + "SELECT * FROM d")
+def primary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.diagnostics(diagnostic_lines(spark, sf_dir))
+
+
+@REGISTRY.query(
+    "verity_scores",
+    DIAG + "SELECT catalog_id, round(CASE WHEN count(level) = 0 THEN 1.0 WHEN count(*) FILTER (level = 'error') > 0 THEN 0.0 ELSE greatest(0.1, 1 - 0.1 * count(level)) END, 6)::DOUBLE AS score FROM d GROUP BY catalog_id",
+)
+def verity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.verity(diagnostics.diagnostics(diagnostic_lines(spark, sf_dir)), "catalog_id")
+
+
+@REGISTRY.query("error_prompts")
+def error_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.render_errors(diagnostics.diagnostics(diagnostic_lines(spark, sf_dir)), "catalog_id")
+
+
+@REGISTRY.query(
+    "danger_rules",
+    r"""WITH p AS (SELECT DISTINCT patch_id, lower(regexp_extract(replace(relative_path, '\', '/'), '\.([^./]+)$', 1)) AS lang, content FROM code_patches WHERE content IS NOT NULL AND relative_path IS NOT NULL)
+SELECT lang, count(*) AS patches, count(*) FILTER (CASE lang WHEN 'rs' THEN contains(content, 'unsafe ') OR contains(content, '.unwrap()') OR contains(content, 'panic!(') WHEN 'py' THEN contains(content, 'eval(') OR contains(content, 'exec(') OR contains(content, 'os.system(')
+ WHEN 'c' THEN contains(content, 'strcpy(') OR contains(content, 'gets(') OR contains(content, 'sprintf(') WHEN 'sh' THEN contains(content, 'rm -rf') OR contains(content, 'eval ') OR contains(content, 'curl | sh') ELSE false END) AS dangerous FROM p GROUP BY lang""",
+)
+def danger_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "code_patches").where("content IS NOT NULL AND relative_path IS NOT NULL").select("patch_id", T.extension("relative_path").alias("lang"), "content").distinct()
+    found = p.select("lang", F.size(diagnostics.dangers(F.col("lang"), F.col("content"))).alias("n"))
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("patches"), F.sum((F.col("n") > 0).cast("long")).alias("dangerous"))
+
+
+@REGISTRY.query("patch_replies")
+def patch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches as JSON replies in prose, extracted, parsed and checked again."""
+    p = table(spark, sf_dir, "code_patches").where("patch_id IS NOT NULL").select("patch_id", "relative_path", "content").distinct()
+    reply = F.concat(F.lit("Here is the patch:\n```json\n"), F.to_json(F.struct(F.col("relative_path").alias("file"), F.col("content").alias("code"))), F.lit("\n```\n"))
+    parsed = p.select("patch_id", diagnostics.parsed_patch(diagnostics.extract_object(reply)).alias("x"))
+    return parsed.select("patch_id", "x.path", F.length("x.content").alias("chars"), "x.safe")
+
+
+@REGISTRY.query("request_payloads", "SELECT DISTINCT doc_id, md5(text) AS asked FROM documents WHERE text IS NOT NULL")
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chat payloads: what each asks comes back from the JSON."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").distinct()
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    payload = F.to_json(F.struct(F.array(message("system", F.lit("be brief")), message("user", F.col("text")), message("assistant", F.lit("ok"))).alias("messages")))
+    return docs.select("doc_id", F.md5(diagnostics.asked_text(payload)).alias("asked"))
+
+
+@REGISTRY.query(
+    "circular_bind",
+    """WITH v AS (SELECT DISTINCT vec_id AS id, embedding AS v FROM embeddings), k AS (SELECT v AS k FROM v WHERE id = 0)
+SELECT id, pos::INT AS pos, round(list_sum(list_transform(generate_series(0, 63), lambda j: k[j + 1]::DOUBLE * v[(pos - j + 64) % 64 + 1]::DOUBLE)), 6) AS x FROM v, k, generate_series(0, 63) g(pos)""",
+)
+def circular_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = collection(spark, sf_dir)
+    key = v.where("id = 0").select(F.col("vector").alias("k"))  # one row
+    bound = v.join(F.broadcast(key)).select("id", holographic.bind(F.col("k"), F.col("vector")).alias("b"))
+    return bound.select("id", F.posexplode("b").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@REGISTRY.query("superposition_recall")
+def superposition_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall from superpositions of growing size; mean cosine falls as 1 / sqrt(k)."""
+    from corpusloom.functions.vectors import normalized
+
+    v = collection(spark, sf_dir).select(F.col("id").alias("n"), F.format_string("src/module_%d/file_%d.rs", F.floor(F.col("id") / 20), F.col("id")).alias("path"), normalized(F.col("vector")).alias("vector"))
+    out = holographic.superposition_recall(v, [1, 2, 5, 10, 20], 64)
+    return out.select("k", F.round("mean_cosine", 6).alias("mean_cosine"), "accuracy")
+
+
+@REGISTRY.query("surprise_gists")
+def surprise_gists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gist of each label's vectors, in id order, skipping what it knows already."""
+    v = collection(spark, sf_dir).select(F.col("label").cast("long").alias("label"), "id", F.col("vector").cast("array<double>").alias("vector"), F.format_string("l%d/f%d", "label", "id").alias("path"))
+    out = holographic.gist_fold(v, "label", "id")
+    return out.select(F.col("key").alias("label"), "kept", F.transform("gist", lambda x: F.round(x, 6)).alias("gist"))
+
+
+@REGISTRY.query("watermarked")
+def watermarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = collection(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    return v.select("id", F.transform(holographic.watermark_bias(F.col("vector"), "corpus"), lambda x: F.round(x, 6)).alias("marked"))
+
+
+@REGISTRY.query("path_directions")
+def path_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "chunks").where("path IS NOT NULL").select(T.normal_path("path").alias("path")).distinct()
+    return paths.select("path", F.transform(holographic.path_direction(F.col("path"), 16), lambda x: F.round(x, 6)).alias("direction"))
