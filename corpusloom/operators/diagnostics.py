@@ -123,7 +123,7 @@ def asked_text(payload: Column) -> Column:
     text blocks joined by line feeds; null without either."""
     v = F.try_parse_json(payload)
     messages = F.from_json(payload, "messages array<struct<role:string,content:string>>")["messages"]
-    last = F.element_at(F.filter(messages, lambda m: m["role"] == "user"), -1)["content"]
+    last = F.try_element_at(F.filter(messages, lambda m: m["role"] == "user"), F.lit(-1))["content"]
     blocks = F.from_json(last, "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     return F.coalesce(F.try_variant_get(v, "$.prompt", "string"), F.when(last.startswith("[") & F.exists(blocks, lambda b: b["type"] == "text"), joined).otherwise(last))

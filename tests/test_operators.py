@@ -1,0 +1,186 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import vectors as V
+from corpusloom.operators import dense, diagnostics, graph, holographic, live, search, state
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    rows = df.select(V.normalized(F.col("a")).alias("n"), V.true_cosine(F.col("a"), F.col("b")).alias("c"), V.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert rows[0]["n"] == [0.6, 0.8] and rows[1]["n"] == [0.0, 0.0]
+    assert rows[0]["c"] == pytest.approx(0.6) and rows[1]["c"] == 0
+
+
+def test_ternary(spark):
+    df = spark.createDataFrame([([1, -1, 1, 0], [1, 1, -1, 0])], "a array<int>, b array<int>")
+    assert df.select(V.ternary_dot(F.col("a"), F.col("b"))).first()[0] == -1
+
+
+def test_dense_top_breaks_ties_and_skips_bad(spark):
+    v = spark.createDataFrame([(5, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [float("nan"), 0.0]), (4, None), (7, [0.0, 1.0]), (8, [1.0])], "id long, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "q long, vector array<float>")
+    assert [(r["id"], r["rank"]) for r in search.dense_top(v, q, 2).orderBy("rank").collect()] == [(3, 1), (5, 2)]
+
+
+def test_budget_fold(spark):
+    rows = [("q", i + 1, s, f"c{i}", p, a, b, t) for i, (s, p, a, b, t) in enumerate([(1.0, "x", 1, 10, 50), (0.9, "x", 8, 12, 10), (0.8, "y", 1, 5, 90), (0.7, "z", 1, 5, 40), (0.5, "w", 1, 5, 1)])]
+    cand = spark.createDataFrame(rows, "q string, rank int, score double, chunk string, path string, line_start int, line_end int, tokens int")
+    r = search.budget_fold(cand, "q", token_budget=100).first()
+    assert [a["chunk"] for a in r["accepted"]] == ["c0", "c3"] and r["spent"] == 90 and r["dropped"] == 1
+    top = search.budget_fold(cand, "q", max_chunks=1).first()
+    assert len(top["accepted"]) == 1 and top["dropped"] == 3
+    none = search.budget_fold(cand, "q", threshold=1.01).first()
+    assert none["accepted"] == [] and none["dropped"] == 0
+
+
+def test_render(spark):
+    cand = spark.createDataFrame([("q", 1, 0.9, "c", "a.rs", 1, 2, 3)], "q string, rank int, score double, chunk string, path string, line_start int, line_end int, tokens int")
+    chunks = spark.createDataFrame([("c", "body")], "chunk string, text string")
+    text = search.render_context(search.budget_fold(cand, "q"), chunks, "q").first()["context"]
+    assert "--- a.rs:1-2 (similarity 0.900) ---\nbody" in text
+    empty = search.render_context(search.budget_fold(cand, "q", threshold=2.0), chunks, "q").first()["context"]
+    assert empty == ""
+
+
+def test_hash_embeddings_are_unit(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha", "a/x.rs"), (2, "beta gamma", "b/y.rs"), (3, "", "c.rs"), (4, None, None)], "doc_id long, text string, path string")
+    rows = dense.hash_embeddings(docs, 64, path="path").collect()
+    for k in (1, 2):
+        assert sum(r["value"] ** 2 for r in rows if r["key"] == k) == pytest.approx(1)
+
+
+def test_kmeans_finds_groups(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((5, 16))
+    rows = [(i, (centres[i % 5] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(300)]
+    rows = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
+    _, parts = dense.kmeans(spark.createDataFrame(rows, "id long, vector array<double>"), 20)
+    got = {r["id"]: r["part"] for r in parts.collect()}
+    assert all(len({i % 5 for i in got if got[i] == p}) == 1 for p in set(got.values()))
+
+
+def test_live_view(spark):
+    base = spark.createDataFrame([("a", "old"), ("b", "keep"), ("c", "gone")], "path string, text string")
+    log = spark.createDataFrame([("a", 1, "update", "x"), ("a", 2, "update", "new"), ("c", 3, "delete", None), ("d\\e", 4, "update", "fresh"), (None, 5, "update", "z"), ("f", 6, "update", "")], "path string, seq long, op string, text string")
+    rows = {(r["path"], r["text"], r["origin"]) for r in live.live_view(base, live.latest_edits(log)).collect()}
+    assert rows == {("b", "keep", "base"), ("a", "new", "delta"), ("d/e", "fresh", "delta")}
+
+
+def test_debounce_boundary(spark):
+    t = spark.createDataFrame([("p", 1, 0), ("p", 2, 499), ("p", 3, 999), ("p", 4, 1000)], "path string, seq long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    assert [r["touches"] for r in live.debounced(t, 500).orderBy("session").collect()] == [2, 2]
+
+
+def test_heat(spark):
+    log = [(g, i) for g in range(10) for i in (1, 2)] + [(g, 3) for g in range(10, 13)]
+    h = {r["item"]: r["heat"] for r in live.heat(spark.createDataFrame(log, "generation long, item long")).collect()}
+    assert max(h.values()) == 1.0 and h[1] == pytest.approx(h[2]) and h[2] > h[3]
+    recent = live.heat(spark.createDataFrame([(g, 1) for g in range(5)] + [(g, 2) for g in range(5, 8)], "generation long, item long"), 0.5)
+    assert {r["item"]: r["heat"] for r in recent.collect()}[2] == 1.0
+
+
+def test_ema_matches_a_loop_with_a_hot_key(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0 if i % 3 else i % 5, i, float(rng.random())) for i in range(400)]
+    got = {r["k"]: r["ema"] for r in live.ema(spark.createDataFrame(rows, "k long, seq long, x double"), "k", "seq", "x", 0.1, 7).collect()}
+    want = {}
+    for k, _, x in rows:
+        want[k] = want.get(k, 0.0) + 0.1 * (x - want.get(k, 0.0))
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def log(spark, rows):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "device long, seq long, op string, block long, bytes long")
+
+
+def test_lru(spark):
+    mib = 1 << 20
+    out = state.lru_evictions(log(spark, [("add", i, mib) for i in range(5)]), 2 * mib).collect()
+    assert len(out) == 3 and out[-1]["used"] <= 2 * mib
+    first = state.lru_evictions(log(spark, [("add", 1, 1), ("add", 2, 1), ("add", 3, 1), ("access", 1, 0), ("add", 4, 1)]), 3).first()
+    assert first["evicted"] == 2
+
+
+def test_allocator(spark):
+    out = state.allocator_trace(log(spark, [("alloc", 0, 256), ("alloc", 1, 256), ("free", 0, 0), ("alloc", 2, 128)]), 1024).orderBy("seq").collect()
+    assert [r["offset"] for r in out] == [0, 256, None, 0] and out[-1]["used"] == 384
+
+
+def test_thermal_and_schedule(spark):
+    df = spark.createDataFrame([(79.0, 100.0), (80.0, 10.0), (70.0, 150.0), (50.0, 50.0)], "t double, w double")
+    assert [r[0] for r in df.select(state.thermal_state(F.col("t"), F.col("w"))["state"]).collect()] == ["throttled", "critical", "throttled", "normal"]
+    plan = state.prefetch_schedule(spark.createDataFrame([("m", 4)], "model string, n int")).collect()
+    assert {(r["step"], r["action"], r["layer"]) for r in plan if r["step"] == 2} == {(2, "prefetch", 3), (2, "evict", 0)}
+
+
+def test_holographic_round_trip():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(256)
+    x /= np.linalg.norm(x)
+    k = holographic.path_key("src/a.rs", 256)
+    back = holographic.correlate(k, holographic.convolve(k, x))
+    assert np.linalg.norm(k) == pytest.approx(1)
+    assert back @ x / np.linalg.norm(back) > 0.999
+    assert abs(k @ holographic.path_key("src/b.rs", 256)) < 0.25
+
+
+def test_superposition_falls_as_root(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20):
+        v = rng.standard_normal(128)
+        rows.append((i, f"p/{i}", (v / np.linalg.norm(v)).tolist()))
+    got = {r["k"]: r["mean_cosine"] for r in holographic.superposition_recall(spark.createDataFrame(rows, "n long, path string, vector array<double>"), [1, 5, 20], 128).collect()}
+    assert got[1] == pytest.approx(1) and all(abs(got[k] - 1 / math.sqrt(k)) < 0.12 for k in (5, 20))
+
+
+def test_gist_fold(spark):
+    rows = spark.createDataFrame([(1, 0, [0.5] * 4, "p"), (1, 1, [0.05] * 4, "p")], "g long, i long, vector array<double>, path string")
+    r = holographic.gist_fold(rows, "g", "i").first()
+    assert r["kept"] == 1 and r["gist"] == pytest.approx([0.05] * 4)
+
+
+def test_merkle_changes_only_above_an_edit(spark):
+    def run(rows):
+        return {r["node"]: r["digest"] for r in graph.merkle_levels(spark.createDataFrame(rows, "path string, digest string")).collect()}
+
+    a, b = run([("s/x/1", "p"), ("s/y/2", "q")]), run([("s/x/1", "p"), ("s/y/2", "r")])
+    assert a["s/x"] == b["s/x"] and a["s/y"] != b["s/y"] and a["s"] != b["s"]
+    assert run([]) == {}
+
+
+def test_diagnostics(spark):
+    line = '{"reason":"compiler-message","message":{"message":"m","level":"error","spans":[{"is_primary":false,"file_name":"a","line_start":1,"column_start":2},{"is_primary":true,"file_name":"b","line_start":3,"column_start":4}]}}'
+    bare = '{"reason":"compiler-message","message":{"message":"n","level":"warning","spans":[]}}'
+    d = diagnostics.diagnostics(spark.createDataFrame([("t", line), ("t", bare), ("u", bare), ("t", "no json"), ("t", None)], "target string, value string"))
+    rows = {r["message"]: r for r in d.where("target = 't'").collect()}
+    assert rows["m"]["file_name"] == "b" and rows["n"]["file_name"] is None
+    assert {r["target"]: r["score"] for r in diagnostics.verity(d, "target").collect()} == {"t": 0.0, "u": 0.9}
+    assert "--> b:3:4" in diagnostics.render_errors(d, "target").first()["prompt"]
+
+
+def test_replies_and_paths(spark):
+    assert diagnostics.first_object('x {"a": "}\\"{", "b": {"c": 1}} y') == '{"a": "}\\"{", "b": {"c": 1}}'
+    assert diagnostics.first_object("none") is None
+    paths = ["a/b.rs", "/etc/x", "../x", "a/../../x", "C:\\x", "a/../b", "", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(diagnostics.safe_path(F.col("p")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [True, False, False, False, False, True, False, False]
+
+
+def test_requests(spark):
+    cases = [
+        ('{"prompt":"p"}', "p"),
+        ('{"messages":[{"role":"user","content":"one"},{"role":"assistant","content":"x"},{"role":"user","content":"two"}]}', "two"),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}]}', "a\nb"),
+        ('{"messages":[]}', None),
+        ("nonsense", None),
+    ]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "p string").select(diagnostics.asked_text(F.col("p")).alias("a")).collect()
+    assert [r["a"] for r in rows] == [w for _, w in cases]
+    assert diagnostics.injected_payload('{"messages":[{"role":"user","content":"q"}]}', "ctx").startswith('{"messages": [{"role": "system", "content": "ctx"}')
+    assert diagnostics.injected_payload('{"prompt":"q"}', "ctx") == '{"prompt": "ctx\\nq"}'
+    assert diagnostics.injected_payload("bad", "ctx") == "bad"
