@@ -164,16 +164,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def fit(passages: DataFrame, items: Items, rank: int = 64, max_share: float = 0.1) -> Model:
-    """Weights and latent space from all passages. Words in more than max_share of the passages
-    get weight 0. With no passages at all the items' own rows stand for the corpus."""
+def fit(passages: DataFrame, items: Items, rank: int = 64) -> Model:
+    """Weights and latent space from all passages. No word is dropped for being frequent: an item
+    that leaked into a third of all documents makes its own words frequent. With no passages at
+    all the items' own rows stand for the corpus."""
     width = len(items.vocabulary)
     counted = passages.selectExpr("explode(idx) AS w").groupBy("w").count().collect()  # a row a word of the items
     n = passages.count()
     df = np.zeros(width)
     for r in counted:
         df[r["w"]] = r["count"]
-    weights = np.where(df <= max(max_share * n, 5), np.log(1 + max(n, 1) / np.maximum(df, 1)), 0.0)
+    weights = np.log(1 + max(n, 1) / np.maximum(df, 1))
     spark_weights = weights.astype(np.float32)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
