@@ -116,6 +116,10 @@ class Forest:
                 parts[d].append((planes, np.median(x @ planes, axis=0).astype(np.float32)))
         return cls(parts)
 
+    def some(self, first: int, count: int) -> Forest:
+        """A forest of `count` of the trees, from number `first`."""
+        return Forest({d: trees[first : first + count] for d, trees in self.parts.items()})
+
     def keys(self, x: np.ndarray, dim: int) -> list[np.ndarray]:
         """For each tree the bit strings of the rows, as non-negative 64-bit integers."""
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
