@@ -87,7 +87,9 @@ def defines_pattern(symbol: str) -> str:
 
 def defines(text: Column | str, symbol: str) -> Column:
     """Whether any line of the text defines the symbol, without regard to case."""
-    return F.exists(F.split(F.lower(_column(text)), "\n"), lambda line: line.rlike(defines_pattern(symbol)))
+    low = F.lower(_column(text))
+    # Most texts do not have the symbol at all; a plain search settles them before any pattern runs.
+    return low.contains(symbol.lower()) & F.exists(F.split(low, "\n"), lambda line: line.rlike(defines_pattern(symbol)))
 
 
 def defined_symbols(text: Column | str) -> Column:
