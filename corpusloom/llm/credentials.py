@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import re
 import urllib.parse
 from collections.abc import Iterator
@@ -30,13 +31,6 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 3
 MASK = "[REDACTED]"
 
-#: A line can hold a plain secret only if its lower-cased form has one of these.
-TRIGGERS = (
-    "pass", "pwd", "_pw", "secret", "token", "key", "cred", "auth", "bearer", "basic ", "login", "log in", "logged in",
-    "sign in", "signed in", "contrase", "mot_de", "motde", "kennwort", "clave", "session", "cookie", "jwt", "unlock",
-    "activation", "licens", "licenc", "sig=", "signature=", "code=", "://",
-)
-
 _STRONG = (
     "password", "passwd", "passwort", "passphrase", "pass_phrase", "passcode", "pass", "pwd", "pw", "pin_code", "secret", "secret_key",
     "api_key", "apikey", "api_token", "access_token", "auth_token", "access_key", "auth_key", "client_secret", "signing_secret", "signing_key",
@@ -49,6 +43,36 @@ _NAME_TAIL = re.compile(r"(?:^|_)(?:(?P<strong>%s)|(?P<weak>%s))\d*$" % ("|".joi
 _NOT_SECRET = re.compile(r"(?:^|_)(?:public|pub|primary|foreign|sort|partition|cache|lookup|map|node|object)_key$")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
+#: Keywords of the rules that do not go by a name: _URL, _CONN, _BEARER, _BASIC, _OPTION, _WORD, _LOGIN, _CALL, _QUERY.
+_KEYWORDS = (
+    "://", "pwd", "password", "accountkey", "sharedaccesskey", "bearer", "basic", "passwd", "pass", "token", "key", "secret", "passwort", "passphrase",
+    *(verb + gap + "in" for verb in ("log", "logged", "sign", "signed") for gap in ("", " ", "-")), "session", "connect", "auth", "sign_in", "credential",
+    "sig=", "signature=", "code=",
+)
+
+
+def _triggers() -> tuple[str, ...]:
+    """What the rules look for, in lower case: their keywords, and the secret names with each border that
+    name_strength takes for '_'. Words that contain another one are left out."""
+    names = {"".join(p + g for p, g in zip(w.split("_"), [*gaps, ""], strict=True)) for w in _STRONG + _WEAK for gaps in itertools.product(("", "_", "-", "."), repeat=w.count("_"))}
+    words = names | set(_KEYWORDS)
+    return tuple(sorted(w for w in words if not any(x != w and x in w for x in words)))
+
+
+#: A line can hold a plain secret only if its folded form has one of these.
+TRIGGERS = _triggers()
+#: Letters that a pattern without case takes for ASCII ones, though lower() keeps them.
+_ALIKE = str.maketrans("\u017f\u0131\u0130", "sii")
+
+
+def _folded(text: str) -> str:
+    """The text in lower case, character for character, as patterns without case read it."""
+    if text.isascii():
+        return text.lower()
+    text = text.translate(_ALIKE)
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
 
 @lru_cache(maxsize=65536)
 def name_strength(name: str) -> int:
@@ -146,7 +170,7 @@ def _line_finds(line: str, base: int) -> Iterator[Find]:
         strength = name_strength(m["name"])
         if strength and is_secret(m["v"], 2 if strength == 2 else 3) and "://" not in m["v"]:
             yield Find(base + m.start("v"), base + m.end("v"), "assignment")
-    low = line.lower()
+    low = _folded(line)
     for rule, kind, need, has in _SIMPLE:
         if has in low:
             for m in rule.finditer(line):
@@ -300,9 +324,7 @@ def _long_literals(text: str, depth: int) -> Iterator[Find]:
 
 def finds(text: str, depth: int = 0) -> list[Find]:
     """All secrets of a text, by position; overlapping finds are merged into the first."""
-    low = text.lower()
-    if len(low) != len(text):  # a few capitals lower to two characters
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _folded(text)
     starts: set[int] = set()
     for word in TRIGGERS:
         i = low.find(word)

@@ -136,6 +136,21 @@ def test_clean_lines_stay(line):
     assert credentials.finds(text) == [] and credentials.masked(text, []) == text
 
 
+UNGATED = [
+    'const adminPw = "Pelpim%crot1097";', 'pw = "Zudor*nard9977"', 'pinCode: "ab12-Cd34"', "pin_code = 'ab12-Cd34'", "db.connect('h', 'u', 'Bohel!lumw5074')", "sign_in('u', 'Bohel!lumw5074')", "log-in is bench / Vacro#kelg9172",
+    "we loggedin as bench with Vacro#kelg9172", "Authorization: Basic\t" + base64.b64encode(b"svc:tolzu12200$YAN").decode(), "user bench pa\u017f\u017f Vacro#kelg9172",
+]
+
+
+def test_triggers_drop_no_line_that_a_rule_finds(monkeypatch):
+    names = {w.replace("_", g) for w in credentials._STRONG for g in "_-."} | {re.sub("_(.)", lambda m: m[1].upper(), w) for w in credentials._STRONG}
+    lines = [*UNGATED, *SECRETS, *CLEAN, *(f'my{g}{n} = "Zudor*nard9977x"' for n in names for g in "_-."), *(f'{n}="aB3dE5fG7hJ9kL1m"' for n in credentials._WEAK)]
+    gated = [credentials.finds(f"a\n{x}\nb") for x in lines]
+    assert all(gated[: len(UNGATED)])
+    monkeypatch.setattr(credentials, "TRIGGERS", tuple({c for x in lines for c in credentials._folded(x)}))  # no line is dropped
+    assert gated == [credentials.finds(f"a\n{x}\nb") for x in lines]
+
+
 def test_values_on_the_next_line():
     text = 'APIKEY = (\n    "nmYyow3BkVnf6a3fqs"\n    "iJLgEvns5Rdd5D5wTb"\n)\nservice_credential: >-\n  GK02LQk9jNHla3QvuJjtQqdT1\n'
     found = credentials.finds(text)
