@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions.text import extension, normal_path
+from corpusloom.session import cut
 
 
 def parent(path: Column) -> Column:
@@ -50,27 +51,28 @@ def neighbours(links: DataFrame) -> DataFrame:
 def directory_tree(paths: DataFrame) -> DataFrame:
     """(node, up, depth): every prefix of every path with its parent; the root is '.'."""
     rows = paths.where("path IS NOT NULL").select(F.filter(F.split(normal_path("path"), "/"), lambda c: (c != "") & (c != ".")).alias("cs")).distinct()
-    cut = rows.select("cs", F.explode(F.when(F.size("cs") > 0, F.sequence(F.lit(1), F.size("cs")))).alias("depth"))
+    prefixes = rows.select("cs", F.explode(F.when(F.size("cs") > 0, F.sequence(F.lit(1), F.size("cs")))).alias("depth"))
     node = F.array_join(F.slice("cs", 1, F.col("depth")), "/")
     up = F.when(F.col("depth") == 1, ".").otherwise(F.array_join(F.slice("cs", 1, F.col("depth") - 1), "/"))
-    return cut.select(node.alias("node"), up.alias("up"), "depth").distinct()
+    return prefixes.select(node.alias("node"), up.alias("up"), "depth").distinct()
 
 
-def merkle_levels(files: DataFrame, max_depth: int = 32) -> DataFrame:
+def merkle_levels(files: DataFrame) -> DataFrame:
     """(node, depth, digest): digests of a directory tree, from the deepest level up. A file's is its
     content's (path, digest); a directory's is the hash of its children's names and digests in
     order. Each level is one aggregation; a directory's children gather in one row, so their
-    digests, not their contents, bound it. Depth is that of the data, up to max_depth."""
-    tree = directory_tree(files.select("path"))
+    digests, not their contents, bound it. Depth is that of the data; every level is cut from its
+    lineage, so the plan does not grow with the depth."""
+    tree = cut(directory_tree(files.select("path")), "tree")
     leaves = files.select(normal_path("path").alias("node"), F.col("digest")).groupBy("node").agg(F.max("digest").alias("digest"))
-    deepest = min(tree.agg(F.max("depth")).first()[0] or 0, max_depth)
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
     level, done = None, None
     for depth in range(deepest, 0, -1):
         own = tree.where(F.col("depth") == depth).join(leaves, "node", "left")
         if level is not None:
             below = level.groupBy(F.col("up").alias("node")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat(c["node"], F.lit(":"), c["digest"])), "\n"), 256).alias("inner"))
             own = own.join(below, "node", "left").withColumn("digest", F.coalesce("inner", "digest")).drop("inner")
-        level = own.select("node", "up", "depth", F.coalesce("digest", F.lit("")).alias("digest"))
+        level = cut(own.select("node", "up", "depth", F.coalesce("digest", F.lit("")).alias("digest")), "level")
         done = level if done is None else done.unionByName(level)
     if done is None:
         return tree.select("node", "depth", F.lit("").alias("digest")).limit(0)

@@ -55,7 +55,7 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, digest): newest content hash of each file of the DAG, by catalog root."""
     rows = table(spark, sf_dir, "dag_nodes").where("node_type = 'file' AND path IS NOT NULL AND content_hash IS NOT NULL")
     path = F.concat(F.lit("c"), F.col("catalog_id").cast("string"), F.lit("/"), F.regexp_replace(T.normal_path("path"), r"^(\./)+", ""))
-    return rows.groupBy(path.alias("path")).agg(F.max(F.lower("content_hash")).alias("digest"))
+    return rows.groupBy(path.alias("path")).agg(F.max_by(F.lower("content_hash"), F.struct("observed_at", "arrival_seq", F.lower("content_hash"))).alias("digest"))
 
 
 @REGISTRY.query("merkle_digests")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import dense, diagnostics, graph, holographic, live, search, state
+from corpusloom.plans import structure
 
 
 def test_vectors(spark):
@@ -153,6 +155,22 @@ def test_merkle_changes_only_above_an_edit(spark):
     assert run([]) == {}
 
 
+def test_merkle_levels_reach_every_depth(spark):
+    rows = [("/".join(["d"] * 39 + [x]), x) for x in "pq"]
+    got = {r["depth"]: r["digest"] for r in graph.merkle_levels(spark.createDataFrame(rows, "path string, digest string")).where("node NOT LIKE '%q'").collect()}
+    want = {40: "p", 39: hashlib.sha256("\n".join("/".join(["d"] * 39 + [x]) + ":" + x for x in "pq").encode()).hexdigest()}
+    for depth in range(38, 0, -1):
+        want[depth] = hashlib.sha256(("/".join(["d"] * (depth + 1)) + ":" + want[depth + 1]).encode()).hexdigest()
+    assert got == want
+
+
+def test_merkle_digests_take_the_newest_hash(spark, tmp_path):
+    rows = [(1, "file", "a/b", "FF", 1, 1), (1, "file", "a/b", "aa", 2, 2), (1, "file", "a/b", "bb", 2, 3), (1, "file", "a/b", None, 9, 9), (2, "file", "a\\b", "cc", 5, 1), (2, "file", "./a/b", "dd", 4, 2), (2, "leaf", "a/b", "ee", 9, 9)]
+    spark.createDataFrame(rows, "catalog_id long, node_type string, path string, content_hash string, observed_at long, arrival_seq long").write.parquet(f"{tmp_path}/dag_nodes.parquet")
+    got = {r["node"]: r["digest"] for r in structure.merkle_digests(spark, str(tmp_path)).where("depth = 3").collect()}
+    assert got == {"c1/a/b": "bb", "c2/a/b": "cc"}
+
+
 def test_diagnostics(spark):
     line = '{"reason":"compiler-message","message":{"message":"m","level":"error","spans":[{"is_primary":false,"file_name":"a","line_start":1,"column_start":2},{"is_primary":true,"file_name":"b","line_start":3,"column_start":4}]}}'
     bare = '{"reason":"compiler-message","message":{"message":"n","level":"warning","spans":[]}}'
