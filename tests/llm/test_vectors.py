@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,25 @@ def test_clusters_find_groups(spark, bound):
     assert clusters.same_cluster(members, probes).count() == int(0 in found and found.get(0) == found.get(1))
 
 
+@pytest.mark.parametrize("size", [9, 12, 20, 30])
+def test_core_distances_see_every_row_of_the_window(size):
+    rng = np.random.default_rng(size)
+    n, dim, window, core, at = 3000, 48, 256, 8, 1501
+    x = rng.standard_normal((n, dim))
+    x[at : at + size] = rng.standard_normal(dim) + 0.3 * rng.standard_normal((size, dim))
+    codes = clusters.to_codes(x)
+    cols = [pa.array(np.full(n, dim * 64, np.int32)), pa.array(np.arange(n)), pa.array(np.arange(n)), clusters.binary_column(codes)]
+    batch = pa.RecordBatch.from_arrays(cols, ["tree", "key", "id", "code"])
+    got = {}
+    for part in clusters.reachability_graph(window, core, 4, 0.05, {dim: 1.0})(iter([batch])):
+        got |= {r["id"]: r["w"] for r in part.to_pylist() if r["label"] is not None}
+    u = clusters.from_codes(codes)
+    for i in range(n):
+        near = np.arange(max(0, i - window), min(n, i + window + 1))
+        assert got[i] == pytest.approx(1 - np.sort(u[near[near != i]] @ u[i])[-core], abs=1e-5)
+    assert max(got[i] for i in range(at, at + size)) < 0.3 < min(got[i] for i in range(n) if not at <= i < at + size)
+
+
 def test_a_third_of_one_vector_does_not_stop_clusters(spark):
     rng = np.random.default_rng(5)
     _, x = groups(rng, 600, 32, 3)
