@@ -145,6 +145,15 @@ def human_bytes(n: Column | str) -> Column:
     return F.when(c < 2.0**10, F.format_string("%d B", _column(n).cast("long"))).otherwise(out)
 
 
+def truncated_bytes(text: Column | str, limit: int) -> Column:
+    """The longest start of a text of whole characters that takes at most `limit` bytes of UTF-8: the cut
+    steps back, three bytes at most, until the next byte does not continue a character."""
+    raw = F.encode(_column(text), "UTF-8")
+    begins = lambda m: ~F.hex(F.substring(raw, m + 1, 1)).between("80", "BF")
+    cuts = [F.when(begins(m), F.substring(raw, 1, m)) for m in range(limit, max(limit - 4, -1), -1)]
+    return F.decode(F.coalesce(*cuts), "UTF-8")
+
+
 def align_up(n: Column | str, to: int = 16) -> Column:
     """n rounded up to a multiple of `to`, a power of two."""
     c = _column(n).cast("long")

@@ -77,9 +77,15 @@ TRUNCATED = "SELECT DISTINCT chunk_id, md5(text[1:200]) AS digest FROM chunks WH
 
 @REGISTRY.query("truncated_ascii", TRUNCATED)
 def truncated_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut to 200 bytes at a character border; on ASCII texts bytes are characters."""
+    """The part of `truncated` that its SQL can state: on ASCII texts bytes are characters."""
     ascii_only = table(spark, sf_dir, "chunks").where("octet_length(text) = length(text)")
-    return ascii_only.select("chunk_id", F.md5(F.substring("text", 1, 200)).alias("digest")).distinct()
+    return ascii_only.select("chunk_id", F.md5(T.truncated_bytes("text", 200)).alias("digest")).distinct()
+
+
+@REGISTRY.query("truncated")
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts cut to 200 bytes of UTF-8 at a character border."""
+    return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_id", F.md5(T.truncated_bytes("text", 200)).alias("digest")).distinct()
 
 
 @REGISTRY.query(

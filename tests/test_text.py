@@ -1,8 +1,11 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking
+from corpusloom.plans import text as plans_text
 
 
 def one(spark, value, column, kind="string"):
@@ -90,3 +93,18 @@ def test_catalog_ids_are_dense(spark):
     rows = chunking.catalog_chunks(files, window=10, overlap=3).collect()
     ordered = sorted(rows, key=lambda r: (r["path"], r["line_start"]))
     assert [r["chunk_id"] for r in ordered] == list(range(len(rows)))
+
+
+def test_truncation_against_brute_force(spark):
+    texts = ["", "a", "aé漢😀" * 3, "😀😀", "é" * 9, "plain ascii text", None]
+    for limit in range(12):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.truncated_bytes("t", limit).alias("s")).collect()
+        for r in rows:
+            assert r["s"] == (None if r["t"] is None else r["t"].encode()[:limit].decode("utf-8", "ignore"))
+
+
+def test_truncated_keeps_every_text(spark, tmp_path):
+    texts = {1: "é" * 150, 2: "x" + "漢" * 100, 3: "a" * 300, 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "chunk_id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["chunk_id"]: r["digest"] for r in plans_text.truncated(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t.encode()[:200].decode("utf-8", "ignore").encode()).hexdigest() for i, t in texts.items() if t is not None}
