@@ -67,13 +67,14 @@ def keys_for(paths: Column, dim: int) -> Column:
 
 
 def superposition_recall(items: DataFrame, sizes: list[int], dim: int) -> DataFrame:
-    """(k, mean_cosine, accuracy): k items (n, path, vector) bound to their paths' keys and added
-    up, then recalled: mean cosine with the stored vectors, and the share above 0.85. The sum is
-    formed by position in the cluster; a superposition is one vector a size."""
-    bound = items.where("n < %d" % max(sizes)).select("n", "path", "vector", bind(keys_for(F.col("path"), dim), F.col("vector")).alias("bound"))
-    sized = bound.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes]))).where("n < k")
-    traces = sized.groupBy("k").agg(F.array(*[F.sum(F.col("bound")[i]) for i in range(dim)]).alias("trace"))
-    recalled = sized.join(F.broadcast(traces), "k").select("k", "vector", unbind(keys_for(F.col("path"), dim), F.col("trace")).alias("got"))
+    """(k, mean_cosine, accuracy): for each size k all items (n, path, vector) in groups of k, floor(n / k),
+    each bound to its path's key, added up within its group and recalled from the sum: mean cosine with the
+    stored vectors, and the share above 0.85, over all items. The last group, and groups with gaps in n, hold
+    fewer. Sums are formed by position in the cluster."""
+    bound = items.select("n", "path", "vector", bind(keys_for(F.col("path"), dim), F.col("vector")).alias("bound"))
+    sized = bound.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes]))).withColumn("g", F.floor(F.col("n") / F.col("k")))
+    traces = sized.groupBy("k", "g").agg(F.array(*[F.sum(F.col("bound")[i]) for i in range(dim)]).alias("trace"))
+    recalled = sized.join(traces, ["k", "g"]).select("k", "vector", unbind(keys_for(F.col("path"), dim), F.col("trace")).alias("got"))
     from corpusloom.functions.vectors import true_cosine
 
     cos = recalled.select("k", true_cosine(F.col("vector"), F.col("got")).alias("c"))

@@ -140,6 +140,20 @@ def test_superposition_falls_as_root(spark):
     assert got[1] == pytest.approx(1) and all(abs(got[k] - 1 / math.sqrt(k)) < 0.12 for k in (5, 20))
 
 
+def test_superposition_recalls_every_item(spark):
+    rng = np.random.default_rng(4)
+    x = {i: v / np.linalg.norm(v) for i, v in enumerate(rng.standard_normal((23, 32)))}
+    keys = {i: holographic.path_key(f"p/{i}", 32) for i in x}
+    rows = spark.createDataFrame([(i, f"p/{i}", v.tolist()) for i, v in x.items()], "n long, path string, vector array<double>")
+    got = {r["k"]: r for r in holographic.superposition_recall(rows, [1, 2, 5], 32).collect()}
+    for k in (1, 2, 5):
+        cos = []
+        for i, v in x.items():
+            back = holographic.correlate(keys[i], sum(holographic.convolve(keys[j], x[j]) for j in x if j // k == i // k))
+            cos.append(back @ v / np.linalg.norm(back))
+        assert got[k]["mean_cosine"] == pytest.approx(np.mean(cos), abs=1e-9) and got[k]["accuracy"] == pytest.approx(np.mean(np.array(cos) > 0.85))
+
+
 def test_gist_fold(spark):
     rows = spark.createDataFrame([(1, 0, [0.5] * 4, "p"), (1, 1, [0.05] * 4, "p")], "g long, i long, vector array<double>, path string")
     r = holographic.gist_fold(rows, "g", "i").first()
