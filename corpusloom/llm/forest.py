@@ -3,14 +3,19 @@
 Each tree hashes a vector to a long bit string: the signs of projections on random directions,
 drawn with the covariance of the data so that bits tell apart what the data tells apart, and
 thresholded at the sample median so that every bit halves the data. The sorted array of a tree's
-strings is the tree: rows that share the longest prefix with a row stand next to it, and going
-further out ascends to shorter prefixes. All trees are walked outwards in step.
-
-In Spark a tree's sorted array is one range of a range-partitioned, locally sorted table with the
-key (tree, string, id). Ranges are cut from a sample of the rows, so a dense region, even a run of
-equal strings, spreads over as many partitions as it needs; a partition is read as a stream with
-a bounded window. Directions are fitted on at most FIT_ROWS vectors a dimension; every vector is
-indexed.
+strings is the tree: a row descends to the rows that share the longest prefix with it, and ascends
+to shorter prefixes for more.
+
+The trees are ascended in step: a row's `level` is the longest prefix at which all its trees
+together offer enough candidates. Levels come from counts of short prefixes, a table of
+trees x 2^DEPTH numbers whatever the number of rows; below DEPTH bits the order of the sorted array
+itself goes by the longest prefix.
+
+In Spark a tree's sorted array is cut into cells at (string, id) bounds, quantiles of the rows that
+the forest was fitted on. So a dense region, even a run of equal strings, spreads over as many cells
+as it needs, and cells depend neither on the number of partitions nor on Spark's own sampling; a
+cell is read as a stream. Directions are fitted on at most FIT_ROWS vectors a dimension, chosen by
+the hash of their id; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -22,9 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import latent
+
 FIT_ROWS = 20_000
 BITS = 62
 ROWS = 16_384
+#: Rows of a cell of a sorted array, while the fitted sample is large enough to cut so finely.
+CELL_ROWS = 32_768
+#: Bits of the prefixes that are counted.
+DEPTH = 12
+#: Bits of a cell number below the tree's number.
+CELL_BITS = 20
 
 
 def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,33 +100,42 @@ def binary_column(rows: np.ndarray) -> pa.Array:
 
 
 class Forest:
-    """Directions and thresholds of the trees of one collection, by dimension."""
+    """Directions, thresholds and cell bounds of the trees of one collection, by dimension."""
 
-    def __init__(self, parts: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> None:
+    def __init__(self, parts: dict[int, list[tuple]]) -> None:
         self.parts = parts
 
     @classmethod
-    def fit(cls, vectors: DataFrame, trees: int, seed: int, column: str = "vec", kind: type = np.float32, counts: dict[int, int] | None = None) -> Forest:
-        """Fit on rows chosen by the hash of their id, at most about FIT_ROWS a dimension. `counts`
-        are the rows of each dimension, where they are known already."""
+    def fit(cls, vectors: DataFrame, trees: int, seed: int, column: str = "vec", kind: type = np.float32, counts: dict[int, int] | None = None, own: bool = False) -> Forest:
+        """Fit on rows chosen by the hash of their id, at most about FIT_ROWS a dimension; with `own` on
+        the last part of a code, else on the first. `counts` are the rows of each dimension, where
+        they are known already."""
         counts = counts or rows_by_dim(vectors)
         keep = F.lit(False)
         for d, n in counts.items():
             step = max(1, -(-n // FIT_ROWS))
             keep = keep | ((F.col("dim") == d) & (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
-        sample: dict[int, list[bytes]] = {}
-        for r in vectors.where(keep).select("dim", column).collect():
-            sample.setdefault(r["dim"], []).append(bytes(r[column]))
+        sample: dict[int, list[tuple]] = {}
+        for r in vectors.where(keep).select("dim", "id", column).collect():
+            sample.setdefault(r["dim"], []).append((r["id"], bytes(r[column])))
         rng, parts = np.random.default_rng(seed), {}
         for d in sorted(sample):
-            x = np.frombuffer(b"".join(sorted(sample[d])), kind).reshape(len(sample[d]), -1)[:, :d]
+            rows = sorted(sample[d])
+            ids = np.array([r[0] for r in rows])
+            x = np.frombuffer(b"".join(r[1] for r in rows), kind).reshape(len(rows), -1)
+            x = x[:, -d:] if own else x[:, :d]
             x = from_codes(x) if kind is np.int8 else x
             values, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(d))
             spread = axes * np.sqrt(np.maximum(values, 1e-9))
+            cells = int(min(max(1, counts[d] // CELL_ROWS), max(1, len(x) // 20), 1 << CELL_BITS))
             parts[d] = []
             for _ in range(trees):
                 planes = (spread @ rng.standard_normal((d, BITS))).astype(np.float32)
-                parts[d].append((planes, np.median(x @ planes, axis=0).astype(np.float32)))
+                limits = np.median(x @ planes, axis=0).astype(np.float32)
+                key = strings(x, planes, limits)
+                order = np.lexsort((ids, key))
+                at = order[(np.arange(1, cells) * len(x)) // cells]
+                parts[d].append((planes, limits, key[at], ids[at]))
         return cls(parts)
 
     def some(self, first: int, count: int) -> Forest:
@@ -122,8 +144,21 @@ class Forest:
 
     def keys(self, x: np.ndarray, dim: int) -> list[np.ndarray]:
         """For each tree the bit strings of the rows, as non-negative 64-bit integers."""
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        return [((x @ planes) > cut).astype(np.int64) @ weights for planes, cut in self.parts[dim]]
+        return [strings(x, planes, limits) for planes, limits, *_ in self.parts[dim]]
+
+    def cells(self, tree: int, dim: int, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Number of each row's cell in the sorted array of a tree."""
+        _, _, bound, bound_id = self.parts[dim][tree]
+        out = np.searchsorted(bound, key, "left")
+        for k in np.unique(bound[np.isin(bound, key)]):
+            mine, run = key == k, bound_id[bound == k]
+            out[mine] += np.searchsorted(run, ids[mine], "right")
+        return out
+
+
+def strings(x: np.ndarray, planes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Bit strings of rows as non-negative 64-bit integers."""
+    return ((x @ planes) > limits).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
 def rows_by_dim(vectors: DataFrame) -> dict[int, int]:
@@ -131,12 +166,45 @@ def rows_by_dim(vectors: DataFrame) -> dict[int, int]:
     return {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
 
 
-TREE_ROWS = "tree int, key long, id long, code binary"
+TREE_ROWS = "cell long, key long, id long, level int, code binary"
+
 
+def prefix_counts(vectors: DataFrame, forest: Forest) -> dict[int, np.ndarray]:
+    """dim -> (trees, 2^DEPTH) numbers of rows with each prefix. Counts are added up in the cluster;
+    what returns has a fixed size."""
 
-def tree_rows(forest: Forest, codes: bool = False):
-    """Arrow map (id, dim, vec or code) to TREE_ROWS, one row a tree; tree = dim * 64 + number. A
-    code may be longer than the dimension; its first bytes are hashed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {d: np.zeros((len(t), 1 << DEPTH)) for d, t in forest.parts.items()}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                x = from_codes(to_codes(matrix(batch.filter(pa.array(dims == d)).column("vec"), int(d))))
+                for t, (planes, limits, *_) in enumerate(forest.parts[int(d)]):
+                    short = ((x @ planes[:, :DEPTH]) > limits[:DEPTH]) @ (1 << np.arange(DEPTH - 1, -1, -1))
+                    sums[int(d)][t] += np.bincount(short, minlength=1 << DEPTH)
+        yield latent.block_rows([(d, t, 0, row.tobytes()) for d, a in sums.items() for t, row in enumerate(a) if row.any()])
+
+    added = latent.add_up(vectors.select("id", "dim", "vec").mapInArrow(run, latent.SCHEMA))
+    return {d: flat.reshape(-1, 1 << DEPTH) for d, (_, flat) in added.items()}
+
+
+def levels_in_step(counts: np.ndarray, keys: list[np.ndarray], enough: float) -> np.ndarray:
+    """For each row the longest prefix, of DEPTH bits at most, at which its trees together hold at
+    least `enough` rows; 0 where the whole collection is smaller."""
+    out = np.zeros(len(keys[0]), np.int32)
+    done = np.zeros(len(keys[0]), bool)
+    for level in range(DEPTH, 0, -1):
+        at = counts.reshape(len(keys), 1 << level, -1).sum(2)
+        total = sum(at[t][key >> (BITS - level)] for t, key in enumerate(keys))
+        now = ~done & (total >= enough)
+        out[now], done = level, done | now
+    return out
+
+
+def tree_rows(forest: Forest, codes: bool = False, own: bool = False, counts: dict[int, np.ndarray] | None = None, enough: float = 0.0):
+    """Arrow map (id, dim, vec or code) to TREE_ROWS, one row a tree; cell = (dim * 64 + tree) <<
+    CELL_BITS | number. A code may hold two vectors; the first is hashed, with `own` the last. The
+    level is that of the ascent in step where counts are given, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,99 +212,248 @@ def tree_rows(forest: Forest, codes: bool = False):
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 code = code_matrix(part.column(2)) if codes else to_codes(matrix(part.column(2), int(d)))
-                for t, key in enumerate(forest.keys(from_codes(code[:, :d]), int(d))):
-                    tree = pa.array(np.full(len(key), int(d) * 64 + t, np.int32))
-                    yield pa.RecordBatch.from_arrays([tree, pa.array(key), part.column("id"), binary_column(code)], ["tree", "key", "id", "code"])
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                keys = forest.keys(from_codes(code[:, -d:] if own else code[:, :d]), int(d))
+                level = levels_in_step(counts[int(d)], keys, enough) if counts else np.zeros(len(ids), np.int32)
+                for t, key in enumerate(keys):
+                    cell = ((int(d) * 64 + t) << CELL_BITS) + forest.cells(t, int(d), key, ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key), part.column("id"), pa.array(level), binary_column(code)], ["cell", "key", "id", "level", "code"])
 
     return run
 
 
-def sorted_trees(vectors: DataFrame, forest: Forest, codes: bool = False) -> DataFrame:
-    """The trees' sorted arrays, range-partitioned."""
-    rows = vectors.select("id", "dim", "code" if codes else "vec").mapInArrow(tree_rows(forest, codes), TREE_ROWS)
-    return rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+def sorted_trees(vectors: DataFrame, forest: Forest, **how) -> DataFrame:
+    """The trees' sorted arrays, a cell after the other; see tree_rows for `how`."""
+    rows = vectors.select("id", "dim", "code" if how.get("codes") else "vec").mapInArrow(tree_rows(forest, **how), TREE_ROWS)
+    return rows.repartition("cell").sortWithinPartitions("cell", "key", "id")
 
 
-def stretches(batches: Iterator[pa.RecordBatch], window: int, rows: int = ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """(tree, keys, ids, codes, lo, hi): consecutive rows of one tree. Rows lo..hi are the centres;
-    up to `window` rows on either side are their context. Every row is a centre once."""
-    tree, held, lo = -1, [], 0
+def stretches(batches: Iterator[pa.RecordBatch], window: int, rows: int = ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(cell, keys, ids, levels, codes, lo, hi): consecutive rows of one cell. Rows lo..hi are the
+    centres, the others their context, so that every centre has 2 * `window` rows about it unless
+    the cell has fewer. Every row is a centre once."""
+    cell, held, lo = -1, [], 0
 
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.concatenate([h[i] for h in held]) for i in range(3))
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate([h[i] for h in held]) for i in range(4))
 
     for batch in batches:
-        trees = batch.column("tree").to_numpy(zero_copy_only=False)
-        for t in np.unique(trees):
-            part = batch.filter(pa.array(trees == t))
-            if t != tree:
+        cells = batch.column("cell").to_numpy(zero_copy_only=False)
+        for c in np.unique(cells):
+            part = batch.filter(pa.array(cells == c))
+            if c != cell:
                 if held:
-                    k, i, c = joined()
-                    if lo < len(i):
-                        yield tree, k, i, c, lo, len(i)
-                tree, held, lo = int(t), [], 0
-            held.append((part.column("key").to_numpy(), part.column("id").to_numpy(), code_matrix(part.column("code"))))
+                    rows_ = joined()
+                    if lo < len(rows_[0]):
+                        yield cell, *rows_, lo, len(rows_[0])
+                cell, held, lo = int(c), [], 0
+            held.append((part.column("key").to_numpy(), part.column("id").to_numpy(), part.column("level").to_numpy(), code_matrix(part.column("code"))))
             if sum(len(h[1]) for h in held) - lo >= rows + window:
-                k, i, c = joined()
-                hi = len(i) - window
-                yield tree, k, i, c, lo, hi
-                start = max(0, hi - window)
-                held, lo = [(k[start:], i[start:], c[start:])], hi - start
+                rows_ = joined()
+                hi = len(rows_[0]) - window
+                yield cell, *rows_, lo, hi
+                start = max(0, hi - 2 * window)
+                held, lo = [tuple(r[start:] for r in rows_)], hi - start
     if held:
-        k, i, c = joined()
-        if lo < len(i):
-            yield tree, k, i, c, lo, len(i)
+        rows_ = joined()
+        if lo < len(rows_[0]):
+            yield cell, *rows_, lo, len(rows_[0])
 
 
-def blocks(x: np.ndarray, lo: int, hi: int, window: int, size: int = 256, stride: int = 1, left: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first centre, last centre, columns, cosines) of the centres against every stride-th row
-    of their windows. Cosines outside a centre's own window, and of a row with itself, are -2.
-    With `left`, the centres are its rows and the windows those of x."""
+def blocks(x: np.ndarray, lo: int, hi: int, window: int, size: int = 256, left: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first centre, last centre, columns, cosines) of the centres against the rows of their
+    windows: `window` rows on either side, and at the end of a cell as many more on the other one.
+    Cosines outside a centre's window, and of a row with itself, are -2. With `left`, the centres
+    are its rows and the windows those of x."""
+    first = np.clip(np.arange(lo, hi) - window, 0, max(0, len(x) - 1 - 2 * window))
     for s in range(lo, hi, size):
         e = min(hi, s + size)
-        columns = np.arange(max(0, s - window), min(len(x), e + window), stride)
+        a = first[s - lo : e - lo, None]
+        columns = np.arange(first[s - lo], min(len(x), first[e - 1 - lo] + 2 * window + 1))
         cos = (x if left is None else left)[s:e] @ x[columns].T
-        away = np.abs(np.arange(s, e)[:, None] - columns[None, :])
-        cos[(away == 0) | (away > window)] = -2
+        cos[(columns < a) | (columns > a + 2 * window) | (columns == np.arange(s, e)[:, None])] = -2
         yield s, e, columns, cos
 
 
-def near_pairs(window: int, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow map from sorted trees to pairs (a, b), a < b, whose byte vectors have a cosine of at
-    least `bar`. Of pairs, only those with the partner further on are formed, once a tree."""
+PAIRS = "a long, b long, border long, after boolean, key long, id long, level int, code binary"
+
+
+def prefix_pairs(window: int, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow map from sorted trees to PAIRS rows. A row with a and b, a < b, is a pair whose byte
+    vectors have a cosine of at least `bar` and of which one is in the other's range: the rows that
+    share at least `level` bits with it, of those the `window` on either side with the longest
+    common prefixes. A row with a border is one of the last rows of a cell or of the first of the
+    next (`after`), for `across_borders`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, codes, lo, hi in stretches(batches, window):
-            x = from_codes(codes)
-            out = [np.zeros((0, 2), np.int64)]
-            for s, _, columns, cos in blocks(x, lo, hi, window):
-                i, j = np.nonzero(cos >= bar)
-                i, j = ids[i + s], ids[columns[j]]
-                out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        none = lambda n, kind: pa.nulls(n, kind)
+        names = ["a", "b", "border", "after", "key", "id", "level", "code"]
+        last: tuple | None = None
+
+        def edge(rows: tuple, border: int, after: bool) -> pa.RecordBatch:
+            k, i, v, c = rows
+            n = len(k)
+            cols = [none(n, pa.int64()), none(n, pa.int64()), pa.array(np.full(n, border)), pa.array(np.full(n, after)), pa.array(k), pa.array(i), pa.array(v), binary_column(c)]
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for cell, keys, ids, level, codes, lo, hi in stretches(batches, window):
+            rows = (keys, ids, level, codes)
+            if last is None or last[0] != cell:
+                if last is not None:
+                    yield edge(last[1], last[0], False)
+                yield edge(tuple(r[:window] for r in rows), cell - 1, True)
+            last = (cell, tuple(r[-window:] for r in rows))
+            pairs = _near(keys, ids, level, from_codes(codes), lo, hi, window, bar)
+            n = len(pairs)
+            rest = [none(n, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *rest], names)
+        if last is not None:
+            yield edge(last[1], last[0], False)
 
     return run
 
 
-def query_candidates(window: int, keep: int, divisor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow map from sorted trees to (q, other): for query rows, whose id is divisible by
-    `divisor`, the `keep` most similar of the window by byte vectors."""
+def _near(keys: np.ndarray, ids: np.ndarray, level: np.ndarray, x: np.ndarray, lo: int, hi: int, window: int, bar: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Distinct pairs of prefix ranges; with `side`, only of rows of different sides."""
+    free = (BITS - level).astype(np.int64)
+    low = (keys >> free) << free
+    first, after = np.searchsorted(keys, low), np.searchsorted(keys, low + (np.int64(1) << free))
+    out = [np.zeros((0, 2), np.int64)]
+    for s in range(lo, hi, 256):
+        e = min(hi, s + 256)
+        columns = np.arange(s + 1, min(len(x), e + window))
+        cos = x[s:e] @ x[columns].T
+        i = np.arange(s, e)[:, None]
+        met = (columns > i) & (columns - i <= window) & ((columns < after[s:e, None]) | (first[columns] <= i)) & (cos >= bar)
+        if side is not None:
+            met &= side[s:e, None] != side[columns]
+        p, q = np.nonzero(met)
+        p, q = ids[p + s], ids[columns[q]]
+        out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def across_borders(window: int, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow map from the border rows of prefix_pairs, in order, to pairs (a, b) over the border: at
+    most 2 * window rows meet at each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, codes, lo, hi in stretches(batches, window, rows=max(ROWS, 2 * window)):
-            at = lo + np.flatnonzero(ids[lo:hi] % divisor == 0)
-            if not len(at):
-                continue
-            x, q, o = from_codes(codes), [], []
-            for p in at:
-                a, b = max(0, p - window), min(len(x), p + window + 1)
-                cos = x[a:b] @ x[p]
-                cos[p - a] = -2
-                top = np.argpartition(-cos, min(keep, len(cos) - 1))[:keep] if len(cos) > keep else np.arange(len(cos))
-                top = top[top != p - a]
-                q.append(np.full(len(top), ids[p]))
-                o.append(ids[a:b][top])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(o))], ["q", "other"])
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            borders = batch.column("border").to_numpy(zero_copy_only=False)
+            for b in np.unique(borders):
+                for old in [o for o in held if o != b]:
+                    yield met(old, held.pop(old))
+                held.setdefault(int(b), []).append(batch.filter(pa.array(borders == b)))
+        for old, parts in held.items():
+            yield met(old, parts)
+
+    def met(border: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        keys, ids, level = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "level"))
+        side = t.column("after").to_numpy(zero_copy_only=False)
+        pairs = _near(keys, ids, level, from_codes(code_matrix(t.column("code"))), 0, len(ids), window, bar, side)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
+
+
+#: Candidates within a cell: rows of the collection and, with kind 0 and before them, its queries.
+CELL_MEMBERS = "cell long, salt int, kind int, key long, id long, level int, code binary"
+
+
+def cell_members(forest: Forest, counts: dict[int, np.ndarray], enough: dict[int, float], query: bool):
+    """Arrow map (id, dim, vec) to CELL_MEMBERS. Cells are prefixes short enough to hold about
+    CELL_ROWS rows, and a fuller one is spread over salts by the rows' ids. A row goes to its
+    cell in every tree; a query to all cells and salts that its range of the ascent in step,
+    until `enough` rows were offered, meets."""
+    bits = {d: min(DEPTH, max(0, int(np.ceil(np.log2(max(1.0, c[0].sum() / CELL_ROWS)))))) for d, c in counts.items()}
+    salts = {d: np.maximum(1, np.ceil(c.reshape(len(c), 1 << bits[d], -1).sum(2) / (2 * CELL_ROWS))).astype(np.int64) for d, c in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            for d in (int(x) for x in np.unique(dims) if int(x) in counts):
+                part = batch.filter(pa.array(dims == d))
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                code = to_codes(matrix(part.column("vec"), d))
+                keys = forest.keys(from_codes(code), d)
+                level = levels_in_step(counts[d], keys, enough[d]) if query else np.zeros(len(ids), np.int32)
+                for t, key in enumerate(keys):
+                    cell, at = key >> (BITS - bits[d]), np.arange(len(ids))
+                    if query:
+                        width = np.int64(1) << np.maximum(bits[d] - level, 0)
+                        at = np.repeat(at, width)
+                        step = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
+                        cell = (cell // width * width)[at] + step
+                        copies = salts[d][t][cell]
+                        at, cell = np.repeat(at, copies), np.repeat(cell, copies)
+                        salt = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    else:
+                        salt = ids % salts[d][t][cell]
+                    number = ((d * 64 + t) << CELL_BITS) + cell
+                    cols = [pa.array(number), pa.array(salt.astype(np.int32)), pa.array(np.full(len(at), 0 if query else 1, np.int32)), pa.array(key[at]), pa.array(ids[at]), pa.array(level[at]), binary_column(code[at])]
+                    yield pa.RecordBatch.from_arrays(cols, ["cell", "salt", "kind", "key", "id", "level", "code"])
+
+    return run
+
+
+def range_candidates(keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow map from CELL_MEMBERS, queries first in each cell and salt, to (q, other): of the rows in
+    the query's range the `keep` most similar by byte vectors, equal ones by the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, best = None, [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                qi, k = np.nonzero(best[1] > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(best[0][1][qi]), pa.array(best[2][qi, k])], ["q", "other"])
+
+        for batch in batches:
+            cells, salts, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "salt", "kind"))
+            change = np.flatnonzero((np.diff(cells) != 0) | (np.diff(salts) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip(np.r_[0, change], np.r_[change, len(cells)], strict=True):
+                if a == b:
+                    continue
+                if now != (cells[a], salts[a]):
+                    yield from flush()
+                    now, held, best = (cells[a], salts[a]), [], None
+                key, ids, level = (batch.column(c).to_numpy(zero_copy_only=False)[a:b] for c in ("key", "id", "level"))
+                x = from_codes(code_matrix(batch.column("code").slice(a, b - a)))
+                if kinds[a] == 0:
+                    held.append((key, ids, level, x))
+                    continue
+                if not held:
+                    continue
+                if best is None:
+                    q = tuple(np.concatenate([h[i] for h in held]) for i in range(4))
+                    best = (q, np.full((len(q[0]), keep), -2.0, np.float32), np.full((len(q[0]), keep), np.iinfo(np.int64).max))
+                best = (best[0], *_kept(best, key, ids, x, keep))
+        yield from flush()
+
+    return run
+
+
+def _kept(best: tuple, key: np.ndarray, ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best scores and ids so far of all queries of a cell, with another batch of rows."""
+    (qkey, qid, qlevel, qx), top, who = best
+    free = (BITS - qlevel).astype(np.int64)
+    low = (qkey >> free) << free
+    high = low + (np.int64(1) << free)
+    out_s, out_i = [], []
+    for s in range(0, len(qid), 512):
+        e = min(len(qid), s + 512)
+        cos = qx[s:e] @ x.T
+        cos[(key < low[s:e, None]) | (key >= high[s:e, None]) | (ids == qid[s:e, None])] = -2
+        both, names = np.hstack([top[s:e], cos]), np.hstack([who[s:e], np.broadcast_to(ids, cos.shape)])
+        if both.shape[1] > 4 * keep:
+            bar = np.partition(both, -keep, axis=1)[:, -keep, None]
+            # Ties at the bar are settled by id, so all of them are looked at.
+            width = int((both >= bar).sum(1).max())
+            pick = np.argpartition(-both, width - 1, axis=1)[:, :width]
+            both, names = np.take_along_axis(both, pick, 1), np.take_along_axis(names, pick, 1)
+        order = np.lexsort((names, -both), axis=1)[:, :keep]
+        out_s.append(np.take_along_axis(both, order, 1))
+        out_i.append(np.take_along_axis(names, order, 1))
+    return np.concatenate(out_s), np.concatenate(out_i)

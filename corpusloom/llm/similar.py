@@ -1,7 +1,8 @@
 """Most similar vectors for every vector, through the hash-prefix forest.
 
-Candidates come from the forest with byte vectors; the exact cosine follows from the stored
-vectors, which are fetched only for ids that occur in a candidate pair.
+Candidates come from the forest with byte vectors: in every tree the rows that share a prefix with
+a row, all trees ascending in step until they offer enough. The exact cosine follows from the
+stored vectors, which are fetched only for ids that occur in a candidate pair.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.llm.forest import Forest, near_pairs, query_candidates, sorted_trees, usable_vectors
+from corpusloom.llm.forest import CELL_MEMBERS, PAIRS, Forest, across_borders, cell_members, prefix_counts, prefix_pairs, range_candidates, rows_by_dim, sorted_trees, usable_vectors
 from corpusloom.session import cut
 
 #: Ids of candidates up to this number are broadcast (16 bytes each); more are joined by a shuffle.
@@ -58,11 +59,20 @@ def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees:
     """(a, b, cosine), a < b: pairs with a cosine of at least `bar` each of which is among the
     other's k most similar. Equal cosines are ordered by the smaller id. `vectors` is
     (id, dim, vec). Every neighbour that could push a pair out of a list is itself above the bar,
-    so lists of pairs above the bar decide. An empty table has no rows."""
+    so lists of pairs above the bar decide. An empty table has no rows.
+
+    A row's range in a tree are the rows of the level at which the trees together offer eight
+    windows each, of those the `window` on either side with the longest common prefixes. Rows
+    at the ends of a cell meet those of the next one."""
     few = without_surplus_copies(vectors, k + 1)
-    forest = Forest.fit(few, trees, seed)
+    counts = rows_by_dim(few)
+    forest = Forest.fit(few, trees, seed, counts=counts)
+    held = prefix_counts(few, forest)
     # Byte vectors are off by some thousandths; the margin keeps pairs at the bar.
-    found = sorted_trees(few, forest).mapInArrow(near_pairs(window, bar - 0.015), "a long, b long").distinct()
+    near = cut(sorted_trees(few, forest, counts=held, enough=8.0 * window * trees).mapInArrow(prefix_pairs(window, bar - 0.015), PAIRS), "prefix-pairs")
+    borders = near.where("border IS NOT NULL").select("border", "after", "key", "id", "level", "code").repartition("border").sortWithinPartitions("border", "key", "id")
+    over = borders.mapInArrow(across_borders(window, bar - 0.015), "a long, b long")
+    found = near.where("a IS NOT NULL").select("a", "b").unionByName(over).distinct()
     pairs = exact_cosines(cut(found, "near-pairs"), few).where(F.col("cosine") >= bar)
     ends = pairs.select("a", "b", "cosine", F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("you")), F.struct(F.col("b").alias("me"), F.col("a").alias("you")))).alias("e"))
     order = W.partitionBy("e.me").orderBy(F.round("cosine", 6).desc(), "e.you")
@@ -70,18 +80,26 @@ def mutual_neighbours(vectors: DataFrame, k: int = 5, bar: float = 0.93, trees:
     return listed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("cosine").alias("cosine")).where("n = 2").select("a", "b", "cosine")
 
 
-def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, trees: int = 8, share: float = 0.08, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, trees: int = 8, share: float = 0.4, least: int = 32_768, seed: int = 11) -> DataFrame:
     """(id, rank, neighbour, cosine): the k most similar vectors of every vector whose id is
-    divisible by `divisor`, searched among all. Each tree is ascended until a `share` of the
-    collection has been seen (at least 512 rows): without structure in the data that share, not
-    a fixed number, decides the recall. Equal cosines are ordered by the smaller id."""
-    biggest = vectors.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
-    window = max(512, int(biggest * share / 2))
-    forest = Forest.fit(vectors, trees, seed)
-    found = sorted_trees(vectors, forest).mapInArrow(query_candidates(window, 2 * k, divisor), "q long, other long")
+    divisible by `divisor`, searched among all. The trees are ascended in step until together they
+    have offered `share` of the collection, and at least `least` rows (all of a collection
+    whose trees hold fewer): without structure in the data that share, not a fixed number,
+    decides the recall. Which rows are compared depends on the data alone, not on partitions.
+    Equal cosines are ordered by the smaller id; of equal vectors those with the smallest ids
+    can be neighbours of others."""
+    few = without_surplus_copies(vectors, k + 1)
+    counts = rows_by_dim(few)
+    forest = Forest.fit(few, trees, seed, counts=counts)
+    held = prefix_counts(few, forest)
+    enough = {d: max(float(least), share * n) for d, n in counts.items()}
+    asked = vectors.where(F.col("id") % divisor == 0)
+    members = [df.select("id", "dim", "vec").mapInArrow(cell_members(forest, held, enough, q), CELL_MEMBERS) for df, q in ((asked, True), (few, False))]
+    rows = members[0].unionByName(members[1]).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+    found = rows.mapInArrow(range_candidates(2 * k), "q long, other long")
     pairs = cut(found.select(F.col("q").alias("a"), F.col("other").alias("b")).distinct(), "query-candidates")
     scored = exact_cosines(pairs, vectors)
-    order = W.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
+    order = W.partitionBy("a").orderBy(F.round("cosine", 6).desc(), "b")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("id"), "rank", F.col("b").alias("neighbour"), "cosine")
 
