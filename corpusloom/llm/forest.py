@@ -33,7 +33,7 @@ FIT_ROWS = 20_000
 BITS = 62
 ROWS = 16_384
 #: Rows of a cell of a sorted array, while the fitted sample is large enough to cut so finely.
-CELL_ROWS = 32_768
+CELL_ROWS = 16_384
 #: Bits of the prefixes that are counted.
 DEPTH = 12
 #: Bits of a cell number below the tree's number.
