@@ -82,7 +82,7 @@ def defines_pattern(symbol: str) -> str:
     for ch in ".^$*+?()[]{}|":
         name = name.replace(ch, "\\" + ch)
     keys = "|".join(DECLARATIONS)
-    return rf"(^|[^a-z0-9_])({keys})[ \t]+{name}($|[^a-z0-9_])|(^|[^a-z0-9_:]){name}[ \t]*(=($|[^=])|:($|[^:]))"
+    return rf"(^|[^\p{{L}}\p{{N}}_])({keys})[ \t]+{name}($|[^a-z0-9_])|(^|[^a-z0-9_]){name}[ \t]*(=($|[^=])|:($|[^:]))"
 
 
 def defines(text: Column | str, symbol: str) -> Column:
@@ -97,8 +97,8 @@ def defined_symbols(text: Column | str) -> Column:
     search for definitions of many symbols into an equi-join."""
     low = F.lower(_column(text))
     keys = "|".join(DECLARATIONS)
-    declared = F.regexp_extract_all(low, F.lit(rf"(?:^|[^a-z0-9_])(?:{keys})[ \t]+([a-z_][a-z0-9_]*)"), F.lit(1))
-    assigned = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_:])([a-z_][a-z0-9_]*)[ \t]*(?:=(?!=)|:(?!:))"), F.lit(1))
+    declared = F.regexp_extract_all(low, F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{keys})[ \t]+([a-z_][a-z0-9_]*)"), F.lit(1))
+    assigned = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_])([a-z_][a-z0-9_]*)[ \t]*(?:=(?!=)|:(?!:))"), F.lit(1))
     return F.array_distinct(F.concat(declared, assigned))
 
 

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusloom.functions.text import content_hash, normal_path, token_estimate
+from corpusloom.session import numbered
 
 CHUNK = "path string, line_start int, line_end int, text string"
 
@@ -84,17 +84,9 @@ def windows_with_cap(files: DataFrame, window: int = 60, overlap: int = 12, cap:
 
 
 def catalog_chunks(files: DataFrame, **limits: int) -> DataFrame:
-    """Chunks with a dense id in (path, line) order, token estimate and content hash. The ids come
-    from ranks inside range partitions plus the partitions' offsets, not from one global sort task."""
-    rows = windows_with_cap(files, **limits)
-    ordered = rows.repartitionByRange("path", "line_start").sortWithinPartitions("path", "line_start").withColumn("__p", F.spark_partition_id())
-    ranked = ordered.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy("path", "line_start")))
-    counts = ranked.groupBy("__p").agg(F.max("__r").alias("n"))
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    joined = ranked.join(F.broadcast(offsets.select("__p", "before")), "__p")  # a row a partition
-    return joined.select(
-        (F.col("before") + F.col("__r") - 1).alias("chunk_id"), "path", "line_start", "line_end", "text", token_estimate("text").alias("token_estimate"), content_hash("text").alias("content_hash")
-    )
+    """Chunks with a dense id in (path, line) order, token estimate and content hash."""
+    rows = numbered(windows_with_cap(files, **limits), ["path", "line_start"], "chunk_id")
+    return rows.select("chunk_id", "path", "line_start", "line_end", "text", token_estimate("text").alias("token_estimate"), content_hash("text").alias("content_hash"))
 
 
 def blank_line_leaves(files: DataFrame) -> DataFrame:

@@ -34,28 +34,42 @@ def verity(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.round(score, 6).alias("score"))
 
 
-def render_errors(rows: DataFrame, key: str, limit: int = 5) -> DataFrame:
-    """(key, prompt): the first errors of each target with their place, and how many more there are."""
-    item = F.struct("file_name", "line_start", "column_start", "message")
-    packed = rows.where("level = 'error'").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("es"))
-    line = F.transform(
-        F.slice("es", 1, limit),
-        lambda e: F.concat(e["message"], F.coalesce(F.format_string("\n  --> %s:%d:%d", e["file_name"], e["line_start"], e["column_start"]), F.lit(""))),
-    )
-    more = F.when(F.size("es") > limit, F.format_string("\n... and %d more", F.size("es") - limit)).otherwise("")
-    return packed.select(key, F.concat(F.array_join(line, "\n"), more).alias("prompt"))
-
-
-# What is dangerous to see in a language.
-DANGERS = {"rs": ("unsafe ", ".unwrap()", "panic!("), "py": ("eval(", "exec(", "os.system("), "c": ("strcpy(", "gets(", "sprintf("), "sh": ("rm -rf", "eval ", "curl | sh")}
+def render_errors(rows: DataFrame, key: str, order: str, limit: int = 5) -> DataFrame:
+    """(key, prompt): what a model is told of each failed target: which patch failed and at which attempt
+    of how many, the first `limit` errors (at least one) in their order with their place, how many
+    follow, and what to do. rows has key, path, attempt, attempts, order and the columns of
+    `diagnostics`; only errors are shown, and targets without errors have no row."""
+    item = F.struct(order, "file_name", "line_start", "column_start", "message")
+    packed = rows.where("level = 'error'").groupBy(key, "path", "attempt", "attempts").agg(F.array_sort(F.collect_list(item)).alias("es"))
+    shown = max(limit, 1)
+    place = lambda e: F.coalesce(F.format_string("error at %s:%d:%d\n", e["file_name"], e["line_start"], e["column_start"]), F.lit("error\n"))
+    line = F.transform(F.slice("es", 1, shown), lambda e: F.concat(F.when(e["file_name"].isNull(), F.lit("error\n")).otherwise(place(e)), F.lit("  "), e["message"], F.lit("\n")))
+    more = F.when(F.size("es") > shown, F.format_string("\n... and %d further errors, which probably follow from those above.\n", F.size("es") - shown)).otherwise("")
+    head = F.format_string("Your patch to %s did not compile (attempt %d of %d).\n\n", "path", "attempt", "attempts")
+    tail = F.lit("\nMend the cause of the first error and give the whole corrected file. Do not remove the failing code.")
+    return packed.select(key, F.concat(head, F.array_join(line, ""), more, tail).alias("prompt"))
+
+
+# Snippets that are dangerous to see in a language, and the name and kind of the finding.
+DANGERS = (
+    (("rust", "rs"), ("unsafe",), "UnsafeBlock"),
+    (("typescript", "ts", "tsx"), ("eval(", "dangerouslySetInnerHTML"), "DangerousSuture"),
+    (("python", "py"), ("exec(", "pickle.load"), "PythonExecGate"),
+)
+DANGER_KIND = "unsafe_gate"
 
 
 def dangers(language: Column, text: Column) -> Column:
-    """Dangerous snippets of the language that the text contains, in the order of the list."""
-    out = F.array().cast("array<string>")
-    for lang, rules in DANGERS.items():
-        hits = F.array_compact(F.array(*[F.when(text.contains(r), F.lit(r)) for r in rules]))
-        out = F.when(language == lang, hits).otherwise(out)
+    """Array of struct(name, kind, language): what a text of the language has that is dangerous; empty for
+    other languages."""
+    kind = "array<struct<name:string,kind:string,language:string>>"
+    out = F.from_json(F.lit("[]"), kind)
+    for names, snippets, found in DANGERS:
+        hit = F.lit(False)
+        for x in snippets:
+            hit = hit | text.contains(x)
+        one = F.array(F.struct(F.lit(found).alias("name"), F.lit(DANGER_KIND).alias("kind"), F.lit(names[0]).alias("language")))
+        out = F.when(language.isin(*names) & hit, one).otherwise(out)
     return out
 
 
@@ -110,12 +124,17 @@ def safe_path(path: Column) -> Column:
     return F.coalesce((F.trim(path) != "") & ~p.startswith("/") & ~p.rlike("^[A-Za-z]:") & (low["low"] >= 0), F.lit(False))
 
 
+# Key spellings of a patch's path and content, in the order in which they are tried.
+PATH_KEYS = ("path", "file", "file_path", "relative_path")
+CONTENT_KEYS = ("content", "code", "contents", "new_content")
+
+
 def parsed_patch(reply: Column) -> Column:
-    """struct(path, content, safe) of a JSON reply with any of the usual key spellings."""
+    """struct(path, content, safe) of a JSON reply with any of the key spellings; null fields without."""
     v = F.try_parse_json(reply)
     first = lambda *names: F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
-    path = first("path", "file", "relative_path", "filename")
-    return F.struct(path.alias("path"), first("content", "code", "new_content", "text").alias("content"), safe_path(path).alias("safe"))
+    path = first(*PATH_KEYS)
+    return F.struct(path.alias("path"), first(*CONTENT_KEYS).alias("content"), safe_path(path).alias("safe"))
 
 
 def asked_text(payload: Column) -> Column:
@@ -129,9 +148,21 @@ def asked_text(payload: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$.prompt", "string"), F.when(last.startswith("[") & F.exists(blocks, lambda b: b["type"] == "text"), joined).otherwise(last))
 
 
-def injected_payload(payload: str | None, context: str | None) -> str | None:
-    """Request JSON with the context put first: merged into an Anthropic-style system prompt, as a
-    leading system message, or before the prompt. Anything else comes back unchanged."""
+def message_text(reply: Column) -> Column:
+    """Text of a chat reply: the first choice's content where it is not blank, else the arguments of its
+    first tool call; null without either."""
+    v = F.try_parse_json(reply)
+    content = F.try_variant_get(v, "$.choices[0].message.content", "string")
+    arguments = F.try_variant_get(v, "$.choices[0].message.tool_calls[0].function.arguments", "string")
+    return F.coalesce(F.when(F.regexp_replace(content, r"\s+", "") != "", content), arguments)
+
+
+def injected_payload(payload: str | None, context: str | None, dialect: str | None) -> str | None:
+    """Request JSON with the context put first. In the 'anthropic' dialect it goes to the top-level
+    system prompt: a string becomes one text block after the context and an empty line, an array
+    gets a block in front, anything else becomes an array of that block; in all others it is a
+    leading system message, or stands before the prompt with an empty line between. Anything
+    else, no JSON object or no context comes back unchanged."""
     if payload is None or not context:
         return payload
     try:
@@ -140,23 +171,27 @@ def injected_payload(payload: str | None, context: str | None) -> str | None:
         return payload
     if not isinstance(body, dict):
         return payload
-    block = {"type": "text", "text": context, "cache_control": {"type": "ephemeral"}}
-    if isinstance(body.get("system"), str):
-        body["system"] = [block, {"type": "text", "text": body["system"]}]
-    elif isinstance(body.get("system"), list):
-        body["system"].insert(0, block)
+    if dialect == "anthropic":
+        block = {"type": "text", "text": context, "cache_control": {"type": "ephemeral"}}
+        system = body.get("system")
+        if isinstance(system, str):
+            body["system"] = [{"type": "text", "text": f"{context}\n\n{system}"}]
+        elif isinstance(system, list):
+            system.insert(0, block)
+        else:
+            body["system"] = [block]
     elif isinstance(body.get("messages"), list):
         body["messages"].insert(0, {"role": "system", "content": context})
     elif isinstance(body.get("prompt"), str):
-        body["prompt"] = context + "\n" + body["prompt"]
+        body["prompt"] = f"{context}\n\n{body['prompt']}"
     return json.dumps(body)
 
 
-def inject(payload: Column, context: Column) -> Column:
+def inject(payload: Column, context: Column, dialect: Column) -> Column:
     """injected_payload as a column function."""
 
     @F.pandas_udf(T.StringType())
-    def run(payloads: pd.Series, contexts: pd.Series) -> pd.Series:
-        return pd.Series([injected_payload(p, c) for p, c in zip(payloads, contexts, strict=True)])
+    def run(payloads: pd.Series, contexts: pd.Series, dialects: pd.Series) -> pd.Series:
+        return pd.Series([injected_payload(p, c, d) for p, c, d in zip(payloads, contexts, dialects, strict=True)])
 
-    return run(payload, context)
+    return run(payload, context, dialect)

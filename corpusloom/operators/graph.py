@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from corpusloom.functions.text import extension, normal_path
-from corpusloom.session import cut
+from corpusloom.functions.text import normal_path
+from corpusloom.session import cut, numbered
 
 
 def parent(path: Column) -> Column:
@@ -16,30 +15,53 @@ def parent(path: Column) -> Column:
     return F.when(up == "", ".").otherwise(up)
 
 
-# Type and group of a file by extension.
-FILE_TYPES = {"rs": ("Code", 1), "c": ("Code", 1), "py": ("Code", 1), "ts": ("Code", 1), "md": ("Document", 2), "json": ("Config", 3), "toml": ("Config", 3), "yaml": ("Config", 3)}
+# Type and group of a file by extension, and of a directory; names that are left out.
+FILE_TYPES = {
+    "rs": ("Logic", 1), "tsx": ("Sensory", 2), "ts": ("Sensory", 2), "css": ("Visual", 3), "html": ("Visual", 3),
+    "toml": ("Processor", 4), "json": ("Processor", 4), "md": ("Memory", 5),
+}
+DIRECTORY_TYPE = ("Network Structure", 8)
+GRAPH_IGNORED = ("node_modules", "target", ".git", ".gemini")
 
 
 def file_type(path: Column) -> Column:
-    """struct(type, grp) by extension; anything else is ('Gist', 0)."""
-    ext, kind, grp = extension(path), F.lit("Gist"), F.lit(0)
+    """struct(type, grp) by extension, whose case counts; anything else is ('Gist', 0)."""
+    ext = F.regexp_extract(normal_path(path), r"[^/]\.([^./]+)$", 1)
+    kind, grp = F.lit("Gist"), F.lit(0)
     for e, (k, g) in FILE_TYPES.items():
         kind, grp = F.when(ext == e, k).otherwise(kind), F.when(ext == e, g).otherwise(grp)
     return F.struct(kind.alias("type"), grp.alias("grp"))
 
 
+def graph_files(paths: DataFrame) -> DataFrame:
+    """(name): distinct paths without a component that is left out."""
+    rows = paths.where("path IS NOT NULL").select(normal_path("path").alias("name")).distinct()
+    return rows.where(~F.exists(F.split("name", "/"), lambda c: c.isin(*GRAPH_IGNORED)))
+
+
 def file_nodes(paths: DataFrame) -> DataFrame:
-    """(name, kind, type, grp): a node for each file and each directory that directly holds one."""
-    files = paths.where("path IS NOT NULL").select(normal_path("path").alias("name")).distinct()
+    """(id, name, kind, type, grp): a node for each file and each directory that directly holds one,
+    numbered from 0 by name and kind. Without any file there is one node that says so."""
+    files = graph_files(paths)
     dirs = files.select(parent(F.col("name")).alias("name")).distinct()
     one = files.withColumn("kind", F.lit("file")).withColumn("t", file_type(F.col("name")))
-    two = dirs.withColumn("kind", F.lit("directory")).withColumn("t", F.struct(F.lit("Directory").alias("type"), F.lit(0).alias("grp")))
-    return one.unionByName(two).select("name", "kind", "t.type", "t.grp")
+    two = dirs.withColumn("kind", F.lit("directory")).withColumn("t", F.struct(F.lit(DIRECTORY_TYPE[0]).alias("type"), F.lit(DIRECTORY_TYPE[1]).alias("grp")))
+    nodes = numbered(one.unionByName(two).select("name", "kind", "t.type", "t.grp"), ["name", "kind"], "id").select("id", "name", "kind", "type", "grp")
+    if nodes.isEmpty():
+        return paths.sparkSession.createDataFrame([(0, "no files found", "error", "Error", 1)], "id long, name string, kind string, type string, grp int")
+    return nodes
 
 
 def file_links(paths: DataFrame) -> DataFrame:
     """(source, target): each file and its directory."""
-    return paths.where("path IS NOT NULL").select(normal_path("path").alias("source")).distinct().select("source", parent(F.col("source")).alias("target"))
+    return graph_files(paths).select(F.col("name").alias("source"), parent(F.col("name")).alias("target"))
+
+
+def neighbour_lists(links: DataFrame) -> DataFrame:
+    """(name, other): each pair of neighbours both ways, once; a row a neighbour, so that no node's
+    neighbours gather in one row."""
+    both = links.select(F.col("source").alias("name"), F.col("target").alias("other")).unionByName(links.select(F.col("target").alias("name"), F.col("source").alias("other")))
+    return both.distinct()
 
 
 def neighbours(links: DataFrame) -> DataFrame:
@@ -48,8 +70,11 @@ def neighbours(links: DataFrame) -> DataFrame:
     return both.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def directory_tree(paths: DataFrame) -> DataFrame:
-    """(node, up, depth): every prefix of every path with its parent; the root is '.'."""
+def directory_tree(paths: DataFrame, max_files: int | None = None) -> DataFrame:
+    """(node, up, depth): every prefix of every path with its parent; the root is '.'. With max_files, of
+    that many files, the first by path."""
+    if max_files is not None:
+        paths = paths.where("path IS NOT NULL").select(normal_path("path").alias("path")).distinct().orderBy("path").limit(max_files)
     rows = paths.where("path IS NOT NULL").select(F.filter(F.split(normal_path("path"), "/"), lambda c: (c != "") & (c != ".")).alias("cs")).distinct()
     prefixes = rows.select("cs", F.explode(F.when(F.size("cs") > 0, F.sequence(F.lit(1), F.size("cs")))).alias("depth"))
     node = F.array_join(F.slice("cs", 1, F.col("depth")), "/")
@@ -57,25 +82,33 @@ def directory_tree(paths: DataFrame) -> DataFrame:
     return prefixes.select(node.alias("node"), up.alias("up"), "depth").distinct()
 
 
-def merkle_levels(files: DataFrame) -> DataFrame:
-    """(node, depth, digest): digests of a directory tree, from the deepest level up. A file's is its
-    content's (path, digest); a directory's is the hash of its children's names and digests in
-    order. Each level is one aggregation; a directory's children gather in one row, so their
-    digests, not their contents, bound it. Depth is that of the data; every level is cut from its
-    lineage, so the plan does not grow with the depth."""
-    tree = cut(directory_tree(files.select("path")), "tree")
-    leaves = files.select(normal_path("path").alias("node"), F.col("digest")).groupBy("node").agg(F.max("digest").alias("digest"))
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    level, done = None, None
-    for depth in range(deepest, 0, -1):
-        own = tree.where(F.col("depth") == depth).join(leaves, "node", "left")
-        if level is not None:
-            below = level.groupBy(F.col("up").alias("node")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat(c["node"], F.lit(":"), c["digest"])), "\n"), 256).alias("inner"))
-            own = own.join(below, "node", "left").withColumn("digest", F.coalesce("inner", "digest")).drop("inner")
-        level = cut(own.select("node", "up", "depth", F.coalesce("digest", F.lit("")).alias("digest")), "level")
-        done = level if done is None else done.unionByName(level)
+def merkle_digests(nodes: DataFrame) -> DataFrame:
+    """(node, depth, digest) of a forest (node, up, own): a node without children has its own digest; any
+    other the hash of its own digest followed by its children's, each with the child's name.
+
+    Children are hashed in blocks by the first two letters of their names, so that of a directory
+    with a third of all nodes no task holds more than a block; the blocks' digests follow in order.
+    Nodes whose `up` is unknown are roots; nodes that only a cycle leads to have no row. Levels are
+    found from the roots down and hashed from the leaves up, each cut from its lineage."""
+    rows = cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.max(F.struct("own", "up")).alias("x")).select("node", "x.up", F.coalesce("x.own", F.lit("")).alias("own")), "nodes")
+    known = rows.select(F.col("node").alias("up"))
+    level = cut(rows.join(known, "up", "left_anti"), "level")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        level = cut(rows.join(level.select(F.col("node").alias("up")), "up").select(*rows.columns), "level")
+    below, done = None, None
+    for depth in range(len(levels) - 1, -1, -1):
+        here = levels[depth].withColumn("digest", F.col("own"))
+        if below is not None:
+            item = F.array_sort(F.collect_list(F.struct("node", "digest")))
+            parts = below.groupBy("up", F.substring("node", 1, 2).alias("block")).agg(F.sha2(F.array_join(F.transform(item, lambda c: F.concat(c["digest"], c["node"])), ""), 256).alias("part"))
+            inner = parts.groupBy(F.col("up").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda c: c["part"]), "").alias("inner"))
+            here = here.join(inner, "node", "left").withColumn("digest", F.when(F.col("inner").isNull(), F.col("own")).otherwise(F.sha2(F.concat("own", "inner"), 256)))
+        below = cut(here.select("node", "up", F.lit(depth).alias("depth"), "digest"), "digests")
+        done = below if done is None else done.unionByName(below)
     if done is None:
-        return tree.select("node", "depth", F.lit("").alias("digest")).limit(0)
+        return rows.select("node", F.lit(0).alias("depth"), F.col("own").alias("digest"))
     return done.select("node", "depth", "digest")
 
 

@@ -102,6 +102,44 @@ def gist_fold(rows: DataFrame, key: str, order: str, old: float = 0.9, new: floa
     return rows.select(key, order, "vector", "path").groupBy(key).applyInPandas(fold, "key long, gist array<double>, kept long")
 
 
+def tuned(rows: DataFrame, key: str, order: str, alpha: float) -> DataFrame:
+    """(key, vector): each key's (order, vector) rows blended in order, alpha of the new one, from the
+    first; alpha is held within 0 and 1. The closed form of the fold: weights alpha * (1 - alpha)^k,
+    k counted from the last row, and the rest for the first row."""
+    from pyspark.sql import Window as W
+
+    a = min(max(alpha, 0.0), 1.0)
+    w = W.partitionBy(key)
+    placed = rows.withColumns({"__k": F.row_number().over(w.orderBy(F.col(order).desc())) - 1, "__n": F.count(F.lit(1)).over(w)})
+    first = F.col("__k") == F.col("__n") - 1
+    weight = F.when(first, F.pow(F.lit(1 - a), F.col("__k"))).otherwise(F.lit(a) * F.pow(F.lit(1 - a), F.col("__k")))
+    parts = placed.select(key, weight.alias("w"), F.posexplode("vector").alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"))
+    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector"))
+
+
+def workspace_vector(files: DataFrame, dim: int, embed, per_file: int = 3, entries: int = 100, least: int = 50) -> DataFrame:
+    """(vector): one unit vector of a workspace (path, text): of the first `entries` blocks by path and
+    place, blocks between blank lines of more than `least` characters and `per_file` of a file at
+    most, g = 0.85 g + 0.15 c + 0.1 bind(key(path), c) over their vectors c, which
+    embed(blocks) -> (path, no, vector) gives. At most `entries` rows meet in the one task."""
+    blocks = files.select("path", F.posexplode(F.split("text", "\n\n")).alias("no", "text")).where(F.length(F.trim("text")) > least)
+    from pyspark.sql import Window as W
+
+    ranked = blocks.withColumn("rn", F.row_number().over(W.partitionBy("path").orderBy("no"))).where(F.col("rn") <= per_file)
+    first = ranked.orderBy("path", "no").limit(entries).select("path", "no", "text")
+    rows = embed(first).withColumn("one", F.lit(1).cast("long"))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros(dim)
+        for r in part.sort_values(["path", "no"]).itertuples():
+            c = np.asarray(r.vector, float)
+            g = 0.85 * g + 0.15 * c + 0.10 * convolve(path_key(r.path, dim), c)
+        length = np.linalg.norm(g)
+        return pd.DataFrame({"vector": [(g / length if length else g).tolist()]})
+
+    return rows.groupBy("one").applyInPandas(fold, "vector array<double>")
+
+
 def watermark_bias(vector: Column, seed: str, bytes_: int = 2420) -> Column:
     """Vector plus byte * 1e-6 at index 17 * i mod n for every byte i of a SHAKE-256 stream."""
     stream = np.frombuffer(hashlib.shake_256(seed.encode()).digest(bytes_), np.uint8).astype(float)

@@ -104,27 +104,62 @@ def streamed_weights(log: DataFrame, cap: int) -> DataFrame:
 
 
 def injected(log: DataFrame, capacity: int) -> DataFrame:
-    """(device, seq, position, accepted): a bump cursor over (device, seq, bytes); an entry that does not
-    fit is rejected and leaves the cursor where it is."""
+    """(device, seq, position, accepted): a bump cursor over (device, seq, bytes) and, where the log has
+    them, op and cluster. An entry that does not fit is rejected and leaves the cursor where it is;
+    op remove drops the entries of its cluster without moving the cursor back, and accepts if there
+    were any."""
+    full = log if "op" in log.columns else log.withColumns({"op": F.lit("add"), "cluster": F.lit(0)})
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0, []
+        at, out, held = 0, [], {}
         for r in rows.sort_values("seq").itertuples():
+            if r.op == "remove":
+                out.append((r.device, r.seq, None, held.pop(r.cluster, 0) > 0))
+                continue
             fits = at + r.bytes <= capacity
             out.append((r.device, r.seq, at if fits else None, bool(fits)))
-            at += r.bytes if fits else 0
+            if fits:
+                at, held[r.cluster] = at + r.bytes, held.get(r.cluster, 0) + 1
         return pd.DataFrame(out, columns=["device", "seq", "position", "accepted"]).astype({"position": "Int64"})
 
-    return log.groupBy("device").applyInPandas(replay, "device long, seq long, position long, accepted boolean")
+    return full.select("device", "seq", "op", "cluster", "bytes").groupBy("device").applyInPandas(replay, "device long, seq long, position long, accepted boolean")
 
 
 def thermal_state(temperature: Column, watts: Column) -> Column:
-    """struct(state, rate, delay_ms): critical from 80 degrees, throttled from 72 degrees or 150 W."""
+    """struct(state, rate, delay_ms): critical from 80 degrees, thermal_throttle from 72, else
+    power_throttle from 150 W, else normal."""
+    state = F.when(temperature >= 80, "critical").when(temperature >= 72, "thermal_throttle").when(watts >= 150, "power_throttle").otherwise("normal")
     rate = F.when(temperature >= 80, 0.0).when((temperature >= 72) | (watts >= 150), 0.5).otherwise(1.0)
-    state = F.when(temperature >= 80, "critical").when((temperature >= 72) | (watts >= 150), "throttled").otherwise("normal")
     return F.struct(state.alias("state"), rate.alias("rate"), ((1 - rate) * 50).cast("int").alias("delay_ms"))
 
 
+def scratchpad(log: DataFrame, size: int) -> DataFrame:
+    """(device, seq, offset, used): a scratchpad that only counts, over a log (device, seq, op, bytes). alloc
+    takes what is asked at the end of what is used, if it fits; free lowers the use by its bytes, never
+    below 0. offset is null where nothing fits and for frees."""
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = 0, []
+        for r in rows.sort_values("seq").itertuples():
+            place = None
+            if r.op == "alloc" and used + r.bytes <= size:
+                place, used = used, used + r.bytes
+            elif r.op == "free":
+                used -= min(r.bytes, used)
+            out.append((r.device, r.seq, place, used))
+        return pd.DataFrame(out, columns=["device", "seq", "offset", "used"]).astype({"offset": "Int64"})
+
+    return log.groupBy("device").applyInPandas(replay, "device long, seq long, offset long, used long")
+
+
+def resident_use(log: DataFrame) -> DataFrame:
+    """(device, blocks, used): blocks that are resident at the end of a log (device, seq, op, block, bytes)
+    of adds and removes, and the bytes they take: each block's last add or remove decides."""
+    moves = log.where("op IN ('add', 'remove')").groupBy("device", "block").agg(F.max_by(F.struct("op", "bytes"), "seq").alias("last"))
+    live = moves.where("last.op = 'add'")
+    return live.groupBy("device").agg(F.count(F.lit(1)).alias("blocks"), F.sum("last.bytes").alias("used"))
+
+
 def prefetch_schedule(layers: DataFrame, ahead: int = 2, behind: int = 2) -> DataFrame:
     """(model, step, action, layer): before each layer the next `ahead` are prefetched, after it the
     one `behind` steps back is evicted. layers is (model, n)."""

@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.registry import Registry
 
-FAMILIES = ("text", "dense", "events", "structure", "incremental")
+FAMILIES = ("text", "dense", "retrieval", "events", "structure", "scalars", "incremental")
 
 
 def all_queries() -> Registry:

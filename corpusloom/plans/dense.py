@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import dense, search
-from corpusloom.plans.text import files
 from corpusloom.registry import Registry
 from corpusloom.session import table
 
@@ -49,22 +48,17 @@ def relative_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.where(F.col("score") >= F.greatest(F.lit(0.05), F.col("best") * 0.6)).select("q", "id", "score")
 
 
-SCOPED = BASE + f""", allowed AS (SELECT q, id, vector, qv FROM q, v WHERE label = ql % 5),
-pool AS (SELECT * FROM allowed UNION ALL SELECT q, id, vector, qv FROM q, v WHERE q NOT IN (SELECT q FROM allowed)),
-s AS (SELECT q, id, round({_d('qv', 'vector')}, 6) AS score FROM pool)
+ALLOWED = BASE + f""", allowed AS (SELECT DISTINCT event_id AS id FROM events WHERE event_type = 'purchase'),
+s AS (SELECT q, id, round({_d('qv', 'vector')}, 6) AS score FROM q, v WHERE id IN (SELECT id FROM allowed))
 SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10"""
 
 
-@REGISTRY.query("scoped_top10", SCOPED)
-def scoped_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search within a scope (an equi-join on the scope's label), falling back to the whole
-    collection for queries whose scope is empty."""
+@REGISTRY.query("allow_list_top10", ALLOWED)
+def allow_list_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search within a list of ids, here of the purchases; unknown ids count for nothing."""
     v = collection(spark, sf_dir)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("vector").alias("qv"), (F.col("label") % 5).alias("label"))
-    scoped = v.join(search.small_side(q), "label").select("q", "id", "vector", "qv")
-    empty = q.join(v.select("label").distinct(), "label", "left_anti").select("q", "qv")
-    pool = scoped.unionByName(v.join(search.small_side(empty)).select("q", "id", "vector", "qv"))
-    return search.top_per(pool.select("q", "id", F.round(V.dot(F.col("qv"), F.col("vector")), 6).alias("score")), "q", "score", "id", 10)
+    allowed = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("id")).distinct()
+    return search.dense_top(v.join(allowed, "id", "left_semi"), probes(v), 10)
 
 
 GIST = BASE + """, e AS (SELECT generate_subscripts(vector, 1) - 1 AS pos, unnest(vector)::DOUBLE AS x FROM v), m AS (SELECT pos, avg(x) AS m FROM e GROUP BY pos),
@@ -89,14 +83,15 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection(spark, sf_dir).select("id", F.round(V.norm(F.col("vector")), 6).alias("length"))
 
 
-ASSIGN = BASE + f""", c AS (SELECT id // 40 AS part, vector AS cv FROM v WHERE id % 40 = 0), s AS (SELECT id, part, round({_d('vector', 'cv')}, 9) AS s FROM v, c),
+PARTS = 16
+ASSIGN = BASE + f""", r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS num, greatest(1, (SELECT count(*) FROM v) // {PARTS}) AS stride FROM v), c AS (SELECT (num // stride)::INT AS part, vector AS cv FROM r WHERE num % stride = 0 AND num < stride * {PARTS}), s AS (SELECT id, part, round({_d('vector', 'cv')}, 9) AS s FROM v, c),
 a AS (SELECT id, part::INT AS part FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, part) = 1)
 """
 
 
 def _start(v: DataFrame) -> DataFrame:
-    """A strided start: every fortieth vector of the collection, which has a fixed size."""
-    return v.where("id % 40 = 0").select(F.floor(F.col("id") / 40).cast("int").alias("part"), F.col("vector").cast("array<double>").alias("centroid"))
+    """PARTS vectors at equal strides of the collection."""
+    return dense.strided(v, PARTS)
 
 
 @REGISTRY.query("kmeans_assign_step", ASSIGN + "SELECT id, part FROM a")
@@ -121,7 +116,7 @@ def kmeans_update_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("kmeans_parts")
 def kmeans_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each part after spherical k-means over the whole collection."""
-    _, parts = dense.kmeans(collection(spark, sf_dir), 16)
+    _, parts = dense.kmeans(collection(spark, sf_dir), PARTS)
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -162,7 +157,13 @@ def ternary_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.ternary_top(v, probes(v), 10)
 
 
-@REGISTRY.query("coarse_to_fine_top10")
+@REGISTRY.query(
+    "coarse_to_fine_top10",
+    TERN
+    + f""", s AS (SELECT a.id AS q, b.id, list_sum(list_transform(generate_series(1, len(a.c)), lambda i: a.c[i] * b.c[i]))::INT AS agreement FROM t a, t b WHERE a.id % 50 = 0),
+n AS (SELECT q, id FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY agreement DESC, id) <= 80), e AS (SELECT n.q, n.id, round({_d('q.qv', 'v.vector')}, 6) AS score FROM n JOIN q USING (q) JOIN v ON v.id = n.id)
+SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank FROM e QUALIFY rank <= 10""",
+)
 def coarse_to_fine_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = collection(spark, sf_dir)
     return dense.coarse_to_fine(v, probes(v), 10)
@@ -183,28 +184,3 @@ def ternary_gemv(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = F.transform("vector", lambda w: F.when(w.cast("double") > F.col("scale") / 2, 1).when(w.cast("double") < -F.col("scale") / 2, -1).otherwise(0))
     rows = v.withColumn("scale", scale).withColumn("signs", signs).join(F.broadcast(x))
     return rows.select(F.col("id").alias("row"), F.round(V.dot(F.col("signs"), F.col("x")) * F.col("scale"), 6).alias("y"))
-
-
-@REGISTRY.query("hash_embeddings")
-def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files(spark, sf_dir)
-    return dense.hash_embeddings(docs, 256, "path", "text", "path").select("key", "slot", F.round("value", 6).alias("value"))
-
-
-@REGISTRY.query("hybrid_fused")
-def hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense (hash embedding) and lexical candidates of every benchmark query, fused."""
-    from corpusloom.functions.text import defined_symbols, word_tokens
-    from corpusloom.plans.text import scored_windows
-
-    chunks, lexical = scored_windows(spark, sf_dir)
-    bench = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", "text").distinct()
-    both = chunks.select(F.col("chunk").alias("key"), "text").unionByName(bench.select(F.format_string("?%d", "item_id").alias("key"), "text"))
-    vectors = dense.hash_embeddings(both, 256, "key", "text")
-    q = vectors.where("key LIKE '?%'").select(F.expr("CAST(substring(key, 2) AS BIGINT)").alias("q"), "slot", F.col("value").alias("qx"))
-    scored = vectors.where("key NOT LIKE '?%'").join(search.small_side(q, 2_000_000), "slot").groupBy("q", F.col("key").alias("chunk")).agg(F.sum(F.col("value") * F.col("qx")).alias("score"))
-    top = search.top_per(scored, "q", "score", "chunk", 48)
-    asked = bench.select(F.col("item_id").alias("q"), F.explode(F.array_distinct(word_tokens("text"))).alias("symbol")).where("octet_length(symbol) >= 4")
-    defining = chunks.select("chunk", F.explode(defined_symbols("text")).alias("symbol")).join(search.small_side(asked), "symbol").select("q", "chunk")
-    ranked = dense.fused(top.select("q", "chunk", "score"), lexical.select(F.col("item_id").alias("q"), "chunk", "score"), defining)
-    return ranked.select("q", "chunk", "fused", F.round("dense", 6).alias("dense"), "lexical", "defines", "rank")

@@ -3,7 +3,7 @@ event's user is the session or device, its id the order, its value a magnitude."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import live, state
@@ -49,9 +49,7 @@ SELECT user_id, session::BIGINT AS session, count(*) AS touches, min(event_id) A
 )
 def debounce_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"))
-    w = live.debounced(e.withColumn("id", F.col("seq")), 3_600_000)
-    first = e.join(w, "path").where((F.col("ts") >= F.col("first_ts")) & (F.col("ts") <= F.col("last_ts"))).groupBy("path", "session", "touches").agg(F.min("seq").alias("first_id"))
-    return first.select(F.col("path").alias("user_id"), "session", "touches", "first_id")
+    return live.debounced(e, 3_600_000).select(F.col("path").alias("user_id"), "session", "touches", F.col("first_seq").alias("first_id"))
 
 
 HEAT = """WITH g AS (SELECT DISTINCT event_id // 100 AS generation, user_id AS item FROM events), h AS (SELECT item, sum(pow(0.98, (SELECT max(generation) FROM g) - generation)) AS h FROM g GROUP BY item),
@@ -119,26 +117,33 @@ def ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("rn", F.row_number().over(w)).where("rn <= 16").drop("rn")
 
 
+STATE = "CASE WHEN c >= 80 THEN 'critical' WHEN c >= 72 THEN 'thermal_throttle' WHEN w >= 150 THEN 'power_throttle' ELSE 'normal' END"
+HEATED = "WITH t AS (SELECT user_id, event_id, 60 + value / 8 AS c, 100 + value AS w FROM events)\n"
+
+
+def _thermal() -> Column:
+    return state.thermal_state(60 + F.col("value") / 8, 100 + F.col("value"))
+
+
 @REGISTRY.query(
     "thermal_states",
-    """WITH t AS (SELECT user_id, event_id, 60 + value / 2 AS c, 100 + value AS w FROM events)
-SELECT state, count(*) AS n, max(CASE state WHEN 'critical' THEN 50 WHEN 'throttled' THEN 25 ELSE 0 END)::INT AS delay_ms FROM (SELECT CASE WHEN c >= 80 THEN 'critical' WHEN c >= 72 OR w >= 150 THEN 'throttled' ELSE 'normal' END AS state FROM t) GROUP BY state""",
+    HEATED + f"SELECT state, count(*) AS n, max(CASE state WHEN 'critical' THEN 50 WHEN 'normal' THEN 0 ELSE 25 END)::INT AS delay_ms FROM (SELECT {STATE} AS state FROM t) GROUP BY state",
 )
 def thermal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").select(state.thermal_state(60 + F.col("value") / 2, 100 + F.col("value")).alias("s"))
+    s = table(spark, sf_dir, "events").select(_thermal().alias("s"))
     return s.groupBy("s.state").agg(F.count(F.lit(1)).alias("n"), F.max("s.delay_ms").alias("delay_ms"))
 
 
 @REGISTRY.query(
     "thermal_transitions",
-    """WITH t AS (SELECT user_id, event_id, CASE WHEN 60 + value / 2 >= 80 THEN 'critical' WHEN 60 + value / 2 >= 72 OR 100 + value >= 150 THEN 'throttled' ELSE 'normal' END AS state FROM events),
-l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM t)
+    HEATED
+    + f""", x AS (SELECT *, {STATE} AS state FROM t), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM x)
 SELECT before, state, count(*) AS n FROM l WHERE before IS NOT NULL AND before <> state GROUP BY ALL""",
 )
 def thermal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    s = table(spark, sf_dir, "events").select("user_id", "event_id", state.thermal_state(60 + F.col("value") / 2, 100 + F.col("value"))["state"].alias("state"))
+    s = table(spark, sf_dir, "events").select("user_id", "event_id", _thermal()["state"].alias("state"))
     before = F.lag("state").over(W.partitionBy("user_id").orderBy("event_id"))
     return s.withColumn("before", before).where("before <> state").groupBy("before", "state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -204,9 +209,87 @@ def streamed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.streamed_weights(command_log(spark, sf_dir), 800)
 
 
-@REGISTRY.query("injected_entries")
+LOG = """WITH RECURSIVE log AS (SELECT user_id AS device, event_id AS seq, CASE event_type WHEN 'error' THEN 'remove' WHEN 'click' THEN 'access' ELSE 'add' END AS op, event_id % 13 AS block, floor(round(value * 10, 6))::BIGINT AS bytes,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+"""
+
+
+@REGISTRY.query(
+    "injected_entries",
+    LOG
+    + """, f AS (SELECT device, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS at, 0::BIGINT AS position, true AS accepted FROM (SELECT DISTINCT device FROM log)
+  UNION ALL SELECT l.device, l.r, l.seq, CASE WHEN f.at + l.bytes <= 5000 THEN f.at + l.bytes ELSE f.at END, CASE WHEN f.at + l.bytes <= 5000 THEN f.at END, f.at + l.bytes <= 5000 FROM f JOIN log l ON l.device = f.device AND l.r = f.r + 1)
+SELECT device, seq, position, accepted FROM f WHERE r > 0""",
+)
 def injected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.injected(command_log(spark, sf_dir), 5000)
+    return state.injected(command_log(spark, sf_dir).drop("op"), 5000)
+
+
+@REGISTRY.query("injected_clusters")
+def injected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with removals of whole clusters."""
+    return state.injected(command_log(spark, sf_dir).withColumn("cluster", F.col("block") % 3), 5000)
+
+
+@REGISTRY.query(
+    "scratchpad_trace",
+    LOG
+    + """, f AS (SELECT device, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS used, 0::BIGINT AS "offset" FROM (SELECT DISTINCT device FROM log)
+  UNION ALL SELECT l.device, l.r, l.seq, CASE WHEN l.op <> 'add' THEN f.used - least(l.bytes, f.used) WHEN f.used + l.bytes <= 1024 THEN f.used + l.bytes ELSE f.used END, CASE WHEN l.op = 'add' AND f.used + l.bytes <= 1024 THEN f.used END FROM f JOIN log l ON l.device = f.device AND l.r = f.r + 1)
+SELECT device, seq, "offset", used FROM f WHERE r > 0""",
+)
+def scratchpad_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = command_log(spark, sf_dir).withColumn("op", F.when(F.col("op") == "add", "alloc").otherwise("free"))
+    return state.scratchpad(log, 1024)
+
+
+@REGISTRY.query(
+    "resident_use",
+    LOG + ", m AS (SELECT device, block, arg_max(op, seq) AS op, arg_max(bytes, seq) AS bytes FROM log WHERE op <> 'access' GROUP BY ALL) SELECT device, count(*) AS blocks, sum(bytes)::BIGINT AS used FROM m WHERE op = 'add' GROUP BY device",
+)
+def resident_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.resident_use(command_log(spark, sf_dir))
+
+
+@REGISTRY.query(
+    "pin_report",
+    HEAT
+    + """, b AS (SELECT item, round(heat, 6) AS heat, CASE WHEN item % 7 = 0 THEN NULL ELSE 1000 + item * 37 END AS bytes FROM hot), r AS (SELECT item, sum(bytes) OVER (ORDER BY heat DESC, item) AS total FROM b WHERE bytes IS NOT NULL)
+SELECT CASE WHEN b.bytes IS NULL THEN 'unknown' WHEN total <= 100000 THEN 'pinned' ELSE 'over_budget' END AS state, count(*) AS items, coalesce(sum(b.bytes), 0)::BIGINT AS bytes FROM b LEFT JOIN r USING (item) GROUP BY 1""",
+)
+def pin_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the hot items under a byte budget, when some of them have no known size."""
+    hot = live.heat(access_log(spark, sf_dir)).select("item", F.round("heat", 6).alias("heat"))
+    sizes = hot.where(F.col("item") % 7 != 0).select("item", (F.col("item") * 37 + 1000).alias("bytes"))
+    return live.pin_report(hot, sizes, 100_000)
+
+
+@REGISTRY.query(
+    "running_latency",
+    """WITH RECURSIVE l AS (SELECT event_type AS route, floor(round(value, 6))::BIGINT AS ms, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
+f AS (SELECT route, 0::BIGINT AS r, 0::BIGINT AS avg FROM (SELECT DISTINCT route FROM l) UNION ALL SELECT l.route, l.r, (f.avg + l.ms) // 2 FROM f JOIN l ON l.route = f.route AND l.r = f.r + 1)
+SELECT route, arg_max(avg, r) AS latency, max(r) AS requests FROM f GROUP BY route""",
+)
+def running_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each route's running average in whole numbers, (average + latency) / 2 from 0 in order: after 64
+    halvings an earlier request cannot count any more, so the last 64 decide."""
+    from pyspark.sql import Window as W
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "event_id", F.floor(F.round("value", 6)).cast("long").alias("ms"))
+    last = rows.withColumn("rn", F.row_number().over(W.partitionBy("route").orderBy(F.col("event_id").desc()))).where("rn <= 64")
+    packed = last.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("event_id", "ms"))).alias("xs"))
+    fold = F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: F.floor((s + x["ms"]) / 2).cast("long"))
+    counts = rows.groupBy("route").agg(F.count(F.lit(1)).alias("requests"))
+    return packed.select("route", fold.alias("latency")).join(counts, "route")
+
+
+@REGISTRY.query("fault_phases")
+def fault_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase changes of each cluster, as the stream's machine makes them."""
+    from corpusloom.streaming import jobs
+
+    rows = activations(spark, sf_dir).select("cluster", F.col("event_id").alias("seq"), "x")
+    return jobs.fault_phases(rows, bar=0.6).select("cluster", "seq", "before", "phase", F.round("ema", 6).alias("ema"), "samples")
 
 
 @REGISTRY.query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import incremental as inc
 from corpusloom.registry import Registry
-from corpusloom.session import table, work_path
+from corpusloom.session import shared_dir, table, work_path
 
 REGISTRY = Registry()
 
@@ -25,7 +27,11 @@ prev AS (SELECT r.run_id, o.node_id, arg_max(o.content_hash, o.observed_at) AS h
     STATES + "SELECT n.run_id, n.node_id FROM now n LEFT JOIN prev p USING (run_id, node_id) WHERE p.h IS NULL OR p.h <> n.h",
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.refreshed_run_changes(table(spark, sf_dir, "dag_nodes"), table(spark, sf_dir, "sync_runs"))
+    """Kept in the shared folder under the name of its source: a further call computes only the
+    partitions whose observations have changed since."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark).rstrip('/')}/run-changes-{name}"
+    return inc.refreshed_run_changes(table(spark, sf_dir, "dag_nodes"), table(spark, sf_dir, "sync_runs"), path)
 
 
 @REGISTRY.query(

@@ -12,17 +12,21 @@ from corpusloom.registry import Registry
 from corpusloom.session import table
 
 REGISTRY = Registry()
-PATHS = r"""WITH p AS (SELECT DISTINCT replace(path, '\', '/') AS path FROM chunks WHERE path IS NOT NULL),
+_IGNORED = ", ".join(f"'{x}'" for x in graph.GRAPH_IGNORED)
+PATHS = rf"""WITH every AS (SELECT DISTINCT replace(path, '\', '/') AS path FROM chunks WHERE path IS NOT NULL),
+p AS (SELECT path FROM every WHERE len(list_filter(string_split(path, '/'), lambda c: c IN ({_IGNORED}))) = 0),
 l AS (SELECT path AS source, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS target FROM p)
 """
+_KINDS = " ".join(f"WHEN '{e}' THEN '{k}'" for e, (k, _) in graph.FILE_TYPES.items())
+_GROUPS = " ".join(f"WHEN '{e}' THEN {g}" for e, (_, g) in graph.FILE_TYPES.items())
 
 
 @REGISTRY.query(
     "file_graph_nodes",
     PATHS
-    + r""", t AS (SELECT path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS e FROM p)
-SELECT path AS name, 'file' AS kind, CASE WHEN e IN ('rs', 'c', 'py', 'ts') THEN 'Code' WHEN e = 'md' THEN 'Document' WHEN e IN ('json', 'toml', 'yaml') THEN 'Config' ELSE 'Gist' END AS type,
-CASE WHEN e IN ('rs', 'c', 'py', 'ts') THEN 1 WHEN e = 'md' THEN 2 WHEN e IN ('json', 'toml', 'yaml') THEN 3 ELSE 0 END::INT AS grp FROM t UNION ALL SELECT DISTINCT target, 'directory', 'Directory', 0 FROM l""",
+    + rf""", t AS (SELECT path, regexp_extract(path, '[^/]\.([^./]+)$', 1) AS e FROM p),
+n AS (SELECT path AS name, 'file' AS kind, CASE e {_KINDS} ELSE 'Gist' END AS type, CASE e {_GROUPS} ELSE 0 END::INT AS grp FROM t UNION ALL SELECT DISTINCT target, 'directory', 'Network Structure', 8 FROM l)
+SELECT row_number() OVER (ORDER BY name, kind) - 1 AS id, name, kind, type, grp FROM n""",
 )
 def file_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.file_nodes(table(spark, sf_dir, "chunks").select("path"))
@@ -33,14 +37,22 @@ def file_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.file_links(table(spark, sf_dir, "chunks").select("path"))
 
 
-@REGISTRY.query("graph_neighbours", PATHS + "SELECT name, count(*) AS degree FROM (SELECT source AS name, target AS other FROM l UNION SELECT target, source FROM l) GROUP BY name")
+@REGISTRY.query(
+    "graph_neighbours",
+    PATHS + ", b AS (SELECT source AS name, target AS other FROM l UNION SELECT target, source FROM l) SELECT name, count(*) AS degree FROM b GROUP BY name",
+)
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(graph.file_links(table(spark, sf_dir, "chunks").select("path")))
 
 
+@REGISTRY.query("graph_neighbour_lists", PATHS + "SELECT source AS name, target AS other FROM l UNION SELECT target, source FROM l")
+def graph_neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbour_lists(graph.file_links(table(spark, sf_dir, "chunks").select("path")))
+
+
 TREE = (
     PATHS
-    + r""", cs AS (SELECT DISTINCT list_filter(string_split(path, '/'), lambda c: c <> '' AND c <> '.') AS cs FROM p), d AS (SELECT cs, unnest(generate_series(1, len(cs)))::INT AS depth FROM cs),
+    + r""", cs AS (SELECT DISTINCT list_filter(string_split(path, '/'), lambda c: c <> '' AND c <> '.') AS cs FROM every), d AS (SELECT cs, unnest(generate_series(1, len(cs)))::INT AS depth FROM cs),
 tree AS (SELECT DISTINCT array_to_string(cs[1:depth], '/') AS node, CASE WHEN depth = 1 THEN '.' ELSE array_to_string(cs[1:depth-1], '/') END AS up, depth FROM d)
 """
 )
@@ -51,16 +63,39 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.directory_tree(table(spark, sf_dir, "chunks").select("path"))
 
 
-def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, digest): newest content hash of each file of the DAG, by catalog root."""
-    rows = table(spark, sf_dir, "dag_nodes").where("node_type = 'file' AND path IS NOT NULL AND content_hash IS NOT NULL")
-    path = F.concat(F.lit("c"), F.col("catalog_id").cast("string"), F.lit("/"), F.regexp_replace(T.normal_path("path"), r"^(\./)+", ""))
-    return rows.groupBy(path.alias("path")).agg(F.max_by(F.lower("content_hash"), F.struct("observed_at", "arrival_seq", F.lower("content_hash"))).alias("digest"))
+def dag_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, up, own): newest content hash of each node, with its parent, by catalog."""
+    rows = table(spark, sf_dir, "dag_nodes").where("catalog_id IS NOT NULL AND node_id IS NOT NULL")
+    newest = F.max_by(F.struct("own"), F.struct("seen", "arrival_seq", "own")).getField("own")
+    rows = rows.select("catalog_id", "node_id", "parent_id", "arrival_seq", F.lower("content_hash").alias("own"), F.when(F.col("content_hash").isNotNull(), F.col("observed_at")).alias("seen"))
+    one = rows.groupBy("catalog_id", "node_id").agg(F.max("parent_id").alias("parent_id"), newest.alias("own"))
+    name = lambda c: F.concat(c, F.lit("@"), F.col("catalog_id").cast("string"))
+    return one.select(name(F.col("node_id")).alias("node"), name(F.col("parent_id")).alias("up"), "own")
+
+
+def _merkle_sql(depths: int = 12) -> str:
+    """The tree hashed level by level, written out for trees of up to `depths` levels."""
+    levels = []
+    for d in range(depths - 1, -1, -1):
+        below = f"(SELECT * FROM m{d + 1})" if d < depths - 1 else "(SELECT NULL AS node, NULL AS up, NULL AS digest WHERE false)"
+        levels.append(
+            f"""m{d} AS MATERIALIZED (SELECT s.node, s.up, CASE WHEN i.inner_ IS NULL THEN s.own ELSE sha256(s.own || i.inner_) END AS digest FROM s JOIN d USING (node)
+  LEFT JOIN (SELECT up AS node, string_agg(part, '' ORDER BY block) AS inner_ FROM (SELECT up, node[1:2] AS block, sha256(string_agg(digest || node, '' ORDER BY node)) AS part FROM {below} GROUP BY up, node[1:2]) GROUP BY up) i USING (node) WHERE d.depth = {d})"""
+        )
+    return (
+        """WITH RECURSIVE n AS (SELECT catalog_id, node_id, max(parent_id) AS parent_id, arg_max(lower(content_hash), struct_pack(a := observed_at, b := arrival_seq, c := lower(content_hash))) FILTER (content_hash IS NOT NULL) AS own FROM dag_nodes WHERE catalog_id IS NOT NULL AND node_id IS NOT NULL GROUP BY ALL),
+s AS MATERIALIZED (SELECT node_id || '@' || catalog_id AS node, parent_id || '@' || catalog_id AS up, coalesce(own, '') AS own FROM n),
+d AS (SELECT node, 0 AS depth FROM s WHERE up IS NULL OR up NOT IN (SELECT node FROM s) UNION ALL SELECT s.node, d.depth + 1 FROM s JOIN d ON s.up = d.node),
+"""
+        + ",\n".join(levels)
+        + "\n"
+        + " UNION ALL ".join(f"SELECT node, {d}::INT AS depth, digest FROM m{d}" for d in range(depths))
+    )
 
 
-@REGISTRY.query("merkle_digests")
+@REGISTRY.query("merkle_digests", _merkle_sql())
 def merkle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merkle_levels(file_digests(spark, sf_dir))
+    return graph.merkle_digests(dag_states(spark, sf_dir))
 
 
 @REGISTRY.query(
@@ -165,32 +200,62 @@ def verity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.verity(diagnostics.diagnostics(diagnostic_lines(spark, sf_dir)), "catalog_id")
 
 
-@REGISTRY.query("error_prompts")
+@REGISTRY.query(
+    "error_prompts",
+    DIAG
+    + """, e AS (SELECT *, split_part(message, ' ', 2)::BIGINT AS n, row_number() OVER (PARTITION BY catalog_id ORDER BY split_part(message, ' ', 2)::BIGINT) AS r, count(*) OVER (PARTITION BY catalog_id) AS total FROM d WHERE level = 'error')
+SELECT catalog_id, 'Your patch to catalog-' || catalog_id || ' did not compile (attempt 1 of 3).' || chr(10) || chr(10)
+ || string_agg('error at ' || file_name || ':' || line_start || ':' || column_start || chr(10) || '  ' || message || chr(10), '' ORDER BY r) FILTER (r <= 5)
+ || CASE WHEN max(total) > 5 THEN chr(10) || '... and ' || (max(total) - 5) || ' further errors, which probably follow from those above.' || chr(10) ELSE '' END
+ || chr(10) || 'Mend the cause of the first error and give the whole corrected file. Do not remove the failing code.' AS prompt FROM e GROUP BY catalog_id""",
+)
 def error_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.render_errors(diagnostics.diagnostics(diagnostic_lines(spark, sf_dir)), "catalog_id")
+    rows = diagnostics.diagnostics(diagnostic_lines(spark, sf_dir))
+    rows = rows.withColumns({"path": F.format_string("catalog-%d", "catalog_id"), "attempt": F.lit(1), "attempts": F.lit(3), "n": F.regexp_extract("message", r"(\d+)$", 1).cast("long")})
+    return diagnostics.render_errors(rows, "catalog_id", "n")
 
 
 @REGISTRY.query(
     "danger_rules",
-    r"""WITH p AS (SELECT DISTINCT patch_id, lower(regexp_extract(replace(relative_path, '\', '/'), '\.([^./]+)$', 1)) AS lang, content FROM code_patches WHERE content IS NOT NULL AND relative_path IS NOT NULL)
-SELECT lang, count(*) AS patches, count(*) FILTER (CASE lang WHEN 'rs' THEN contains(content, 'unsafe ') OR contains(content, '.unwrap()') OR contains(content, 'panic!(') WHEN 'py' THEN contains(content, 'eval(') OR contains(content, 'exec(') OR contains(content, 'os.system(')
- WHEN 'c' THEN contains(content, 'strcpy(') OR contains(content, 'gets(') OR contains(content, 'sprintf(') WHEN 'sh' THEN contains(content, 'rm -rf') OR contains(content, 'eval ') OR contains(content, 'curl | sh') ELSE false END) AS dangerous FROM p GROUP BY lang""",
+    r"""WITH p AS (SELECT DISTINCT patch_id, lower(regexp_extract(replace(relative_path, '\', '/'), '\.([^./]+)$', 1)) AS lang, content FROM code_patches WHERE content IS NOT NULL AND relative_path IS NOT NULL),
+f AS (SELECT lang, CASE WHEN lang IN ('rust', 'rs') AND contains(content, 'unsafe') THEN 'UnsafeBlock' WHEN lang IN ('typescript', 'ts', 'tsx') AND (contains(content, 'eval(') OR contains(content, 'dangerouslySetInnerHTML')) THEN 'DangerousSuture'
+  WHEN lang IN ('python', 'py') AND (contains(content, 'exec(') OR contains(content, 'pickle.load')) THEN 'PythonExecGate' END AS name FROM p)
+SELECT lang, count(*) AS patches, count(name) AS dangerous, max(name) AS name FROM f GROUP BY lang""",
 )
 def danger_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "code_patches").where("content IS NOT NULL AND relative_path IS NOT NULL").select("patch_id", T.extension("relative_path").alias("lang"), "content").distinct()
-    found = p.select("lang", F.size(diagnostics.dangers(F.col("lang"), F.col("content"))).alias("n"))
-    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("patches"), F.sum((F.col("n") > 0).cast("long")).alias("dangerous"))
+    found = p.select("lang", F.get(diagnostics.dangers(F.col("lang"), F.col("content")), 0)["name"].alias("name"))
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("patches"), F.count("name").alias("dangerous"), F.max("name").alias("name"))
 
 
-@REGISTRY.query("patch_replies")
+@REGISTRY.query(
+    "patch_replies",
+    r"""WITH p AS (SELECT DISTINCT patch_id, relative_path AS path, content FROM code_patches WHERE patch_id IS NOT NULL),
+s AS (SELECT *, list_transform(list_filter(string_split(replace(path, '\', '/'), '/'), lambda c: c <> '' AND c <> '.'), lambda c: CASE c WHEN '..' THEN -1 ELSE 1 END) AS steps FROM p)
+SELECT patch_id, path, length(content)::INT AS chars, coalesce(trim(path) <> '' AND NOT starts_with(replace(path, '\', '/'), '/') AND NOT regexp_matches(path, '^[A-Za-z]:')
+  AND coalesce(list_min(list_transform(generate_series(1, len(steps)), lambda i: list_sum(steps[1:i]))), 0) >= 0, false) AS safe FROM s""",
+)
 def patch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches as JSON replies in prose, extracted, parsed and checked again."""
     p = table(spark, sf_dir, "code_patches").where("patch_id IS NOT NULL").select("patch_id", "relative_path", "content").distinct()
-    reply = F.concat(F.lit("Here is the patch:\n```json\n"), F.to_json(F.struct(F.col("relative_path").alias("file"), F.col("content").alias("code"))), F.lit("\n```\n"))
+    reply = F.concat(F.lit("Here is the patch:\n```json\n"), F.to_json(F.struct(F.col("relative_path").alias("file_path"), F.col("content").alias("contents"))), F.lit("\n```\n"))
     parsed = p.select("patch_id", diagnostics.parsed_patch(diagnostics.extract_object(reply)).alias("x"))
     return parsed.select("patch_id", "x.path", F.length("x.content").alias("chars"), "x.safe")
 
 
+@REGISTRY.query(
+    "reply_texts",
+    "WITH p AS (SELECT DISTINCT patch_id, content FROM code_patches WHERE patch_id IS NOT NULL) SELECT patch_id, CASE WHEN content IS NULL OR regexp_replace(content, '\\s+', '', 'g') = '' THEN md5('call ' || patch_id) ELSE md5(content) END AS text FROM p",
+)
+def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches as chat replies: the content, or the arguments of a tool call where there is none."""
+    p = table(spark, sf_dir, "code_patches").where("patch_id IS NOT NULL").select("patch_id", "content").distinct()
+    call = F.array(F.struct(F.struct(F.format_string("call %d", "patch_id").alias("arguments")).alias("function")))
+    message = F.struct(F.col("content").alias("content"), call.alias("tool_calls"))
+    reply = F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")))
+    return p.select("patch_id", F.md5(diagnostics.message_text(reply)).alias("text"))
+
+
 @REGISTRY.query("request_payloads", "SELECT DISTINCT doc_id, md5(text) AS asked FROM documents WHERE text IS NOT NULL")
 def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chat payloads: what each asks comes back from the JSON."""
@@ -200,6 +265,26 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(diagnostics.asked_text(payload)).alias("asked"))
 
 
+@REGISTRY.query(
+    "injected_payloads",
+    """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, 'anthropic' AS dialect, md5('context' || chr(10) || chr(10) || text) AS first FROM d
+UNION ALL SELECT doc_id, 'chat', md5('context') FROM d UNION ALL SELECT doc_id, 'generate', md5('context' || chr(10) || chr(10) || text) FROM d""",
+)
+def injected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as payloads of three dialects with a context put in: what then comes first."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").distinct()
+    user = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    kinds = {"anthropic": F.struct(F.col("text").alias("system"), user.alias("messages")), "chat": F.struct(user.alias("messages")), "generate": F.struct(F.col("text").alias("prompt"))}
+    at = {"anthropic": "$.system[0].text", "chat": "$.messages[0].content", "generate": "$.prompt"}
+    rows = None
+    for name, body in kinds.items():
+        sent = docs.select("doc_id", F.to_json(body).alias("payload"), F.lit("context").alias("context"), F.lit(name).alias("dialect"))
+        out = sent.select("doc_id", "dialect", diagnostics.inject(F.col("payload"), F.col("context"), F.col("dialect")).alias("out"))
+        one = out.select("doc_id", "dialect", F.md5(F.try_variant_get(F.try_parse_json("out"), at[name], "string")).alias("first"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @REGISTRY.query(
     "circular_bind",
     """WITH v AS (SELECT DISTINCT vec_id AS id, embedding AS v FROM embeddings), k AS (SELECT v AS k FROM v WHERE id = 0)

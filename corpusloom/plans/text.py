@@ -43,14 +43,21 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.line_windows(files(spark, sf_dir), 10, 3).select("path", "line_start", "line_end", F.md5("text").alias("digest"))
 
 
+WIDE = WINDOWS.replace("len(ls) - 10) / 7.0)::INT) * 7, 7)", "len(ls) - 60) / 48.0)::INT) * 48, 48)").replace("least(start + 10, n)", "least(start + 60, n)").replace("ls[start+1:start+10]", "ls[start+1:start+60]")
+
+
 @REGISTRY.query("chunk_windows_capped")
 def chunk_windows_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.windows_with_cap(files(spark, sf_dir))
 
 
-@REGISTRY.query("catalog_chunk_ids")
+@REGISTRY.query(
+    "catalog_chunk_ids",
+    WIDE + "SELECT row_number() OVER (ORDER BY path, line_start) - 1 AS chunk_id, path, line_start, line_end, greatest(1, ceil(strlen(text) / 3.2))::INT AS token_estimate, sha256(text)[1:32] AS content_hash FROM windows",
+)
 def catalog_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.catalog_chunks(files(spark, sf_dir)).drop("text")
+    """Chunks of the documents with their ids; no cap, so that SQL can state them."""
+    return chunking.catalog_chunks(files(spark, sf_dir), cap=1 << 30).drop("text")
 
 
 @REGISTRY.query(
@@ -254,21 +261,27 @@ FOLD = FOLD.format(stop=_STOP, full=_FULL, poor=_POOR, accept=f"(NOT {_STOP} AND
 def bm25_budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: BM25 candidates of every benchmark query, cut off, fitted into a token budget and
     freed of overlaps. Text is joined only to candidates."""
-    from corpusloom.operators.search import budget_fold
+    from corpusloom.operators.search import budget_fold, small_side
 
     chunks, top = scored_windows(spark, sf_dir)
-    cand = chunks.select("chunk", "path", "line_start", "line_end", T.token_estimate("text").alias("tokens")).join(F.broadcast(top), "chunk")
+    cand = chunks.select("chunk", "path", "line_start", "line_end", T.token_estimate("text").alias("tokens")).join(small_side(top), "chunk")
     folded = budget_fold(cand, "item_id", token_budget=1500)
     return folded.select("item_id", F.array_join(F.transform("accepted", lambda a: a["chunk"]), "|").alias("hits"), "spent", "dropped")
 
 
-@REGISTRY.query("rendered_context")
+SHOWN = """, ends AS (SELECT item_id, arg_max(hits, rank) AS hits FROM fold GROUP BY item_id), spots AS (SELECT item_id, unnest(hits) AS chunk, generate_subscripts(hits, 1) AS place FROM ends),
+shown AS (SELECT a.item_id, list(chr(10) || '--- ' || c.path || ':' || c.line_start || '-' || c.line_end || ' (similarity ' || round(t.score::DECIMAL(18,6), 3)::DECIMAL(18,3)::VARCHAR || ') ---' || chr(10) || c.text || chr(10) ORDER BY a.place) AS bs
+  FROM spots a JOIN c USING (chunk) JOIN top t ON t.item_id = a.item_id AND t.chunk = a.chunk GROUP BY a.item_id)
+SELECT item_id, CASE WHEN bs IS NULL THEN '' ELSE 'Relevant excerpts from the workspace:' || chr(10) || array_to_string(bs, '') || chr(10) || 'End of excerpts.' || chr(10) END AS context FROM ends LEFT JOIN shown USING (item_id)"""
+
+
+@REGISTRY.query("rendered_context", BM25.replace("WITH ", "WITH RECURSIVE ", 1) + FOLD[: FOLD.index("SELECT item_id, array_to_string(arg_max")].rstrip() + SHOWN)
 def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded hits of every benchmark query as a block of cited excerpts."""
-    from corpusloom.operators.search import budget_fold, render_context
+    from corpusloom.operators.search import budget_fold, render_context, small_side
 
     chunks, top = scored_windows(spark, sf_dir)
-    cand = chunks.select("chunk", "path", "line_start", "line_end", T.token_estimate("text").alias("tokens")).join(F.broadcast(top), "chunk")
+    cand = chunks.select("chunk", "path", "line_start", "line_end", T.token_estimate("text").alias("tokens")).join(small_side(top), "chunk")
     return render_context(budget_fold(cand, "item_id", token_budget=1500), chunks, "item_id")
 
 

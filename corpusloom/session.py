@@ -8,12 +8,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def build_session(app: str = "corpusloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the operators expect; a cluster supplies its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +27,18 @@ def build_session(app: str = "corpusloom", cores: str = "*", shuffle_partitions:
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "loom-warehouse"))
         .getOrCreate()
     )
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers, whatever folder they start in. Once a session."""
+    if getattr(ship, "_sent", None) != spark.sparkContext.applicationId:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="loom-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "corpusloom"), "zip", os.path.dirname(here), os.path.basename(here)))
+        ship._sent = spark.sparkContext.applicationId
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     known = getattr(shared_dir, "_own", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="loom-shared-")
@@ -77,6 +93,26 @@ def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """The rows with their place in the order, from 0, in column `name`. See running."""
+    return running(df, order, F.lit(1), name).withColumn(name, F.col(name) - 1)
+
+
+def running(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """The rows with the sum of `value` over all rows up to theirs in the order, in column `name`: sums
+    within range partitions plus the partitions' offsets, so no task holds more than a partition.
+    The ranged rows are cut from their lineage first, with their partition's number, so that sums
+    and offsets speak of the same partitions."""
+    ranged = df.withColumn("__v", value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    kept = cut(ranged, "ranged")
+    inner = F.sum("__v").over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    totals = kept.groupBy("__p").agg(F.sum("__v").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("__p", before.alias("__before"))  # a row a partition
+    joined = kept.withColumn(name, inner).join(F.broadcast(offsets), "__p")
+    return joined.withColumn(name, F.col("__before") + F.col(name)).drop("__p", "__v", "__before")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _paths:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import IGNORED_DIRS, is_indexable
 
@@ -66,10 +70,6 @@ def literal_pattern(text: str) -> str:
 def legacy_tensor(spark: SparkSession, path: str, dim: int = 1536) -> DataFrame:
     """(path, vector): files that hold a magic, a JSON header and `dim` little-endian floats after the
     header's first closing brace; shorter files have a null vector."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def read(blobs: pd.Series) -> pd.Series:
         out = []
@@ -105,3 +105,23 @@ def find_catalog(start: str, name: str = ".catalog", env: str = "LOOM_CATALOG")
         if up == here:
             return None
         here = up
+
+
+#: Bytes of the seal at the end of a sealed file: a SHA3-256 digest, then a signature's place.
+SEAL_BYTES = 2452
+
+
+def sealed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sealed, intact) of files whose last SEAL_BYTES bytes are a seal: whether the file is long
+    enough to hold one, and whether the seal's digest is that of what stands before it."""
+    @F.pandas_udf("boolean")
+    def intact(blobs: pd.Series) -> pd.Series:
+        return pd.Series([len(b) >= SEAL_BYTES and hashlib.sha3_256(b[:-SEAL_BYTES]).digest() == b[-SEAL_BYTES:][:32] for b in blobs])
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", (F.col("length") >= SEAL_BYTES).alias("sealed"), intact("content").alias("intact"))
+
+
+def sealed(content: bytes) -> bytes:
+    """A file's bytes with their seal; the signature's place is zeros."""
+    return content + hashlib.sha3_256(content).digest() + bytes(SEAL_BYTES - 32)

@@ -30,11 +30,11 @@ def classified(edits: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
     return edits.withColumn("path", path).withColumn("action", action)
 
 
-def stream_edits(spark: SparkSession, source: str, target: str, checkpoint: str, quiet: str = "500 milliseconds") -> StreamingQuery:
+def stream_edits(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Fold a folder of edit files into per-batch upserts under `target`/batch=N. A batch is written
     under its number, so a batch that is repeated after a failure replaces itself. Read with
-    live_layer. The watermark is twice the quiet time."""
-    edits = spark.readStream.schema(EDIT).parquet(source).withWatermark("ts", quiet)
+    live_layer. No state is kept between batches; see stream_bursts for debouncing."""
+    edits = spark.readStream.schema(EDIT).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         latest_edits(classified(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")
@@ -80,3 +80,97 @@ def stream_activations(spark: SparkSession, source: str, target: str, checkpoint
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return kept.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+TOUCH = "path string, ts timestamp"
+BURST = "path string, first_ts timestamp, last_ts timestamp, touches long"
+
+
+def _bursts(quiet_ms: int):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, last, n = state.get if state.exists else (None, None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], first, last, n))
+            state.remove()
+        else:
+            times = sorted(t for part in batches for t in (part["ts"].astype("datetime64[us]").astype("int64").tolist()))
+            for t in times:
+                if last is not None and t - last >= quiet_ms * 1000:
+                    out.append((key[0], first, last, n))
+                    first, n = None, 0
+                first = t if first is None else min(first, t)
+                last = t if last is None or n == 0 else max(last, t)
+                n += 1
+            state.update((first, last, n))
+            # The timer must lie after the watermark; a burst that is over by now is released at once after it.
+            state.setTimeoutTimestamp(max(last // 1000 + quiet_ms, state.getCurrentWatermarkMs() + 1))
+        rows = pd.DataFrame(out, columns=["path", "first_ts", "last_ts", "touches"])
+        for c in ("first_ts", "last_ts"):
+            rows[c] = pd.to_datetime(rows[c], unit="us")
+        yield rows
+
+    return update
+
+
+def bursts(touches: DataFrame, quiet_ms: int) -> DataFrame:
+    """(path, first_ts, last_ts, touches) of a stream of touches (path, ts): a burst of a path is released
+    when the watermark shows that it was left alone for quiet_ms; a gap of exactly that ends it. The
+    watermark lags twice the quiet time behind, so touches that arrive later than that are lost."""
+    known = touches.withWatermark("ts", f"{2 * quiet_ms} milliseconds")
+    return known.groupBy("path").applyInPandasWithState(_bursts(quiet_ms), BURST, "first long, last long, n long", "append", "EventTimeTimeout")
+
+
+def stream_bursts(spark: SparkSession, source: str, target: str, checkpoint: str, quiet_ms: int = 500) -> StreamingQuery:
+    """Debounce a folder of touch files into bursts under `target`. State and timers are in the
+    checkpoint; what is still open waits for later touches to move the watermark."""
+    found = bursts(spark.readStream.schema(TOUCH).option("maxFilesPerTrigger", 1).parquet(source), quiet_ms)
+    return found.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _faults(alpha: float, bar: float, hold: int):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ema, n, phase, left = state.get if state.exists else (0.0, 0, "monitoring", 0)
+        rows, out = pd.concat(list(batches)).sort_values("seq"), []
+        for r in rows.itertuples():
+            ema, n = (1 - alpha) * ema + alpha * r.x, min(n + 1, SAMPLE_CAP)
+            before = phase
+            if phase == "monitoring" and ema >= bar:
+                phase = "fault_detected"
+            elif phase == "fault_detected":
+                phase, left = "inflating", hold
+            elif phase == "inflating":
+                left -= 1
+                phase = "monitoring" if left <= 0 else phase
+            if phase != before:
+                out.append((key[0], int(r.seq), before, phase, ema, n))
+        state.update((ema, n, phase, left))
+        yield pd.DataFrame(out, columns=["cluster", "seq", "before", "phase", "ema", "samples"])
+
+    return update
+
+
+#: Samples of a cluster that are counted at most.
+SAMPLE_CAP = 100
+
+
+def fault_phases(samples: DataFrame, alpha: float = 0.1, bar: float = 0.85, hold: int = 3) -> DataFrame:
+    """(cluster, seq, before, phase, ema, samples): changes of each cluster's phase in a stream of samples
+    (cluster, seq, x). A moving average at the bar is a fault; the next sample begins the inflation,
+    which takes `hold` samples and leads back to monitoring, where a further crossing counts again.
+    Also for batches, whose rows then are one run of the same machine."""
+    schema = "cluster long, seq long, before string, phase string, ema double, samples int"
+    picked = samples.select("cluster", "seq", "x")
+    if samples.isStreaming:
+        return picked.groupBy("cluster").applyInPandasWithState(_faults(alpha, bar, hold), schema, "ema double, n int, phase string, left int", "append", "NoTimeout")
+
+    class Once:
+        exists = False
+
+        def update(self, value: tuple) -> None:
+            pass
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return next(_faults(alpha, bar, hold)(key, iter([rows]), Once()))
+
+    return picked.groupBy("cluster").applyInPandas(run, schema)

@@ -89,3 +89,37 @@ def test_a_crash_before_the_commit_repeats_the_same_partitions(spark, tmp_path):
         store._commit = commit
     assert len(store.refresh(more, lambda x: x)) == 1
     assert sorted(r["k"] for r in store.read("k long").collect()) == [*range(20), 100]
+
+
+def test_what_a_crash_left_is_removed_and_mended(spark, tmp_path):
+    store = inc.IncrementalTable(spark, str(tmp_path / "t"), ["k"], 8)
+    df = spark.createDataFrame([(k, "a") for k in range(40)], "k long, v string")
+    store.refresh(df, lambda x: x)
+    part = {r["k"]: r["__part"] for r in store.with_part(df).collect()}
+    fewer = df.where(F.col("k").isin([k for k in part if part[k] != part[0]]))
+    other = fewer.withColumn("v", F.lit("b"))
+    commit, store._commit = store._commit, lambda new: (_ for _ in ()).throw(RuntimeError("lost"))
+    for _ in range(2):
+        try:
+            store.refresh(other, lambda x: x)
+            raise AssertionError("the commit must fail")
+        except RuntimeError:
+            pass
+    store._commit = commit
+    # The source is again as at the last commit, but the stored partitions are not.
+    store.refresh(fewer, lambda x: x)
+    assert sorted(map(tuple, store.read("k long, v string").collect())) == sorted((k, "a") for k in part if part[k] != part[0])
+    assert store.refresh(fewer, lambda x: x) == [] and len(store._listed("_manifest-*")) == 1 and store._listed("_pending-*") == []
+
+
+def test_a_hot_node_and_a_kept_table(spark, tmp_path):
+    rng = random.Random(11)
+    nodes = [(seq, 1, "hot" if rng.random() < 0.5 else f"n{seq % 5}", rng.choice("abcd"), rng.randint(0, 10**6), "x") for seq in range(300)]
+    runs = [(i, 1, 30 * i, "ok", "x") for i in range(1, 11)]
+    n, r = spark.createDataFrame(nodes, NODE), spark.createDataFrame(runs, RUN)
+    path = str(tmp_path / "kept")
+    assert {tuple(x) for x in inc.refreshed_run_changes(n, r, path, 4).collect()} == brute(nodes, runs)
+    more = [*nodes, (301, 1, "late", "z", 5, "x")]
+    more_runs = [*runs, (11, 1, 310, "ok", "x")]
+    got = inc.refreshed_run_changes(spark.createDataFrame(more, NODE), spark.createDataFrame(more_runs, RUN), path, 4)
+    assert {tuple(x) for x in got.collect()} == brute(more, more_runs)

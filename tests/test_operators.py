@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import hashing, scalars
 from corpusloom.functions import vectors as V
-from corpusloom.operators import dense, diagnostics, graph, holographic, live, search, state
+from corpusloom.operators import dense, diagnostics, graph, holographic, live, retrieval, search, state
 from corpusloom.plans import structure
 
 
@@ -113,8 +114,9 @@ def test_allocator(spark):
 
 
 def test_thermal_and_schedule(spark):
-    df = spark.createDataFrame([(79.0, 100.0), (80.0, 10.0), (70.0, 150.0), (50.0, 50.0)], "t double, w double")
-    assert [r[0] for r in df.select(state.thermal_state(F.col("t"), F.col("w"))["state"]).collect()] == ["throttled", "critical", "throttled", "normal"]
+    df = spark.createDataFrame([(79.0, 100.0), (80.0, 10.0), (70.0, 150.0), (50.0, 50.0), (72.0, 200.0)], "t double, w double")
+    got = df.select(state.thermal_state(F.col("t"), F.col("w")).alias("s")).select("s.state", "s.delay_ms").collect()
+    assert [tuple(r) for r in got] == [("thermal_throttle", 25), ("critical", 50), ("power_throttle", 25), ("normal", 0), ("thermal_throttle", 25)]
     plan = state.prefetch_schedule(spark.createDataFrame([("m", 4)], "model string, n int")).collect()
     assert {(r["step"], r["action"], r["layer"]) for r in plan if r["step"] == 2} == {(2, "prefetch", 3), (2, "evict", 0)}
 
@@ -160,29 +162,42 @@ def test_gist_fold(spark):
     assert r["kept"] == 1 and r["gist"] == pytest.approx([0.05] * 4)
 
 
+def merkle(spark, rows):
+    return {r["node"]: (r["depth"], r["digest"]) for r in graph.merkle_digests(spark.createDataFrame(rows, "node string, up string, own string")).collect()}
+
+
 def test_merkle_changes_only_above_an_edit(spark):
-    def run(rows):
-        return {r["node"]: r["digest"] for r in graph.merkle_levels(spark.createDataFrame(rows, "path string, digest string")).collect()}
+    tree = [("r", None, "0"), ("a", "r", "1"), ("b", "r", "2"), ("a1", "a", "3"), ("b1", "b", "4"), ("lost", "nowhere", "5"), (None, "r", "6")]
+    one, two = merkle(spark, tree), merkle(spark, [(n, u, "9" if n == "b1" else o) for n, u, o in tree])
+    assert one["a"] == two["a"] and one["b"] != two["b"] and one["r"] != two["r"] and one["lost"] == (0, "5")
+    assert merkle(spark, []) == {}
+    # A directory's own digest counts as well.
+    assert merkle(spark, [(n, u, "9" if n == "b" else o) for n, u, o in tree])["r"] != one["r"]
+
 
-    a, b = run([("s/x/1", "p"), ("s/y/2", "q")]), run([("s/x/1", "p"), ("s/y/2", "r")])
-    assert a["s/x"] == b["s/x"] and a["s/y"] != b["s/y"] and a["s"] != b["s"]
-    assert run([]) == {}
+def test_merkle_reaches_every_depth_and_leaves_cycles_out(spark):
+    rows = [(f"n{i:02d}", f"n{i - 1:02d}" if i else None, str(i)) for i in range(40)] + [("x", "y", "1"), ("y", "x", "2")]
+    want = {39: "39"}
+    for i in range(38, -1, -1):
+        part = hashlib.sha256((want[i + 1] + f"n{i + 1:02d}").encode()).hexdigest()
+        want[i] = hashlib.sha256((str(i) + part).encode()).hexdigest()
+    assert merkle(spark, rows) == {f"n{i:02d}": (i, want[i]) for i in range(40)}
 
 
-def test_merkle_levels_reach_every_depth(spark):
-    rows = [("/".join(["d"] * 39 + [x]), x) for x in "pq"]
-    got = {r["depth"]: r["digest"] for r in graph.merkle_levels(spark.createDataFrame(rows, "path string, digest string")).where("node NOT LIKE '%q'").collect()}
-    want = {40: "p", 39: hashlib.sha256("\n".join("/".join(["d"] * 39 + [x]) + ":" + x for x in "pq").encode()).hexdigest()}
-    for depth in range(38, 0, -1):
-        want[depth] = hashlib.sha256(("/".join(["d"] * (depth + 1)) + ":" + want[depth + 1]).encode()).hexdigest()
-    assert got == want
+def test_merkle_takes_the_newest_hash(spark, tmp_path):
+    rows = [(1, "k", "FF", 1, 1), (1, "k", "aa", 2, 2), (1, "k", "bb", 2, 3), (1, "k", None, 9, 9), (2, "k", "cc", 5, 1), (2, "k", "dd", 4, 2)]
+    table = spark.createDataFrame(rows, "catalog_id long, node_id string, content_hash string, observed_at long, arrival_seq long").withColumn("parent_id", F.lit(None).cast("string"))
+    table.write.parquet(f"{tmp_path}/dag_nodes.parquet")
+    got = {r["node"]: r["digest"] for r in structure.merkle_digests(spark, str(tmp_path)).collect()}
+    assert got == {"k@1": "bb", "k@2": "cc"}
 
 
-def test_merkle_digests_take_the_newest_hash(spark, tmp_path):
-    rows = [(1, "file", "a/b", "FF", 1, 1), (1, "file", "a/b", "aa", 2, 2), (1, "file", "a/b", "bb", 2, 3), (1, "file", "a/b", None, 9, 9), (2, "file", "a\\b", "cc", 5, 1), (2, "file", "./a/b", "dd", 4, 2), (2, "leaf", "a/b", "ee", 9, 9)]
-    spark.createDataFrame(rows, "catalog_id long, node_type string, path string, content_hash string, observed_at long, arrival_seq long").write.parquet(f"{tmp_path}/dag_nodes.parquet")
-    got = {r["node"]: r["digest"] for r in structure.merkle_digests(spark, str(tmp_path)).where("depth = 3").collect()}
-    assert got == {"c1/a/b": "bb", "c2/a/b": "cc"}
+def test_file_graph(spark):
+    paths = spark.createDataFrame([("a/b.rs",), ("a\\c.tsx",), ("target/x.rs",), ("top.MD",), ("top.md",), (None,), ("a/b.rs",)], "path string")
+    rows = [tuple(r) for r in graph.file_nodes(paths).orderBy("id").collect()]
+    assert rows == [(0, ".", "directory", "Network Structure", 8), (1, "a", "directory", "Network Structure", 8), (2, "a/b.rs", "file", "Logic", 1), (3, "a/c.tsx", "file", "Sensory", 2), (4, "top.MD", "file", "Gist", 0), (5, "top.md", "file", "Memory", 5)]
+    assert [r["type"] for r in graph.file_nodes(paths.limit(0)).collect()] == ["Error"]
+    assert {tuple(r) for r in graph.neighbour_lists(graph.file_links(paths)).where("name = '.'").collect()} == {(".", "top.MD"), (".", "top.md")}
 
 
 def test_diagnostics(spark):
@@ -192,7 +207,10 @@ def test_diagnostics(spark):
     rows = {r["message"]: r for r in d.where("target = 't'").collect()}
     assert rows["m"]["file_name"] == "b" and rows["n"]["file_name"] is None
     assert {r["target"]: r["score"] for r in diagnostics.verity(d, "target").collect()} == {"t": 0.0, "u": 0.9}
-    assert "--> b:3:4" in diagnostics.render_errors(d, "target").first()["prompt"]
+    many = spark.createDataFrame([("t", "x.rs", 2, 3, i, "error" if i else "warning", "f.rs" if i % 2 else None, i, 1, f"m{i}") for i in range(8)], "target string, path string, attempt int, attempts int, n int, level string, file_name string, line_start int, column_start int, message string")
+    text = diagnostics.render_errors(many, "target", "n", 2).first()["prompt"]
+    assert text.startswith("Your patch to x.rs did not compile (attempt 2 of 3).\n\nerror at f.rs:1:1\n  m1\nerror\n  m2\n\n... and 5 further errors")
+    assert diagnostics.render_errors(many.where("level = 'warning'"), "target", "n").count() == 0
 
 
 def test_replies_and_paths(spark):
@@ -213,6 +231,172 @@ def test_requests(spark):
     ]
     rows = spark.createDataFrame([(c,) for c, _ in cases], "p string").select(diagnostics.asked_text(F.col("p")).alias("a")).collect()
     assert [r["a"] for r in rows] == [w for _, w in cases]
-    assert diagnostics.injected_payload('{"messages":[{"role":"user","content":"q"}]}', "ctx").startswith('{"messages": [{"role": "system", "content": "ctx"}')
-    assert diagnostics.injected_payload('{"prompt":"q"}', "ctx") == '{"prompt": "ctx\\nq"}'
-    assert diagnostics.injected_payload("bad", "ctx") == "bad"
+    put = diagnostics.injected_payload
+    assert put('{"messages":[{"role":"user","content":"q"}]}', "ctx", "openai").startswith('{"messages": [{"role": "system", "content": "ctx"}')
+    assert put('{"prompt":"q"}', "ctx", "ollama") == '{"prompt": "ctx\\n\\nq"}'
+    assert put('{"system":"s"}', "ctx", "anthropic") == '{"system": [{"type": "text", "text": "ctx\\n\\ns"}]}'
+    assert '"cache_control"' in put('{"system":[{"type":"text","text":"s"}]}', "ctx", "anthropic") and '"cache_control"' in put("{}", "ctx", "anthropic")
+    assert put("bad", "ctx", "openai") == "bad" and put('{"prompt":"q"}', "", "openai") == '{"prompt":"q"}' and put(None, "ctx", None) is None
+
+
+def test_reply_text(spark):
+    cases = [
+        ('{"choices":[{"message":{"content":"c"}}]}', "c"),
+        ('{"choices":[{"message":{"content":"  ","tool_calls":[{"function":{"arguments":"{}"}}]}}]}', "{}"),
+        ('{"choices":[]}', None),
+        ("no", None),
+    ]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "p string").select(diagnostics.message_text(F.col("p")).alias("a")).collect()
+    assert [r["a"] for r in rows] == [w for _, w in cases]
+
+
+def test_patch_spellings(spark):
+    cases = [('{"file_path":"a.rs","contents":"x"}', ("a.rs", "x", True)), ('{"filename":"a.rs","text":"x"}', (None, None, False)), ('{"path":"../a","new_content":"y","code":"z"}', ("../a", "z", False))]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "p string").select(diagnostics.parsed_patch(F.col("p")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in rows] == [w for _, w in cases]
+
+
+def test_dangers(spark):
+    rows = spark.createDataFrame([("rs", "unsafe {}"), ("py", "eval(x)"), ("py", "pickle.load(f)"), ("tsx", "eval(x)"), ("c", "gets(b)"), (None, None)], "l string, t string")
+    got = rows.select(diagnostics.dangers(F.col("l"), F.col("t"))["name"].alias("n")).collect()
+    assert [r["n"] for r in got] == [["UnsafeBlock"], [], ["PythonExecGate"], ["DangerousSuture"], [], []]
+
+
+def test_scalars(spark):
+    pairs = [(0, 5), (-1, -1), (1 << 62, 6), (12345678901234567, -98765432109876543), (None, 1)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select(scalars.wide_product(F.col("a"), F.col("b")).alias("z"), scalars.folded_address(F.col("a"), F.col("b")).alias("f")).collect()
+    for (a, b), r in zip(pairs[:-1], rows[:-1], strict=True):
+        want = (a % (1 << 64)) * (b % (1 << 64))
+        assert (r["z"]["high"] % (1 << 64) << 64) + r["z"]["low"] % (1 << 64) == want
+        assert r["f"] % (1 << 64) == (want ^ want >> 64) % (1 << 64)
+    assert rows[-1]["f"] is None
+    df = spark.createDataFrame([(50, "CLOUD", None), (130, None, "true"), (0, "other", "1")], "p int, n string, b string")
+    got = df.select(scalars.progress_bar(F.col("p"), 4).alias("bar"), scalars.adaptive_mode(F.col("n"), F.col("b")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [("██░░", "cloud_192gb"), ("████", "cloud_192gb"), ("░░░░", "local_8gb")]
+    one = spark.range(1).select(scalars.packed_bytes(F.lit(3), F.lit(65)), scalars.longest_context(F.lit(192), F.lit(8), F.lit(70)), scalars.sha3(F.lit("x"))).first()
+    assert one[0] == 96 and one[1] == 192 * 8 * (1 << 30) // 280 and one[2] == hashlib.sha3_256(b"x").hexdigest()
+
+
+def test_pin_has_no_bound_and_reports(spark):
+    hot = spark.createDataFrame([(i, 1.0 / (1 + i % 50), 1 if i % 9 else None) for i in range(12_000)], "item long, heat double, bytes long")
+    got = live.pin_prefix(hot, 11_000)
+    known = sorted([(-r["heat"], r["item"]) for r in hot.where("bytes IS NOT NULL").collect()])
+    assert {r["item"] for r in got.collect()} == {i for _, i in known[:11_000]}
+    report = {r["state"]: r["items"] for r in live.pin_report(hot.select("item", "heat"), hot.select("item", "bytes"), 100).collect()}
+    assert report == {"pinned": 100, "over_budget": len(known) - 100, "unknown": 12_000 - len(known)}
+
+
+def test_debounce_against_a_loop_with_a_hot_path(spark):
+    rng = np.random.default_rng(7)
+    rows = [("hot" if i % 3 else f"p{i % 4}", i, int(rng.integers(0, 40_000))) for i in range(900)]
+    df = spark.createDataFrame(rows, "path string, seq long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = sorted((r["path"], r["session"], r["touches"], r["first_seq"]) for r in live.debounced(df, 100, 16).collect())
+    want = []
+    for p in {r[0] for r in rows}:
+        session, last = 0, None
+        for ms, seq in sorted((m, s) for q, s, m in rows if q == p):
+            if last is None or ms - last >= 100:
+                session += 1
+                want.append([p, session, 0, seq])
+            want[-1][2] += 1
+            want[-1][3] = min(want[-1][3], seq)
+            last = ms
+    assert got == sorted(map(tuple, want))
+
+
+def test_renames_and_clears(spark):
+    log = [("a", 1, "update", "x", None), (None, 2, "clear", None, None), ("b", 3, "update", "y", None), ("b", 4, "rename", "y2", "c"), ("d", 5, "delete", None, None)]
+    got = {r["path"]: (r["op"], r["text"]) for r in live.latest_edits(spark.createDataFrame(log, "path string, seq long, op string, text string, to string")).collect()}
+    assert got == {"b": ("delete", None), "c": ("update", "y2"), "d": ("delete", None)}
+
+
+def test_bm25_against_a_loop(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i}", " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(60)] + [("n", None), ("e", "")]
+    asks = [(q, " ".join(rng.choice(words, 4)) + " absent") for q in range(5)] + [(9, None), (10, "...")]
+    got = {(r["item_id"], r["chunk"]): r["score"] for r in search.bm25_top(spark.createDataFrame(docs, "chunk string, text string"), spark.createDataFrame(asks, "item_id long, text string"), 100).collect()}
+    toks = {c: (t or "").split() for c, t in docs}
+    n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
+    want = {}
+    for q, text in asks[:5]:
+        for c, ts in toks.items():
+            score = 0.0
+            for term in set(text.split()):
+                tf, d = ts.count(term), sum(term in x for x in toks.values())
+                score += math.log((n - d + 0.5) / (d + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avg))
+            if score:
+                want[q, c] = score
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_query_sets_larger_than_one_pass(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "q long, vector array<double>")
+    docs = spark.createDataFrame([("a", "x y"), ("b", "y z")], "chunk string, text string")
+    asks = spark.createDataFrame([(i, "x z y") for i in range(9)], "item_id long, text string")
+    whole, lexical = search.dense_top(v, q, 3).collect(), search.bm25_top(docs, asks, 2).collect()
+    monkeypatch.setattr(search, "SMALL_ROWS", 4)
+    assert sorted(search.dense_top(v, q, 3).collect()) == sorted(whole) and sorted(search.bm25_top(docs, asks, 2).collect()) == sorted(lexical)
+
+
+def test_partitioned_search_reads_little_and_finds_much(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    c = rng.standard_normal((40, 24))
+    x = c[rng.integers(0, 40, 5000)] + 0.35 * rng.standard_normal((5000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    centroids, table = dense.partitioned(v, str(tmp_path), 40, 6)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), "vector")
+    got = dense.probe(table, centroids, q, 6, 10)
+    exact = {(r["q"], r["id"]) for r in search.dense_top(v, q, 10).collect()}
+    assert len({(r["q"], r["id"]) for r in got.collect()} & exact) / len(exact) > 0.9
+    sizes = {r["part"]: r["count"] for r in table.groupBy("part").count().collect()}
+    parts = dense.nearest_parts(q, centroids, 6).collect()
+    assert sum(sizes.get(r["part"], 0) for r in parts) / (100 * 5000) < 0.3
+    few = dense.partitioned(v.limit(100), str(tmp_path / "few"), 40)[1]
+    assert few.select("part").distinct().count() == 1
+
+
+def test_coarse_codes_keep_the_best(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((10, 64))[rng.integers(0, 10, 600)] + 0.5 * rng.standard_normal((600, 64))
+    v = spark.createDataFrame([(i, (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), "vector")
+    exact = {(r["q"], r["id"]) for r in search.dense_top(v, q, 10).collect()}
+    assert len({(r["q"], r["id"]) for r in dense.coarse_to_fine(v, q, 10).collect()} & exact) / len(exact) > 0.9
+
+
+def test_fnv_many():
+    words = [b"", b"a", "Grüße".encode(), b"x" * 200]
+    for seed in (0, hashing.PAIR_SEED):
+        for w, h in zip(words, dense.fnv_many(words, seed), strict=True):
+            want = hashing.OFFSET ^ seed
+            for b in w:
+                want = (want ^ b) * 0x100000001B3 % (1 << 64)
+            assert int(h) == want
+
+
+CHUNK = "chunk string, path string, line_start int, line_end int, text string, tokens int"
+
+
+def test_faults_scope_live_and_contexts(spark):
+    chunks = spark.createDataFrame([("1", "lib/ring.rs", 1, 9, "fn push ring queue overflow", 9), ("2", "doc/a.md", 1, 3, "ring notes on queue", 6), ("3", "lib/ring.rs", 8, 12, "ring tail", 3)], CHUNK)
+    vec = lambda rows, kind: spark.createDataFrame(rows, kind)
+    base = vec([("1", "lib/ring.rs", [1.0, 0.0]), ("2", "doc/a.md", [0.9, 0.1]), ("3", "lib/ring.rs", [0.8, 0.2])], "id string, path string, vector array<double>")
+    asks = vec([(1, "the ring queue overflow", [1.0, 0.0], []), (2, "see ring.rs", [0.0, 1.0], ["ring.rs"]), (3, "open zzz.rs", [1.0, 0.0], ["zzz.rs"]), (4, "hello", [0.0, 0.0], [])], "q long, text string, vector array<double>, hints array<string>")
+    got = {r["q"]: r for r in retrieval.page_fault(base, chunks, asks).collect()}
+    assert [h["chunk"] for h in got[1]["hits"]] == ["1", "2"] and got[1]["injected_tokens"] == sum(h["tokens"] for h in got[1]["hits"])
+    assert [h["chunk"] for h in got[2]["hits"]] == ["3"] and [h["chunk"] for h in got[3]["hits"]] == ["1", "2"] and not got[4]["faulted"]
+    delta_chunks = spark.createDataFrame([("live:1", "doc/a.md", 1, 2, "fresh ring", 4)], CHUNK)
+    delta = vec([("live:1", "doc/a.md", [1.0, 0.05])], "id string, path string, vector array<double>")
+    shadowed = spark.createDataFrame([("doc/a.md",), ("lib/ring.rs",)], "path string")
+    live_got = {r["q"]: [h["chunk"] for h in r["hits"]] for r in retrieval.live_page_fault(base, chunks, delta, delta_chunks, shadowed, asks).collect()}
+    assert live_got == {1: ["live:1"], 2: [], 3: ["live:1"], 4: []}
+    out = {r["q"]: r for r in retrieval.context_for(base, chunks, delta, delta_chunks, shadowed.where("path = 'doc/a.md'"), asks.drop("hints")).collect()}
+    assert {q: r["route"] for q, r in out.items()} == {1: "hybrid", 2: "live", 3: "live", 4: "skip"}
+    assert out[1]["hits"][0] == "1" and "--- lib/ring.rs:1-9" in out[1]["context"] and out[4]["context"] == ""
+    empty = retrieval.context_for(base, chunks, delta, delta_chunks, shadowed, asks.drop("hints").limit(0))
+    assert empty.count() == 0
+    answer = retrieval.page_fault(base, chunks, asks).where("q = 2").select(search.tool_block(F.col("hits"))).first()[0]
+    assert answer == "── lib/ring.rs:8-12  (score 0.200)\nring tail"

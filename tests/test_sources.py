@@ -63,3 +63,62 @@ def test_activation_stream(spark, tmp_path):
         jobs.stream_activations(spark, src, out, ck).awaitTermination(120)
     last = {r["cluster"]: r for r in spark.read.parquet(out).orderBy("n").collect()}
     assert last[1]["n"] == 30 and last[1]["first_fault"] == 21 and last[2]["first_fault"] == -1
+
+
+def test_catalog_keeps_weights_gist_and_partitions(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import dense
+
+    monkeypatch.setattr(dense, "MIN_PARTITIONED", 50)
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.rs", f"fn item{i}() ring{i % 5} queue{i % 4}") for i in range(80)], "path string, text string")
+    version = catalog.build(files, str(tmp_path / "c"), 64)
+    tables = catalog.open_catalog(spark, str(tmp_path / "c"), verify=True)
+    assert tables["vectors"].select("part").distinct().count() > 1 and tables["weights"].count() == 64 and version.endswith("v-00000001")
+    q = spark.createDataFrame([(1, "item7 ring2")], "q long, text string")
+    full = [r["id"] for r in catalog.search(tables, q, 3).orderBy("rank").collect()]
+    some = [r["id"] for r in catalog.search(tables, q, 3, probes=4).orderBy("rank").collect()]
+    assert full[0] == some[0] and tables["chunks"].where(f"chunk_id = {full[0]}").first()["path"].endswith("f7.rs")
+    # A build that stops before its metadata is not seen.
+    (tmp_path / "c" / "v-00000002" / "chunks").mkdir(parents=True)
+    assert catalog.open_catalog(spark, str(tmp_path / "c"))["chunks"].count() == 80
+    with pytest.raises(Exception, match="elements"):
+        catalog.checked(spark.createDataFrame([([1.0],)], "vector array<double>"), 2).collect()
+
+
+def test_seals(spark, tmp_path):
+    good = workspace.sealed(b"body" * 10)
+    for name, data in {"good": good, "bad": b"x" + good[1:], "short": b"tiny"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["sealed"], r["intact"]) for r in workspace.sealed_files(spark, str(tmp_path)).collect()}
+    assert got == {"good": (True, True), "bad": (True, False), "short": (False, False)}
+
+
+def test_legacy_tensor_and_discovery(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "v.bin").write_bytes(b"MAGC{}" + np.arange(4, dtype="<f4").tobytes())
+    (tmp_path / "t" / "s.bin").write_bytes(b"MAGC{}")
+    rows = {r["path"].rsplit("/", 1)[1]: r["vector"] for r in workspace.legacy_tensor(spark, str(tmp_path / "t"), 4).collect()}
+    assert list(rows["v.bin"]) == [0, 1, 2, 3] and rows["s.bin"] is None
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / ".catalog").mkdir()
+    assert workspace.find_catalog(str(deep)) == str(tmp_path / ".catalog")
+    monkeypatch.setenv("LOOM_CATALOG", "/elsewhere")
+    assert workspace.find_catalog(str(deep)) == "/elsewhere"
+
+
+def test_burst_stream(spark, tmp_path):
+    src, out, ck = (str(tmp_path / d) for d in "soc")
+    batches = [[("a", 1000), ("a", 1300), ("b", 1100)], [("a", 1900), ("b", 1200)], [("z", 20_000)], [("z", 40_000)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "path string, ms long").select("path", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_bursts(spark, src, out, ck, 500).awaitTermination(120)
+    got = {(r["path"], r["f"], r["l"], r["touches"]) for r in spark.read.parquet(out).selectExpr("path", "unix_millis(first_ts) AS f", "unix_millis(last_ts) AS l", "touches").collect()}
+    assert got == {("a", 1000, 1300, 2), ("a", 1900, 1900, 1), ("b", 1100, 1200, 2), ("z", 20_000, 20_000, 1)}
+
+
+def test_fault_phases(spark):
+    rows = spark.createDataFrame([(1, i, 1.0) for i in range(9)] + [(2, i, 0.1) for i in range(9)], "cluster long, seq long, x double")
+    got = [(r["seq"], r["before"], r["phase"]) for r in jobs.fault_phases(rows, 0.5, 0.85, 2).orderBy("seq").collect()]
+    assert got == [(2, "monitoring", "fault_detected"), (3, "fault_detected", "inflating"), (5, "inflating", "monitoring"), (6, "monitoring", "fault_detected"), (7, "fault_detected", "inflating")]

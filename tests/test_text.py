@@ -13,12 +13,12 @@ def one(spark, value, column, kind="string"):
 
 
 def test_subwords(spark):
-    assert one(spark, "parse_HTTPResponse2 applembox", T.subwords) == ["parse", "http", "response", "2", "applembox"]
-    assert one(spark, "src/hw/misc/apple_mbox.c", T.subwords) == ["src", "hw", "misc", "apple", "mbox", "c"]
+    assert one(spark, "load_XMLTable7 flatname", T.subwords) == ["load", "xml", "table", "7", "flatname"]
+    assert one(spark, "lib/io/ring_queue.rs", T.subwords) == ["lib", "io", "ring", "queue", "rs"]
 
 
 def test_word_tokens_keep_camel_case(spark):
-    assert one(spark, "KV_cache q4_0", T.word_tokens) == ["kv", "cache", "q4", "0"]
+    assert one(spark, "LZ_window b7_1 camelCase", T.word_tokens) == ["lz", "window", "b7", "1", "camelcase"]
 
 
 def test_fnv_known_value(spark):
@@ -42,28 +42,28 @@ def test_fnv_matches_plain_arithmetic(spark):
 
 
 def test_gate(spark):
-    skip = ["hello", "thank you", "what is 2+2", "cool, nice", "e.g. version 1.5", "1 2 3 4 5", "cache cache cache", "   ", None]
-    go = ["fix apple_mbox", "look at src/main", "see notes.py", "mailbox interrupt handler"]
+    skip = ["hey", "thanks a lot", "how much is 7+8", "great, ok", "i.e. release 3.7", "9 8 7 6 5", "ledger ledger ledger", " \t ", None]
+    go = ["mend ring_queue", "read lib/core", "open todo.md", "ledger rounding overflow"]
     rows = spark.createDataFrame([(q,) for q in skip + go], "q string").select(T.gate("q")["decision"].alias("d")).collect()
     assert [r["d"] for r in rows] == ["skip"] * len(skip) + ["retrieve"] * len(go)
 
 
 def test_path_hints(spark):
-    assert one(spark, "fix the bug in apple_mbox.c please", T.path_hints) == ["apple_mbox.c"]
-    assert one(spark, "open src\\hw\\a.rs; (src/hw/a.rs)", T.path_hints) == ["src/hw/a.rs"]
-    assert one(spark, "e.g. version 1.2 and 3.50", T.path_hints) == []
+    assert one(spark, "why does ring_queue.rs block here", T.path_hints) == ["ring_queue.rs"]
+    assert one(spark, "see lib\\io\\q.py; (lib/io/q.py)", T.path_hints) == ["lib/io/q.py"]
+    assert one(spark, "i.e. releases 4.1 and 7.25", T.path_hints) == []
 
 
 def test_defines(spark):
-    yes = ["sym=1", "let sym: u8", "def sym(", "const SYM: x"]
-    no = ["x = sym", "sym == 2", "self::sym", "mysym = 3", None]
+    yes = ["sym=1", "let sym: u8", "def sym(", "const SYM: x", "ring::sym = 4", "enum\tsym {"]
+    no = ["x = sym", "sym == 2", "ring::sym", "mysym = 3", "sym::new()", "éfn sym()", None]
     rows = spark.createDataFrame([(t,) for t in yes + no], "t string").select(T.defines("t", "sym").alias("d")).collect()
-    assert [bool(r["d"]) for r in rows] == [True] * 4 + [False] * 5
+    assert [bool(r["d"]) for r in rows] == [True] * 6 + [False] * 7
 
 
 def test_embedder_id(spark):
-    assert one(spark, "openai:text-embedding-3-large-d3072", T.embedder_dim) == 3072
-    assert one(spark, "openai:text-embedding-3-large-d3072", T.embedder_server) == "openai"
+    assert one(spark, "local:wide-dmodel-d640", T.embedder_dim) == 640
+    assert one(spark, "local:wide-dmodel-d640", T.embedder_server) == "local"
     assert one(spark, "hash-v1-d1536", T.embedder_server) is None
 
 
