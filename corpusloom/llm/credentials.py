@@ -1,11 +1,12 @@
 """Credentials embedded in source code: finding and masking.
 
 A text is scanned in layers. The outer layer is the text itself; every literal in it that
-decodes from base64, hex, percent or backslash escapes to something readable is a further layer,
-scanned by the same rules, down to MAX_DEPTH. Decoded bytes are also parsed as key containers by
-their binary grammar (DER private keys, OpenSSH's format), so a key without its text armour is
-found too. A find in an inner layer masks the whole enclosing literal, since part of an encoded
-literal cannot be replaced.
+decodes from base64 (also when it is broken over lines), hex, percent or backslash escapes to
+something readable is a further layer, scanned by the same rules, and so on until nothing
+decodes: each layer is shorter than the one around it. Decoded bytes are also parsed as key
+containers by their binary grammar (`container`), so a key without its text armour is found too.
+A find in an inner layer masks the whole enclosing literal, since part of an encoded literal
+cannot be replaced.
 
 Rules look at assignments to secret names, at values whose own shape gives them away, and at the
 places where protocols carry a secret (URLs, headers, connection strings, command lines, login
@@ -28,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 3
 MASK = "[REDACTED]"
 
 _STRONG = (
@@ -99,7 +99,7 @@ def is_secret(value: str, need: int = 1) -> bool:
     secret name. need 2: a bare word, which must mix letters with digits or signs. need 3: value
     of a doubtful name, which must be long and mixed."""
     v = value.strip()
-    if len(v) < (6 if need < 3 else 12) or len(v) > 4096 or _PLACEHOLDER.fullmatch(v) or _UPPER_NAME.fullmatch(v) or _PLAIN_NUMBER.fullmatch(v):
+    if len(v) < (6 if need < 3 else 12) or _PLACEHOLDER.fullmatch(v) or _UPPER_NAME.fullmatch(v) or _PLAIN_NUMBER.fullmatch(v):
         return False
     if any(c.isspace() for c in v) or "${" in v or "{{" in v or "$(" in v:
         return False
@@ -151,7 +151,7 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:\s|[>#/*\"'+\\nr])*[A-Za-z0-9+/=]{16,}|\s*(?:Proc-Type|DEK-Info|Version|Comment):")
 _BODY_LINE = re.compile(r"\s*[>#/*\s\"']*[A-Za-z0-9+/=]{4,}[\"'+,;\s]*")
-_LONG = re.compile(r"(?<![A-Za-z0-9_+/=.%\\-])(?:[A-Za-z0-9_+/-]{20,}={0,2}|(?:[A-Za-z0-9_.~+/-]*%[0-9A-Fa-f]{2}){4,}[A-Za-z0-9_.~+/-]*|(?:[^\s\"'`\\]{0,40}\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})){4,}[^\s\"'`\\]*)")
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/.%\\-])(?:[A-Za-z0-9_+/-]{20,}={0,2}|(?:[A-Za-z0-9_.~+/-]*%[0-9A-Fa-f]{2}){4,}[A-Za-z0-9_.~+/-]*|(?:[^\s\"'`\\]{0,40}\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})){4,}[^\s\"'`\\]*)")
 
 _SIMPLE = (
     (_URL, "url", 1, "://"), (_CONN, "connection", 1, "="), (_SSHPASS, "command", 1, "sshpass"), (_OPTION, "command", 2, "-"),
@@ -255,42 +255,114 @@ def _der(data: bytes, at: int = 0) -> tuple[int, bytes, int] | None:
     return (tag, data[at : at + length], at + length) if at + length <= len(data) else None
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether bytes are a private key container: PKCS#1, PKCS#8, SEC1 or OpenSSH. Public keys and
-    certificates begin with other elements."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return True
-    outer = _der(data)
-    if not outer or outer[0] != 0x30:
-        return False
-    kinds, at = [], 0
-    while at < len(outer[1]) and len(kinds) < 9:
-        item = _der(outer[1], at)
+def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of consecutive DER elements that fill the data exactly, else None."""
+    out, at = [], 0
+    while at < len(data):
+        item = _der(data, at)
         if not item:
-            return False
-        kinds.append(item[0])
+            return None
+        out.append((item[0], item[1]))
         at = item[2]
-    return kinds[:3] == [0x02, 0x30, 0x04] or kinds[:2] == [0x02, 0x04] or kinds == [0x02] * 9
+    return out
 
 
-def decoded(literal: str) -> Iterator[bytes]:
-    """What a literal may stand for, one decoding step deeper."""
+# DER contents of the object identifiers 1.2.840.113549.1.5 (password encryption), .1.12.1 (the same of PKCS#12) and .1.7 (enveloped data).
+_PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_ENVELOPES = bytes.fromhex("2a864886f70d0107")
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
+def _strings(data: bytes, at: int, count: int) -> tuple[list[bytes], int] | None:
+    """`count` length-prefixed strings, and where they end."""
+    out = []
+    for _ in range(count):
+        if at + 4 > len(data):
+            return None
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if at + n > len(data):
+            return None
+        out.append(data[at : at + n])
+        at += n
+    return out, at
+
+
+def _openssh(data: bytes) -> str | None:
+    """OpenSSH's container: cipher, key derivation and its options, public keys, private section. An
+    unencrypted private section begins with the same number twice."""
+    head = _strings(data, 15, 3)
+    if not head or head[1] + 4 > len(data):
+        return None
+    (cipher, kdf, _), at = head
+    count = int.from_bytes(data[at : at + 4], "big")
+    body = _strings(data, at + 4, count + 1) if 0 < count <= 64 else None
+    if not body or body[1] != len(data) or (cipher == b"none") != (kdf == b"none"):
+        return None
+    private = body[0][-1]
+    if cipher != b"none":
+        return "openssh encrypted"
+    return "openssh" if len(private) >= 8 and private[:4] == private[4:8] else None
+
+
+def container(data: bytes) -> str | None:
+    """Which private key container the bytes are, by their grammar: openssh, pkcs1, dsa, sec1, pkcs8,
+    pkcs8 encrypted or pkcs12; None for anything else, public keys and certificates included."""
+    if data.startswith(b"openssh-key-v1\x00"):
+        return _openssh(data)
+    outer = _der(data)
+    if not outer or outer[0] != _SEQUENCE or outer[2] != len(data):
+        return None
+    items = _elements(outer[1])
+    if not items:
+        return None
+    kinds = [k for k, _ in items]
+    version = items[0][1] if kinds[0] == _INTEGER else b""
+    if kinds == [_INTEGER] * 9 and version in (b"\0", b"\1"):
+        return "pkcs1"
+    if kinds == [_INTEGER] * 6 and version == b"\0":
+        return "dsa"
+    if kinds[:2] == [_INTEGER, _OCTETS] and version == b"\1" and set(kinds[2:]) <= {0xA0, 0xA1}:
+        return "sec1"
+    inner = [_elements(c) if k == _SEQUENCE else None for k, c in items]
+    first = lambda i: inner[i][0] if len(inner) > i and inner[i] else (0, b"")
+    if kinds[:3] == [_INTEGER, _SEQUENCE, _OCTETS] and version in (b"\0", b"\1") and first(1)[0] == _OID and set(kinds[3:]) <= {0xA0, 0xA1, 0x81}:
+        return "pkcs8"
+    if kinds == [_SEQUENCE, _OCTETS] and first(0)[0] == _OID and first(0)[1].startswith(_PASSWORD_SCHEMES):
+        return "pkcs8 encrypted"
+    if kinds[:2] == [_INTEGER, _SEQUENCE] and version == b"\3" and first(1)[0] == _OID and first(1)[1].startswith(_ENVELOPES):
+        return "pkcs12"
+    return None
+
+
+# How image files begin.
+_IMAGES = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"RIFF", b"BM", b"\0\0\1\0", b"<svg", b"<?xml")
+
+
+def decoded(literal: str) -> Iterator[tuple[str, bytes]]:
+    """(step, bytes): what a literal may stand for, one decoding step deeper."""
     if "%" in literal:
         plain = urllib.parse.unquote_to_bytes(literal)
         if plain != literal.encode():
-            yield plain
+            yield "percent", plain
     elif "\\" in literal:
         try:
-            yield literal.encode("latin-1").decode("unicode_escape").encode("utf-8", "ignore")
+            yield "escape", literal.encode("latin-1").decode("unicode_escape").encode("utf-8", "ignore")
         except (UnicodeDecodeError, UnicodeEncodeError):
             return
     else:
-        if len(literal) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", literal):
-            yield bytes.fromhex(literal)
+        if len(literal) % 2 == 0 and _HEX.fullmatch(literal):
+            yield "hex", bytes.fromhex(literal)
         if any(c.isdigit() for c in literal) or (any(c.isupper() for c in literal) and any(c.islower() for c in literal)):
             plain = _from_base64(literal)
             if plain:
-                yield plain
+                yield "base64", plain
+
+
+_HEX = re.compile(r"[0-9a-fA-F]+")
+#: Lines of one base64 literal: all but the last are full, and each may be quoted, joined or commented.
+_WRAPPED = re.compile(r"(?m)^(?:[ \t>#/*\"'(+]*[A-Za-z0-9+/_-]{40,}[\"' \t+,;)\\]*\r?\n)+[ \t>#/*\"'(+]*[A-Za-z0-9+/_-]{2,}={0,2}(?=[\"' \t+,;)\\]*\r?$)")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{2,}={0,2}")
 
 
 def _readable(data: bytes) -> str | None:
@@ -301,28 +373,68 @@ def _readable(data: bytes) -> str | None:
     return s if len(s) >= 6 and all(c.isprintable() or c in "\r\n\t" for c in s) else None
 
 
-def _long_literals(text: str, depth: int) -> Iterator[Find]:
-    """Unbroken literals: values whose shape gives them away, and encoded ones that hide a secret
-    or a key container."""
+@dataclass(frozen=True)
+class Layer:
+    """A literal that decodes: its spans (one a line), the decoding steps down to the innermost layer
+    that holds something, and what that is: a container's kind, 'secret' or 'text'."""
+
+    spans: tuple[tuple[int, int], ...]
+    steps: tuple[str, ...]
+    holds: str
+
+
+def _opened(literal: str, inline_data: bool) -> tuple[tuple[str, ...], str] | None:
+    """(steps, holds) of a literal: the first reading that holds a key or a secret, else a readable one."""
+    plain_reading = None
+    for step, plain in decoded(literal):
+        if inline_data and plain.startswith(_IMAGES):
+            continue
+        kind = container(plain) if len(plain) >= 40 else None
+        if kind:
+            return (step,), kind
+        inner = _readable(plain)
+        if not inner or len(inner) >= len(literal):
+            continue
+        below = [x for x in layers(inner) if x.holds != "text"]
+        if below:
+            return (step, *below[0].steps), below[0].holds
+        if finds(inner):
+            return (step,), "secret"
+        plain_reading = plain_reading or ((step,), "text")
+    return plain_reading
+
+
+def layers(text: str) -> list[Layer]:
+    """All literals of a text that decode to something readable or to a key container, by position."""
+    out, wrapped = [], []
+    for m in _WRAPPED.finditer(text) if text.count("\n") else ():
+        runs = [(r.start(), r.end()) for r in _RUN.finditer(text, m.start(), m.end())]
+        got = _opened("".join(text[a:b] for a, b in runs), False)
+        if got:
+            out.append(Layer(tuple(runs), *got))
+            wrapped.append(m.span())
     for m in _LONG.finditer(text):
-        literal = m.group()
-        a, b = max(0, m.start() - 1), text.find("\n", m.end())
-        if any(c.isupper() for c in literal) and any(c.isdigit() for c in literal) or "_" in literal:
-            for t in _SHAPE.finditer(text, m.start() and a, b if b >= 0 else len(text)):
-                yield Find(t.start(), t.end(), "token")
-        if text[max(0, m.start() - 7) : m.start()] == "base64," and text.rfind("data:", max(0, m.start() - 60), m.start()) >= 0:
+        if any(a <= m.start() < b for a, b in wrapped):
             continue
-        for plain in decoded(literal):
-            if len(plain) >= 40 and is_private_key(plain):
-                yield Find(m.start(), m.end(), "encoded key")
-                break
-            inner = _readable(plain)
-            if inner and depth < MAX_DEPTH and finds(inner, depth + 1):
-                yield Find(m.start(), m.end(), "encoded")
-                break
+        inline = text[max(0, m.start() - 7) : m.start()] == "base64," and text.rfind("data:", max(0, m.start() - 60), m.start()) >= 0
+        got = _opened(m.group(), inline)
+        if got:
+            out.append(Layer((m.span(),), *got))
+    return out
 
 
-def finds(text: str, depth: int = 0) -> list[Find]:
+def _long_literals(text: str) -> Iterator[Find]:
+    """Unbroken literals: values whose shape gives them away, and encoded ones that hide a secret
+    or a key container. Of one broken over lines the first line is the find, the others its rest."""
+    for t in _SHAPE.finditer(text):
+        yield Find(t.start(), t.end(), "token")
+    for layer in layers(text):
+        if layer.holds != "text":
+            for i, (a, b) in enumerate(layer.spans):
+                yield Find(a, b, "rest" if i else "encoded" if layer.holds == "secret" else "encoded key")
+
+
+def finds(text: str) -> list[Find]:
     """All secrets of a text, by position; overlapping finds are merged into the first."""
     low = _folded(text)
     starts: set[int] = set()
@@ -344,7 +456,7 @@ def finds(text: str, depth: int = 0) -> list[Find]:
     keys = [f for f in out if f.kind == "private key"]
     if _PORT.search(text):
         out.extend(Find(m.start("v"), m.end("v"), "login") for m in _PGPASS.finditer(text) if is_secret(m["v"], 2))
-    out.extend(f for f in _long_literals(text, depth) if not any(k.start <= f.start < k.end for k in keys))
+    out.extend(f for f in _long_literals(text) if not any(k.start <= f.start < k.end for k in keys))
     merged: list[Find] = []
     for f in sorted(out, key=lambda f: (f.start, -f.end)):
         if merged and f.start < merged[-1].end:
@@ -391,6 +503,17 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, ["record_kind", "record_id", "line_no", "kind"], [pa.string(), pa.int64(), pa.int32(), pa.string()])
 
 
+def open_layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_kind, record_id, text) to (record_kind, record_id, line_no, layers, holds): a row a
+    literal that decodes."""
+    for batch in batches:
+        rows = []
+        for kind, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for x in layers(text):
+                rows.append((kind, key, 1 + text.count("\n", 0, x.spans[0][0]), ">".join(x.steps), x.holds))
+        yield _batch(rows, ["record_kind", "record_id", "line_no", "layers", "holds"], [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()])
+
+
 def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(record_kind, record_id, text) to the masked records that had a find, with new lengths."""
     try:
@@ -430,6 +553,15 @@ def find_credentials(records: DataFrame) -> DataFrame:
     return found.select("record_kind", "record_id", "line_no").distinct()
 
 
+def decoded_layers(records: DataFrame) -> DataFrame:
+    """(record_kind, record_id, line_no, layers, holds, literals): the named method over all records. For
+    each line the literals that begin on it and decode: the steps down to the innermost layer that
+    holds something, what it holds (a key container's kind, 'secret', or plain 'text'), and how
+    many literals of the line are alike. Repeated records count once."""
+    found = records.distinct().mapInArrow(open_layers, "record_kind string, record_id long, line_no int, layers string, holds string")
+    return found.groupBy("record_kind", "record_id", "line_no", "layers", "holds").agg(F.count(F.lit(1)).alias("literals"))
+
+
 def redact(records: DataFrame) -> DataFrame:
     """Records that had a secret, masked, with their number of secrets and new lengths
     (payload_len: zstd level 9). Repeated rows give one row."""

@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
 Weights: `temperature_weights` is the named method. The natural token shares are raised to an
-exponent and normalised; bisection moves the exponent from 1 (natural) towards 0 (uniform) until
-the entropy reaches the target, and no further than a repetition limit allows. A family with one
-exponent cannot hit given shares for every source at once, so where shares are prescribed
+exponent and normalised; bisection moves the exponent (1 is natural, 0 uniform) until the entropy
+reaches the target. Sources at their repetition limit are held there and the others go on. A family
+with one exponent cannot hit given shares for every source at once, so where shares are prescribed
 `target_plan` takes them as they are, holds every source to its repetition limit and reports what
 was reached.
 
@@ -53,25 +53,48 @@ def tempered(sizes: dict[str, float], exponent: float) -> dict[str, float]:
     return {s: v / total if total else 0.0 for s, v in raw.items()}
 
 
-def temperature_weights(sizes: dict[str, float], target_entropy: float, max_repeats: dict[str, float] | None = None, budget: float | None = None) -> tuple[float, dict[str, float]]:
-    """The exponent in [0, 1] and its shares: the greatest flattening whose entropy does not
-    exceed target_entropy and that repeats no source above its limit within the budget (the
-    total size when none is given). Both conditions are monotone in the exponent, so bisection
-    finds their boundary; 60 halvings reach the precision of a double."""
+def held_shares(sizes: dict[str, float], exponent: float, most: dict[str, float]) -> dict[str, float]:
+    """Shares of the exponent with every source held to its greatest share `most`: what a held source
+    cannot take is given to the others in proportion, until none is above. Shares add up to 1, or
+    to the sum of `most` where all sources together cannot fill the budget."""
+    held: set[str] = set()
+    while True:
+        free = {s: v for s, v in sizes.items() if s not in held}
+        left = 1 - sum(most.get(s, math.inf) for s in held)
+        share = {s: w * max(left, 0.0) for s, w in tempered(free, exponent).items()}
+        over = {s for s, w in share.items() if w > most.get(s, math.inf) * (1 + 1e-12)}
+        if not over:
+            return {s: most[s] if s in held else share[s] for s in sizes}
+        held |= over
+
+
+def temperature_weights(
+    sizes: dict[str, float], target_entropy: float, max_repeats: dict[str, float] | None = None, budget: float | None = None, steepest: float = 64.0
+) -> tuple[float, dict[str, float]]:
+    """The exponent and its shares whose entropy comes nearest to target_entropy. Sources at their
+    repetition limit (within the budget, the total size when none is given) are held there, and the
+    exponent moves the others: 1 keeps their natural proportions, 0 makes them equal, beyond 1 the
+    greatest gain. Entropy falls as the exponent grows, so bisection between 0 and `steepest` finds
+    it; 60 halvings reach the precision of a double."""
     budget = sum(sizes.values()) if budget is None else budget
-
-    def allowed(exponent: float) -> bool:
-        w = tempered(sizes, exponent)
-        over = max_repeats and any(w[s] * budget > max_repeats.get(s, math.inf) * v * (1 + 1e-12) for s, v in sizes.items())
-        return entropy(list(w.values())) <= target_entropy + 1e-12 and not over
-
-    if allowed(0.0):
-        return 0.0, tempered(sizes, 0.0)
-    low, high = 0.0, 1.0
+    limits = max_repeats or {}
+    most = {s: limits[s] * v / budget if budget else 0.0 for s, v in sizes.items() if s in limits}
+    most |= {s: 0.0 for s, v in sizes.items() if v <= 0}
+
+    def flat(exponent: float) -> float:
+        w = held_shares(sizes, exponent, most)
+        total = sum(w.values())
+        return entropy([x / total for x in w.values()]) if total > 0 else 0.0
+
+    low, high = 0.0, steepest
+    if flat(low) <= target_entropy:
+        return low, held_shares(sizes, low, most)
+    if flat(high) >= target_entropy:
+        return high, held_shares(sizes, high, most)
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (low, mid) if allowed(mid) else (mid, high)
-    return high, tempered(sizes, high)
+        low, high = (low, mid) if flat(mid) <= target_entropy else (mid, high)
+    return high, held_shares(sizes, high, most)
 
 
 def target_plan(totals: DataFrame, targets: DataFrame) -> DataFrame:
@@ -150,15 +173,34 @@ def mixture_shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def temperature_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, natural_share, weight, repeats, exponent): the named method over all documents of
-    the target sources, bisected to the entropy of the target shares under the repetition limits."""
-    spark = sized.sparkSession
+def temperature_plan(sized: DataFrame, targets: DataFrame) -> tuple[float, dict[str, tuple[int, float]], dict[str, float]]:
+    """(exponent, amounts, weights) of the named method over all documents of the target sources,
+    bisected to the entropy of the target shares; amounts are as in block_permutation. The budget
+    is the sources' total size. One row a target source reaches the driver."""
     plan = target_plan(source_totals(sized), targets).collect()
     sizes = {r["source"]: float(r["size"]) for r in plan}
     goal = [r["target_share"] for r in plan]
     want = entropy([g / sum(goal) for g in goal]) if sum(goal) > 0 else 0.0
     exponent, weights = temperature_weights(sizes, want, {r["source"]: r["max_repeats"] for r in plan})
     total = sum(sizes.values())
-    rows = [(s, v / total if total else 0.0, weights[s], weights[s] * total / v if v else 0.0, exponent) for s, v in sorted(sizes.items())]
-    return spark.createDataFrame(rows, "source string, natural_share double, weight double, repeats double, exponent double")
+    return exponent, {s: (int(v), weights[s] * total) for s, v in sizes.items()}, weights
+
+
+def temperature_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, natural_share, weight, share, repeats, exponent): the named method over the whole table.
+    Weights are realised as block permutations; share is what the realised mixture reached, repeats
+    how often its source is read in the mean."""
+    exponent, amounts, weights = temperature_plan(sized, targets)
+    taken = block_permutation(sized, amounts).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+    total = sum(t for t, _ in amounts.values())
+    rows = [(s, t, t / total if total else 0.0, weights[s], exponent) for s, (t, _) in sorted(amounts.items())]
+    plan = sized.sparkSession.createDataFrame(rows, "source string, size long, natural_share double, weight double, exponent double")
+    got = plan.join(taken, "source", "left").fillna(0, ["taken"])
+    everything = taken.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("all"))
+    got = got.join(F.broadcast(everything))
+    return got.select(
+        "source", "natural_share", "weight",
+        F.when(F.col("all") > 0, F.col("taken") / F.col("all")).otherwise(0.0).alias("share"),
+        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0).alias("repeats"),
+        "exponent",
+    )
