@@ -35,6 +35,26 @@ def test_frequencies_against_brute_force(spark):
     assert {tuple(r) for r in frequency.term_marks(chunk_frame(spark, TEXTS)).collect()} == {x for x in mark.items() if x[1]}
 
 
+def test_deliveries_that_differ_are_one_record(spark):
+    f = chunk_frame(spark, [(1, "a b b"), (1, "a a c"), (2, "a")])
+    rows = {r["term"]: (r["occurrences"], r["df"]) for r in frequency.term_frequencies(f).collect()}
+    assert rows == {"a": (3, 2), "b": (2, 1), "c": (1, 1)}
+    assert {r["term"] for r in frequency.term_marks(f).collect()} == {"a", "b", "c"}
+
+
+def test_containers_over_blocks_and_forms(spark):
+    ids = [*range(0, 9000), *range(65_530, 65_545), 1 << 40, -5]
+    f = spark.createDataFrame([(i, "common " + ("odd odd" if i % 2 else "even")) for i in ids] + [(i, "common") for i in ids[:50]], "chunk_id long, text string").repartition(7)
+    boxes = frequency.term_bitmaps(f).collect()
+    for term, want in (("common", set(ids)), ("odd", {i for i in ids if i % 2}), (None, set(ids))):
+        mine = [r for r in boxes if r["term"] == term]
+        assert {(r["block"] << 16) + int(i) for r in mine for i in frequency.unpacked(r["dense"], bytes(r["ids"]))} == want
+        assert any(r["dense"] for r in mine) and any(not r["dense"] for r in mine)
+    rows = {r["term"]: (r["occurrences"], r["df"]) for r in frequency.term_frequencies(f).collect()}
+    odd = sum(i % 2 for i in ids)
+    assert rows == {"common": (len(ids), len(ids)), "odd": (2 * odd, odd), "even": (len(ids) - odd, len(ids) - odd)}
+
+
 @pytest.mark.parametrize("limit", [distinctive.BROADCAST_BYTES, 0])
 def test_distinctive_terms_against_brute_force(spark, limit):
     recs = tokens(TEXTS)
