@@ -7,8 +7,9 @@ passages of the whole corpus, gives the latent space; passages whose cosine with
 a low bar are candidates. A candidate is then settled word by word: by the share of item words
 inside repeated runs (copies), and by longest common subsequence and answer words (paraphrases).
 
-The benchmark is the query set: its size is fixed, which bounds the vocabulary, the latent space
-and what is shipped to the workers. Documents are only mapped over, never moved or sorted.
+The benchmark is the query set: it is taken in sets of at most SET_ITEMS items, which bounds the
+vocabulary, the latent space and what is shipped to the workers. Texts are tokenised once, to the
+numbers of the words that items have; documents are only mapped over, never moved or sorted.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.llm.latent import truncated_svd
+from corpusloom.llm.latent import dense_batches, truncated_svd
 from corpusloom.session import cut
 
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -90,46 +92,97 @@ def windows(n: int, size: int, stride: int) -> list[tuple[int, int]]:
     return [(a, a + size) for a in starts]
 
 
-def features(words: list[str], vocabulary: dict[str, int]) -> tuple[list[int], list[float]]:
-    """Sparse 1 + ln tf of the words that the vocabulary has."""
-    counts = Counter(vocabulary[w] for w in words if w in vocabulary)
-    keys = sorted(counts)
-    return keys, [1.0 + float(np.log(counts[k])) for k in keys]
+CODES = "doc_id long, codes array<int>"
+
+
+def coded_words(items: Items):
+    """Arrow map (doc_id, text) to CODES: the number of each word in the items' vocabulary, -1 for all
+    others. Texts without any item word have no row."""
+    vocabulary = items.vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, codes = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = [vocabulary.get(w, -1) for w in words_of(text)]
+                if got and max(got) >= 0:
+                    ids.append(key)
+                    codes.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.list_(pa.int32()))], ["doc_id", "codes"])
+
+    return run
+
+
+def passages_of(codes: pa.Array, size: int, stride: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, row, word, value) of a list column of codes: passages with any item word,
+    by the document's row and where they begin, and their entries 1 + ln tf in row order."""
+    offsets = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+    flat = codes.flatten().to_numpy(zero_copy_only=False)
+    doc, begin, spans = [], [], []
+    for d in range(len(codes)):
+        for a, b in windows(int(offsets[d + 1] - offsets[d]), size, stride):
+            doc.append(d)
+            begin.append(a)
+            spans.append((offsets[d] + a, b - a))
+    if not spans:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0)
+    starts, lengths = np.array(spans).T
+    row = np.repeat(np.arange(len(spans)), lengths)
+    word = flat[np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)]
+    at, tf = np.unique(row[word >= 0] * width + word[word >= 0], return_counts=True)
+    row, word = at // width, at % width
+    kept, row = np.unique(row, return_inverse=True)
+    return np.array(doc)[kept], np.array(begin)[kept], row, word, 1 + np.log(tf)
 
 
 def passage_rows(items: Items, size: int, stride: int):
-    """Arrow map (key, text) -> (grp, idx, val): one row a passage with any item word."""
+    """Arrow map CODES to (grp, idx, val): one row a passage with any item word."""
+    width = max(1, len(items.vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            idx, val = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                for a, b in windows(len(words), size, stride):
-                    i, v = features(words[a:b], items.vocabulary)
-                    if i:
-                        idx.append(i)
-                        val.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(idx), np.int32)), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["grp", "idx", "val"]
-            )
+            doc, _, row, word, val = passages_of(batch.column(1), size, stride, width)
+            ends = np.searchsorted(row, np.arange(len(doc) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (word.astype(np.int32), val.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(doc), np.int32)), *lists], ["grp", "idx", "val"])
 
     return run
 
 
-def coverage(item: list[str], grams: set[tuple[str, ...]], run: int = 4) -> float:
+def features(words: list[str], vocabulary: dict[str, int]) -> tuple[list[int], list[float]]:
+    """Sparse 1 + ln tf of the words that the vocabulary has."""
+    counts = Counter(vocabulary[w] for w in words if w in vocabulary)
+    keys = sorted(counts)
+    return keys, [1.0 + float(np.log(counts[k])) for k in keys]
+
+
+def grams(codes: np.ndarray, run: int) -> np.ndarray:
+    """Number of each run of `run` consecutive item words; -1 where one of them is no item word."""
+    n = len(codes) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(run):
+        part = codes[k : k + n].astype(np.int64)
+        # A wrapping hash: two different runs of a set of items agree once in 2^64.
+        out = out * np.int64(0x100000001B3) + (part + 1) * np.int64(0x9E3779B1)
+        known &= part >= 0
+    return np.where(known, out, -1)
+
+
+def coverage(item: np.ndarray, known: np.ndarray, run: int = 4) -> float:
     """Share of item words inside runs of at least `run` consecutive item words whose every
-    `run`-gram the document has; `grams` are the document's."""
-    n, covered = len(item), 0
-    upto = 0
-    for i in range(n - run + 1):
-        if tuple(item[i : i + run]) in grams:
-            covered += i + run - max(upto, i)
-            upto = i + run
-    return covered / n if n else 0.0
+    `run`-gram the document has; `item` are the item's grams in order, `known` the document's."""
+    n = len(item) + run - 1
+    hit = np.isin(item, known)
+    covered = np.zeros(n, bool)
+    for k in range(run):
+        covered[k : k + len(item)] |= hit
+    return float(covered.sum()) / n if len(item) else 0.0
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     masks: dict[str, int] = {}
     for i, w in enumerate(a):
@@ -155,9 +208,6 @@ class Model:
     basis: np.ndarray
     items: np.ndarray
 
-    def project(self, idx: list[int], val: list[float]) -> np.ndarray:
-        return (np.asarray(val) * self.weights[idx]) @ self.basis[idx]
-
 
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=-1, keepdims=True)
@@ -205,45 +255,49 @@ def fit(passages: DataFrame, items: Items, rank: int = 64) -> Model:
     return Model(weights, basis, _unit(dense @ basis))
 
 
-def search(items: Items, model: Model, size: int, stride: int, bar: float, run: int):
-    """Arrow map (key, text) -> candidates with their cosine, coverage, subsequence share and
-    answer share."""
+def search(items: Items, model: Model, size: int, stride: int, bar: float, run: int, low_lcs: float):
+    """Arrow map CODES to candidates with their cosine, coverage, subsequence share and answer share.
+    The last two are looked at, and else 0, where the item and the passage share enough words for a
+    subsequence of low_lcs."""
     share = Counter(w for words in items.words for w in set(words))
     rare = {w for w, c in share.items() if c <= max(2, len(items.ids) // 50)}
-    answers = [answer_words(w, rare) for w in items.words]
-
-    def one(words: list[str]) -> Iterator[tuple[int, float, float, float, float]]:
-        spans, vecs = [], []
-        for a, b in windows(len(words), size, stride):
-            i, v = features(words[a:b], items.vocabulary)
-            if i:
-                spans.append((a, b))
-                vecs.append(model.project(i, v))
-        if not vecs:
-            return
-        cos = _unit(np.array(vecs)) @ model.items.T
-        best = cos.argmax(0)
-        found = np.flatnonzero(cos.max(0) >= bar)
-        if not len(found):
-            return
-        grams = set(zip(*(words[k:] for k in range(run)), strict=False))
-        for k in found:
-            a, b = spans[best[k]]
-            near = words[max(0, a - stride) : b + stride]
-            got = answers[k] & set(near)
-            yield (
-                int(k),
-                float(cos[best[k], k]),
-                coverage(items.words[k], grams, run),
-                lcs(items.words[k], near) / len(items.words[k]),
-                len(got) / len(answers[k]) if answers[k] else 0.0,
-            )
+    number = items.vocabulary
+    own = [np.array([number[w] for w in words]) for words in items.words]
+    own_grams = [grams(c, run) for c in own]
+    counts = [Counter(c.tolist()) for c in own]
+    answers = [{number[w] for w in answer_words(words, rare)} for words in items.words]
+    ids, width = np.array(items.ids), max(1, len(number))
+    scaled = model.weights[:, None] * model.basis
+
+    def settled(codes: np.ndarray, known: np.ndarray, k: int, begin: int) -> tuple[float, float, float]:
+        covered = coverage(own_grams[k], known, run)
+        near = codes[max(0, begin - stride) : begin + size + stride]
+        near = near[near >= 0].tolist()
+        common = sum((Counter(near) & counts[k]).values())
+        if common < low_lcs * len(own[k]):
+            return covered, 0.0, 0.0
+        got = len(answers[k] & set(near)) / len(answers[k]) if answers[k] else 0.0
+        return covered, lcs(own[k].tolist(), near) / len(own[k]), got
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend((key, items.ids[k], *rest) for k, *rest in one(words_of(text)))
+            doc, begin, row, word, val = passages_of(batch.column(1), size, stride, width)
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            for s, dense in dense_batches(row, word, val, len(doc), width):
+                cos = _unit(dense @ scaled) @ model.items.T
+                i, k = np.nonzero(cos >= bar)
+                for p, q, c in zip((i + s.start).tolist(), k.tolist(), cos[i, k].tolist(), strict=True):
+                    at = (int(doc[p]), q)
+                    if at not in best or c > best[at][0]:
+                        best[at] = (c, int(begin[p]))
+            codes, keys = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            rows, last, flat, known = [], -1, None, None
+            for (d, k), (c, a) in sorted(best.items()):
+                if d != last:
+                    last, flat = d, codes[d].values.to_numpy(zero_copy_only=False)
+                    known = np.unique(grams(flat, run))
+                    known = known[known != -1]
+                rows.append((keys[d], ids[k], c, *settled(flat, known, k, a)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "cosine", "coverage", "lcs", "answers"])
@@ -251,18 +305,33 @@ def search(items: Items, model: Model, size: int, stride: int, bar: float, run:
     return run_
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, size: int = 64, stride: int = 32, bar: float = 0.4, run: int = 4) -> DataFrame:
+#: Items that are searched for together.
+SET_ITEMS = 10_000
+PAIRS = "doc_id long, item_id long, cosine double, coverage double, lcs double, answers double"
+
+
+def item_sets(benchmark: DataFrame) -> Iterator[Items]:
+    """The items in sets of at most SET_ITEMS."""
+    rows = benchmark.select("item_id", "text").dropna().groupBy("item_id").agg(F.max("text").alias("text"))
+    sets = max(1, -(-rows.count() // SET_ITEMS))
+    for i in range(sets):
+        mine = rows if sets == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == i)
+        items = Items.of([tuple(r) for r in mine.collect()])
+        if items.ids:
+            yield items
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, size: int = 64, stride: int = 32, bar: float = 0.4, run: int = 4, low_lcs: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, coverage, lcs, answers) of every candidate pair; repeated rows
     count once. Null texts and ids are left out; an empty benchmark or corpus has no rows."""
     texts = docs.select("doc_id", "text").dropna()
-    items = Items.of([tuple(r) for r in benchmark.select("item_id", "text").collect()])
-    schema = "doc_id long, item_id long, cosine double, coverage double, lcs double, answers double"
-    if not items.ids:
-        return docs.sparkSession.createDataFrame([], schema)
-    passages = cut(texts.mapInArrow(passage_rows(items, size, stride), "grp int, idx array<int>, val array<float>"), "passages")
-    model = fit(passages, items, rank)
-    pairs = texts.mapInArrow(search(items, model, size, stride, bar, run), schema)
-    return pairs.dropDuplicates(["doc_id", "item_id"])
+    found = docs.sparkSession.createDataFrame([], PAIRS)
+    for items in item_sets(benchmark):
+        codes = cut(texts.mapInArrow(coded_words(items), CODES), "item-words")
+        passages = cut(codes.mapInArrow(passage_rows(items, size, stride), "grp int, idx array<int>, val array<float>"), "passages")
+        model = fit(passages, items, rank)
+        found = found.unionByName(codes.mapInArrow(search(items, model, size, stride, bar, run, low_lcs), PAIRS))
+    return found.dropDuplicates(["doc_id", "item_id"])
 
 
 def copied(pairs: DataFrame, share: float = 0.5) -> DataFrame:
