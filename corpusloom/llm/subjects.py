@@ -8,23 +8,25 @@ cosine, and the centroids are moved to the mean of their sentences, several time
 about the areas that hold at least a given share of those of its own sentences that are about any
 area; stock remarks ("see the notes below") are about none.
 
-Vocabularies hold words in at least a two-thousandth of a language's documents, so their size is
-bounded by 2000 times the mean number of words of a document. All statistics are sums formed in
-the cluster; only areas x rank numbers return to the driver.
+A language's vocabulary are the words in at least LEAST_DOCS documents, at most MAX_WORDS of them,
+those in most documents. All statistics are sums formed in the cluster; only areas x rank numbers
+and the vocabulary return to the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.llm import latent
-from corpusloom.llm.leakage import Items
+from corpusloom.llm.leakage import Items, item_sets
 from corpusloom.session import cut
 
 #: Frequent function words that tell the languages apart.
@@ -36,7 +38,10 @@ FUNCTION_WORDS = (
 )
 LANGUAGES = [name for name, _ in FUNCTION_WORDS]
 _SETS = [frozenset(w.split()) for _, w in FUNCTION_WORDS]
-MIN_SHARE_OF_DOCS = 2000
+_LANGUAGES_OF: dict[str, tuple[int, ...]] = {w: tuple(k for k, known in enumerate(_SETS) if w in known) for known in _SETS for w in known}
+LEAST_DOCS, MAX_WORDS = 3, 50_000
+#: A sentence with this share of its words inside runs of RUN test item words is quoted.
+QUOTED, RUN = 0.5, 4
 #: (cosine, lead) a sentence needs while the centroids settle, and afterwards.
 STRICT, FINAL = (0.35, 0.1), (0.22, 0.05)
 
@@ -63,9 +68,31 @@ def _repair(m: re.Match) -> str:
         return m.group()
 
 
-def own_sentences(text: str, item_words: dict[str, int]) -> list[list[str]]:
+def item_runs(items: Iterable[Items]) -> frozenset[tuple[str, ...]]:
+    """All runs of RUN consecutive words (letters only, as sentences have them) of the test items."""
+    out = set()
+    for part in items:
+        for words in part.words:
+            plain = [w for w in words if not any(c.isdigit() for c in w)]
+            out.update(zip(*(plain[k:] for k in range(RUN)), strict=False))
+    return frozenset(out)
+
+
+def quoted(words: list[str], runs: frozenset[tuple[str, ...]]) -> bool:
+    """Whether QUOTED of a sentence's words lie in runs that a test item has."""
+    if len(words) < RUN or not runs:
+        return False
+    upto = covered = 0
+    for i, gram in enumerate(zip(*(words[k:] for k in range(RUN)), strict=False)):
+        if gram in runs:
+            covered += i + RUN - max(upto, i)
+            upto = i + RUN
+    return covered >= QUOTED * len(words)
+
+
+def own_sentences(text: str, runs: frozenset[tuple[str, ...]]) -> list[list[str]]:
     """Word lists of a document's own sentences. A sentence ends with a stop, question or
-    exclamation mark; of its words at most five sixths may be words of test items."""
+    exclamation mark and is not quoted from a test item."""
     text = _FENCE.sub("\n", repaired(text).replace("\r\n", "\n").replace("\r", "\n"))
     out = []
     for line in text.split("\n"):
@@ -76,7 +103,7 @@ def own_sentences(text: str, item_words: dict[str, int]) -> list[list[str]]:
             if not part.rstrip("\"')]* ").endswith((".", "?", "!")):
                 continue
             words = _WORD.findall(part.lower())
-            if len(words) < 2 or sum(w in item_words for w in words) >= 0.85 * len(words):
+            if len(words) < 2 or quoted(words, runs):
                 continue
             out.append(words)
     return out
@@ -87,43 +114,63 @@ def language(sentences: list[list[str]]) -> int:
     hits = [0] * len(_SETS)
     for s in sentences:
         for w in s:
-            for k, known in enumerate(_SETS):
-                hits[k] += w in known
+            for k in _LANGUAGES_OF.get(w, ()):
+                hits[k] += 1
     return int(np.argmax(hits))
 
 
-def _sentence_rows(items: Items):
+SENTENCES = "doc_id long, grp int, words array<string>, lens array<int>"
+
+
+def _sentence_rows(runs: frozenset[tuple[str, ...]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, groups, sents = [], [], []
+            ids, groups, words, lens = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = own_sentences(text, items.vocabulary)
+                s = own_sentences(text, runs)
                 if s:
                     ids.append(key)
                     groups.append(language(s))
-                    sents.append([" ".join(w) for w in s])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int32()), pa.array(sents, pa.list_(pa.string()))], ["doc_id", "grp", "sents"])
+                    words.append([w for x in s for w in x])
+                    lens.append([len(x) for x in s])
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, groups, words, lens), kinds, strict=True)], ["doc_id", "grp", "words", "lens"])
 
     return run
 
 
-def _indexed(vocab: list[dict[str, int]], idf: list[np.ndarray]):
-    """Arrow map from sentences to word numbers, with the document's unit tf-idf row."""
+def _indexed(vocab: list[list[str]], idf: list[np.ndarray]):
+    """Arrow map from SENTENCES to word numbers, with the document's unit tf-idf row. Words that the
+    vocabulary does not have are left out of their sentences. Whole batches at a time."""
+    known = [pa.array(v, pa.string()) for v in vocab]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for key, g, sents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = vocab[g]
-                parts = [[v[w] for w in s.split(" ") if w in v] for s in sents]
-                flat = [w for p in parts for w in p]
-                idx, tf = np.unique(np.array(flat, np.int32), return_counts=True)
-                val = (1 + np.log(tf)) * idf[g][idx] if len(idx) else np.zeros(0)
-                norm = np.sqrt((val * val).sum())
-                for c, x in zip(cols, (key, g, idx, (val / norm if norm else val).astype(np.float32), flat, [len(p) for p in parts]), strict=True):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "grp", "idx", "val", "words", "lens"])
+            groups = batch.column("grp").to_numpy(zero_copy_only=False)
+            for g in np.unique(groups):
+                yield one(batch.filter(pa.array(groups == g)), int(g))
+
+    def one(part: pa.RecordBatch, g: int) -> pa.RecordBatch:
+        words, lens = part.column("words"), part.column("lens")
+        coded = words.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, known[g]).fill_null(-1).to_numpy(zero_copy_only=False)
+        code = place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(words.offsets.to_numpy()))
+        sizes = lens.flatten().to_numpy(zero_copy_only=False)
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        keep = code >= 0
+        left = np.bincount(sentence[keep], minlength=len(sizes)).astype(np.int32)
+        code, doc = code[keep], doc[keep]
+        width = max(1, len(vocab[g]))
+        at, tf = np.unique(doc * width + code, return_counts=True)
+        row, idx = at // width, at % width
+        val = (1 + np.log(tf)) * idf[g][idx] if len(idx) else np.zeros(0)
+        norm = np.sqrt(np.bincount(row, val * val, minlength=part.num_rows))
+        val = val / np.where(norm[row] > 0, norm[row], 1)
+        ends = lambda rows: pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends(row), pa.array(idx.astype(np.int32))), pa.ListArray.from_arrays(ends(row), pa.array(val.astype(np.float32))), pa.ListArray.from_arrays(ends(doc), pa.array(code.astype(np.int32)))]
+        counts = pa.ListArray.from_arrays(pa.array((lens.offsets.to_numpy() - lens.offsets[0].as_py()).astype(np.int32)), pa.array(left))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grp"), *lists, counts], ["doc_id", "grp", "idx", "val", "words", "lens"])
 
     return run
 
@@ -214,20 +261,15 @@ def subject_areas(
     spark = docs.sparkSession
     names = sorted(r[0] for r in areas.select("area").distinct().collect() if r[0] is not None)
     k = len(names)
-    items = Items.of([tuple(r) for r in benchmark.select("item_id", "text").collect()])
-    sents = cut(docs.select("doc_id", "text").dropna().mapInArrow(_sentence_rows(items), "doc_id long, grp int, sents array<string>"), "sentences")
+    runs = item_runs(item_sets(benchmark))
+    sents = cut(docs.select("doc_id", "text").dropna().mapInArrow(_sentence_rows(runs), SENTENCES), "sentences")
     sizes = {r["grp"]: r["count"] for r in sents.groupBy("grp").count().collect()}
-    vocab: list[dict[str, int]] = [{} for _ in LANGUAGES]
-    idf: list[np.ndarray] = [np.zeros(0) for _ in LANGUAGES]
-    least = F.lit(3)
-    for g, n in sizes.items():
-        least = F.when(F.col("grp") == g, max(3, n // MIN_SHARE_OF_DOCS)).otherwise(least)
-    words = sents.select("grp", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "sents"), " "))).alias("w")).groupBy("grp", "w").count()
-    known = sorted((r["grp"], r["w"], r["count"]) for r in words.where((F.col("count") >= least) & (F.length("w") > 1)).collect())
-    for g, w, _ in known:
-        vocab[g][w] = len(vocab[g])
-    for g in sizes:
-        idf[g] = np.array([np.log(1 + sizes[g] / c) for h, _, c in known if h == g])
+    counts = sents.select("grp", F.explode(F.array_distinct("words")).alias("w")).where(F.length("w") > 1).groupBy("grp", "w").count()
+    place = F.row_number().over(W.partitionBy("grp").orderBy(F.col("count").desc(), "w"))
+    known = counts.where(F.col("count") >= LEAST_DOCS).withColumn("place", place).where(F.col("place") <= MAX_WORDS).collect()
+    known = sorted((r["grp"], r["w"], r["count"]) for r in known)
+    vocab = [[w for h, w, _ in known if h == g] for g in range(len(LANGUAGES))]
+    idf = [np.array([np.log(1 + sizes[g] / c) for h, _, c in known if h == g]) if g in sizes else np.zeros(0) for g in range(len(LANGUAGES))]
     rows = cut(sents.mapInArrow(_indexed(vocab, idf), INDEXED), "indexed-sentences")
     got = latent.truncated_svd(rows.where(F.size("idx") > 0), {g: len(vocab[g]) for g in sizes}, rank=2 * k + 4, centred=True)
     vectors = {g: basis * idf[g][:, None] for g, (basis, _) in got.items()}

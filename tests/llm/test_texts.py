@@ -334,12 +334,49 @@ def test_subsequence_against_the_table(a, b):
     assert leakage.lcs(a, b) == t[-1][-1]
 
 
-@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=30))
-@settings(max_examples=200, deadline=None)
-def test_coverage_against_the_definition(item, doc):
-    grams = set(zip(*(doc[k:] for k in range(4)), strict=False))
-    held = {j for i in range(len(item) - 3) if tuple(item[i : i + 4]) in grams for j in range(i, i + 4)}
-    assert leakage.coverage(item, grams) == (len(held) / len(item) if item else 0.0)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-1, 3), max_size=30), st.lists(st.integers(0, 3), max_size=14))
+def test_coverage_against_plain_marks(doc, item):
+    import numpy as np
+
+    known = {tuple(doc[i : i + 4]) for i in range(len(doc) - 3) if min(doc[i : i + 4]) >= 0}
+    held = {i + k for i in range(len(item) - 3) if tuple(item[i : i + 4]) in known for k in range(4)}
+    g = leakage.grams(np.array(doc, np.int64), 4)
+    got = leakage.coverage(leakage.grams(np.array(item, np.int64), 4), np.unique(g[g != -1]))
+    assert got == (pytest.approx(len(held) / len(item)) if len(item) >= 4 else 0.0)
+
+
+def test_planted_paraphrases_are_found(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(36)) + f" answer {1000 + k}") for k in range(40)]
+    docs, planted = [], set()
+    for i in range(600):
+        body = [rng.choice(words + ["the", "and", "of", "is"] * 40) for _ in range(rng.randint(60, 260))]
+        if i % 4 == 0:
+            k = rng.randrange(40)
+            told = []
+            for n, w in enumerate(items[k][1].split()):
+                told += [rng.choice(["rather", "quite", "so"]), w] if n % 3 == 0 else [w]
+            at = rng.randrange(len(body))
+            body[at:at] = told
+            planted.add((i, k))
+        docs.append((i, " ".join(body)))
+    pairs = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).cache()
+    candidates = {(r["doc_id"], r["item_id"]) for r in pairs.collect()}
+    assert len(planted & candidates) / len(planted) >= 0.9
+    assert leakage.copied(pairs).count() == 0
+    told = {(r["doc_id"], r["item_id"]) for r in leakage.paraphrased(pairs).collect()}
+    assert len(planted & told) / len(planted) >= 0.9 and len(told - planted) <= 2
+
+
+def test_items_in_several_sets(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"one{k} two{k} three{k} four{k} five{k}") for k in range(9)] + [(None, "x"), (99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"well one{k} two{k} three{k} four{k} five{k} done") for k in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(leakage, "SET_ITEMS", 4)
+    assert {tuple(r) for r in leakage.copied(leakage.leaks(docs, items)).collect()} == {(k, k) for k in range(9)}
 
 
 def mix_frames(spark):
@@ -435,6 +472,28 @@ def test_subject_areas(spark):
 
 def test_own_sentences():
     text = "# Head.\nuser: One two three. Four five!\n```\nin code.\n```\n[03:32] step merge exit 0 in 5 ms\n- [core] six seven.\n  --> src/a.rs:1:2\nno stop here\n"
-    assert subjects.own_sentences(text, {}) == [["one", "two", "three"], ["four", "five"], ["six", "seven"]]
+    assert subjects.own_sentences(text, frozenset()) == [["one", "two", "three"], ["four", "five"], ["six", "seven"]]
     assert subjects.repaired("sÃ©cheresse") == "sécheresse"
     assert F is not None
+
+
+def test_quoted_sentences_go_by_runs_not_by_single_words():
+    items = [leakage.Items.of([(1, "the court heard the appeal and set the licence aside for good"), (2, "every team lost")])]
+    runs = subjects.item_runs(items)
+    assert subjects.own_sentences("The court heard the appeal and set it down.", runs) == []
+    # All of these words occur in the items, but in no run of theirs.
+    assert subjects.own_sentences("The licence the court set lost every appeal.", runs) == [["the", "licence", "the", "court", "set", "lost", "every", "appeal"]]
+    assert subjects.own_sentences("Every team lost.", runs) == [["every", "team", "lost"]]
+
+
+def test_labels_held_out(spark):
+    docs, truth = subject_docs()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([("law", ""), ("sport", "")], "area string, hint string")
+    labels = spark.createDataFrame([(i, a) for i, s in truth.items() for a in s if i % 5 == 0], "doc_id long, area string")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    got: dict = {}
+    for r in subjects.subject_areas(d, areas, labels, bench).collect():
+        got.setdefault(r["doc_id"], set()).add(r["area"])
+    rest = [i for i in truth if i % 5]
+    assert sum(got.get(i, set()) == truth[i] for i in rest) / len(rest) > 0.95
