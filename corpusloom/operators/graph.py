@@ -131,6 +131,21 @@ def layer_pages(files: DataFrame, page: int) -> DataFrame:
     return rows.select("file", "page_no", start.alias("start"), F.least(F.lit(page).cast("long"), F.col("size") - start).alias("length"))
 
 
+def layer_files(files: DataFrame, page: int = 512 << 20) -> DataFrame:
+    """(file, layer): layers that model files (file, size) hold. A .gguf file has one for each page; of
+    other files those named layer_N have layer N, however often they are listed."""
+    single = layer_pages(files.where(F.col("file").endswith(".gguf")), page).select("file", F.col("page_no").alias("layer"))
+    named = files.where(~F.col("file").endswith(".gguf")).select("file", F.regexp_extract("file", r"layer_([0-9]+)[^/]*$", 1).try_cast("int").alias("layer"))
+    return single.unionByName(named.where("layer IS NOT NULL").distinct())
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): added, removed, changed or same, by the digests of two snapshots (keys, digest)."""
+    both = before.withColumnRenamed("digest", "__a").join(after.withColumnRenamed("digest", "__b"), keys, "full_outer")
+    change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__a") != F.col("__b"), "changed").otherwise("same")
+    return both.select(*keys, change.alias("change"))
+
+
 def running_chain(blocks: DataFrame, key: str, order: str, digest: str) -> DataFrame:
     """(key, root): root = sha256(root || digest) over each key's blocks in order, from an empty root.
     A chain is sequential by nature; keys run in parallel."""

@@ -184,3 +184,51 @@ def ternary_gemv(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = F.transform("vector", lambda w: F.when(w.cast("double") > F.col("scale") / 2, 1).when(w.cast("double") < -F.col("scale") / 2, -1).otherwise(0))
     rows = v.withColumn("scale", scale).withColumn("signs", signs).join(F.broadcast(x))
     return rows.select(F.col("id").alias("row"), F.round(V.dot(F.col("signs"), F.col("x")) * F.col("scale"), 6).alias("y"))
+
+
+@REGISTRY.query("normalized_vectors", BASE + ", e AS (SELECT id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector)::DOUBLE AS x FROM v) SELECT id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value FROM e")
+def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collection(spark, sf_dir).select("id", F.posexplode(V.normalized(F.col("vector"))).alias("pos", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@REGISTRY.query("gist_cosines", GIST + ", l AS (SELECT list(value ORDER BY pos) AS g FROM g) SELECT id, round(" + _d("vector", "g") + " / sqrt(" + _d("vector", "vector") + " * " + _d("g", "g") + "), 6) AS cosine, round(sqrt(" + _d("vector", "vector") + " + " + _d("g", "g") + " - 2 * " + _d("vector", "g") + "), 6) AS surprise FROM v, l")
+def gist_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the gist: true cosine, and the distance that counts as surprise."""
+    v = collection(spark, sf_dir)
+    gist = dense.centroid(v).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("g"))  # a row a dimension
+    rows = v.join(F.broadcast(gist))
+    return rows.select("id", F.round(V.true_cosine(F.col("vector"), F.col("g")), 6).alias("cosine"), F.round(V.distance(F.col("vector"), F.col("g")), 6).alias("surprise"))
+
+
+TUNED = BASE + """, r AS (SELECT label, vector, row_number() OVER (PARTITION BY label ORDER BY id DESC) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM v),
+e AS (SELECT label, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector)::DOUBLE AS x, CASE WHEN k = n - 1 THEN pow(0.75, k) ELSE 0.25 * pow(0.75, k) END AS w FROM r)
+SELECT label::BIGINT AS label, pos::INT AS pos, round(sum(w * x), 6) AS value FROM e GROUP BY label, pos"""
+
+
+@REGISTRY.query("tuned_vectors", TUNED)
+def tuned_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors blended in order of id, a quarter of the new one."""
+    from corpusloom.operators import holographic
+
+    out = holographic.tuned(collection(spark, sf_dir), "label", "id", 0.25)
+    return out.select(F.col("label").cast("long").alias("label"), F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@REGISTRY.query("index_recall")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(method, recall, scanned): what the approximate searches of the stated queries find of the exact
+    ten best, and the part of the collection that they score exactly."""
+    v = collection(spark, sf_dir)
+    q = probes(v)
+    exact = search.dense_top(v, q, 10).select("q", "id")
+    centroids, parts = dense.kmeans(v, PARTS)
+    held = v.join(parts, "id")
+    n, asked, want = v.count(), q.count(), exact.count()
+    sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    read = dense.nearest_parts(q, centroids, 4).join(sizes, "part").agg(F.sum("size")).first()[0] or 0
+    rows = []
+    for name, got, seen in (("partitions", dense.probe(held, centroids, q, 4, 10), read), ("ternary", dense.coarse_to_fine(v, q, 10), 80 * asked)):
+        both = got.select("q", "id").join(exact, ["q", "id"]).count()
+        rows.append((name, round(both / max(want, 1), 4), round(seen / max(asked * n, 1), 4)))
+    return spark.createDataFrame(rows, "method string, recall double, scanned double")

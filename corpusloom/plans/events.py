@@ -92,9 +92,35 @@ def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("cluster"), "event_id", F.least(F.col("value") / 50, F.lit(1.0)).alias("x"))
 
 
-@REGISTRY.query("activation_ema", EMA + "SELECT cluster, round(sum(0.1 * pow(0.9, k) * x), 6) AS ema, count(*) AS n FROM r GROUP BY cluster")
+@REGISTRY.query("activation_ema", EMA + "SELECT cluster, round(sum(0.1 * pow(0.9, k) * x), 6) AS ema, count(*) AS n, least(count(*), 100) AS samples FROM r GROUP BY cluster")
 def activation_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.ema(activations(spark, sf_dir), "cluster", "event_id", "x", 0.1).select("cluster", F.round("ema", 6).alias("ema"), "n")
+    return live.ema(activations(spark, sf_dir), "cluster", "event_id", "x", 0.1).select("cluster", F.round("ema", 6).alias("ema"), "n", F.least("n", F.lit(100).cast("long")).alias("samples"))
+
+
+@REGISTRY.query(
+    "latency_ema",
+    """WITH r AS (SELECT event_type AS route, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS k FROM events)
+SELECT route, round(sum(0.1 * pow(0.9, k) * value), 6) AS latency, count(*) AS n FROM r GROUP BY route""",
+)
+def latency_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving average of each route's latency, with its number of requests."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "event_id", "value")
+    return live.ema(rows, "route", "event_id", "value", 0.1).select("route", F.round("ema", 6).alias("latency"), "n")
+
+
+@REGISTRY.query(
+    "watch_counters",
+    r"""WITH e AS (SELECT 'src/f' || (event_id % 400) || CASE WHEN event_id % 3 = 0 THEN '.png' ELSE '.rs' END AS path, event_type, event_id FROM events)
+SELECT CASE WHEN path LIKE '%.png' THEN 'ignore' WHEN event_type = 'error' THEN 'remove' WHEN event_id % 11 = 0 THEN 'failed' ELSE 'ingest' END AS action, count(*) AS n FROM e GROUP BY 1""",
+)
+def watch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each edit of the log, counted."""
+    from corpusloom.streaming import jobs
+
+    e = table(spark, sf_dir, "events")
+    ext = F.when(F.col("event_id") % 3 == 0, ".png").otherwise(".rs")
+    log = e.select(F.concat(F.format_string("src/f%d", F.col("event_id") % 400), ext).alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"), F.when(F.col("event_id") % 11 != 0, "text").alias("text"))
+    return jobs.watch_counters(jobs.classified(log))
 
 
 @REGISTRY.query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,15 @@ tree AS (SELECT DISTINCT array_to_string(cs[1:depth], '/') AS node, CASE WHEN de
 )
 
 
+LIMITED = TREE.replace("list_filter(string_split(path, '/'), lambda c: c <> '' AND c <> '.') AS cs FROM every)", "list_filter(string_split(path, '/'), lambda c: c <> '' AND c <> '.') AS cs FROM (SELECT * FROM every ORDER BY path LIMIT 100))")
+
+
+@REGISTRY.query("directory_tree_limited", LIMITED + "SELECT node, up, depth FROM tree")
+def directory_tree_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of a limited number of files, which is the operator's own option."""
+    return graph.directory_tree(table(spark, sf_dir, "chunks").select("path"), 100)
+
+
 @REGISTRY.query("directory_tree", TREE + "SELECT node, up, depth FROM tree")
 def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.directory_tree(table(spark, sf_dir, "chunks").select("path"))
@@ -134,6 +144,23 @@ def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("dirty"))
 
 
+SNAPSHOTS = """WITH o AS (SELECT DISTINCT catalog_id, node_id, arrival_seq, lower(content_hash) AS h, observed_at FROM dag_nodes WHERE content_hash IS NOT NULL AND catalog_id IS NOT NULL AND node_id IS NOT NULL),
+m AS (SELECT (min(arrival_seq) + max(arrival_seq)) // 2 AS mid FROM o), a AS (SELECT catalog_id, node_id, arg_max(h, struct_pack(x := observed_at, y := arrival_seq, z := h)) AS h FROM o, m WHERE arrival_seq <= mid GROUP BY ALL),
+b AS (SELECT catalog_id, node_id, arg_max(h, struct_pack(x := observed_at, y := arrival_seq, z := h)) AS h FROM o GROUP BY ALL)
+SELECT catalog_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS change, count(*) AS nodes FROM a FULL JOIN b USING (catalog_id, node_id) GROUP BY ALL"""
+
+
+@REGISTRY.query("snapshot_changes", SNAPSHOTS)
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each catalog against the snapshot at the middle of the arrivals."""
+    rows = table(spark, sf_dir, "dag_nodes").where("content_hash IS NOT NULL AND catalog_id IS NOT NULL AND node_id IS NOT NULL")
+    lo, hi = rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    newest = F.max_by(F.lower("content_hash"), F.struct("observed_at", "arrival_seq", F.lower("content_hash"))).alias("digest")
+    state = lambda df: df.groupBy("catalog_id", "node_id").agg(newest)
+    got = graph.snapshot_changes(state(rows.where(F.col("arrival_seq") <= ((lo or 0) + (hi or 0)) // 2)), state(rows), ["catalog_id", "node_id"])
+    return got.groupBy("catalog_id", "change").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @REGISTRY.query(
     "stitch_summary",
     """WITH o AS (SELECT DISTINCT catalog_id, node_id, node_type, path, content_hash, observed_at FROM dag_nodes WHERE node_type = 'leaf' AND content_hash IS NOT NULL AND path IS NOT NULL),
@@ -159,6 +186,22 @@ def layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_pages(files, 16384)
 
 
+@REGISTRY.query(
+    "layer_files",
+    r"""WITH p AS (SELECT DISTINCT replace(path, '\', '/') AS path FROM chunks WHERE path IS NOT NULL), n AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i FROM p),
+f AS (SELECT CASE WHEN i % 5 = 0 THEN path || '.gguf' ELSE 'model/layer_' || (i % 40) || '.bin' END AS file, (i * 104729 + 1) * 4096 AS size FROM n)
+SELECT file, unnest(generate_series(0, ceil(size / 536870912.0)::INT - 1))::INT AS layer FROM f WHERE ends_with(file, '.gguf') UNION ALL SELECT DISTINCT file, regexp_extract(file, 'layer_([0-9]+)', 1)::INT FROM f WHERE NOT ends_with(file, '.gguf')""",
+)
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of model files: pages of single-file models, and numbered files."""
+    from corpusloom.session import numbered
+
+    paths = table(spark, sf_dir, "chunks").where("path IS NOT NULL").select(T.normal_path("path").alias("path")).distinct()
+    i = F.col("i")
+    named = numbered(paths, ["path"], "i").select(F.when(i % 5 == 0, F.concat("path", F.lit(".gguf"))).otherwise(F.format_string("model/layer_%d.bin", i % 40)).alias("file"), ((i * 104729 + 1) * 4096).alias("size"))
+    return graph.layer_files(named)
+
+
 CHAIN = """WITH RECURSIVE o AS (SELECT DISTINCT catalog_id, run_id, up_to_seq FROM sync_runs WHERE up_to_seq IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY run_id) AS r FROM (SELECT catalog_id, run_id, sha256(up_to_seq::VARCHAR) AS d FROM o)),
 c AS (SELECT catalog_id, 0::BIGINT AS r, '' AS root FROM (SELECT DISTINCT catalog_id FROM n) UNION ALL SELECT c.catalog_id, n.r, sha256(c.root || n.d) FROM c JOIN n ON n.catalog_id = c.catalog_id AND n.r = c.r + 1)
 SELECT catalog_id, arg_max(root, r) AS root FROM c GROUP BY catalog_id"""
@@ -297,6 +340,32 @@ def circular_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.select("id", F.posexplode("b").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+@REGISTRY.query(
+    "circular_unbind",
+    """WITH v AS (SELECT DISTINCT vec_id AS id, embedding AS v FROM embeddings), k AS (SELECT v AS k FROM v WHERE id = 0)
+SELECT id, pos::INT AS pos, round(list_sum(list_transform(generate_series(0, 63), lambda j: k[j + 1]::DOUBLE * v[(pos + j) % 64 + 1]::DOUBLE)), 6) AS x FROM v, k, generate_series(0, 63) g(pos)""",
+)
+def circular_unbind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = collection(spark, sf_dir)
+    key = v.where("id = 0").select(F.col("vector").alias("k"))  # one row
+    got = v.join(F.broadcast(key)).select("id", holographic.unbind(F.col("k"), F.col("vector")).alias("b"))
+    return got.select("id", F.posexplode("b").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@REGISTRY.query("workspace_vector")
+def workspace_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector of the whole workspace, from hash embeddings of its first blocks."""
+    from corpusloom.operators import dense
+    from corpusloom.plans.text import files
+
+    def embed(blocks: DataFrame) -> DataFrame:
+        named = blocks.select(F.format_string("%s#%d", "path", "no").alias("key"), "text", "path", "no")
+        raw = dense.weighted(dense.raw_features(named, 64, "key", "text"), np.ones(64))
+        return raw.join(named.select("key", "path", "no"), "key").select("path", "no", "vector")
+
+    return holographic.workspace_vector(files(spark, sf_dir), 64, embed).select(F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 @REGISTRY.query("superposition_recall")
 def superposition_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall from superpositions of growing size; mean cosine falls as 1 / sqrt(k)."""

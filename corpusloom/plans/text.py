@@ -79,17 +79,10 @@ def indexable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("path", T.extension("path").alias("ext"), T.is_indexable("path").alias("indexable"))
 
 
-TRUNCATED = "SELECT DISTINCT chunk_id, md5(text[1:200]) AS digest FROM chunks WHERE text IS NOT NULL AND strlen(text) = length(text)"
+CUT = "SELECT DISTINCT chunk_id, md5(substring(text, 1, list_max(list_filter(generate_series(0, 200), lambda k: strlen(substring(text, 1, k)) <= 200)))) AS digest FROM chunks WHERE text IS NOT NULL"
 
 
-@REGISTRY.query("truncated_ascii", TRUNCATED)
-def truncated_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of `truncated` that its SQL can state: on ASCII texts bytes are characters."""
-    ascii_only = table(spark, sf_dir, "chunks").where("octet_length(text) = length(text)")
-    return ascii_only.select("chunk_id", F.md5(T.truncated_bytes("text", 200)).alias("digest")).distinct()
-
-
-@REGISTRY.query("truncated")
+@REGISTRY.query("truncated", CUT)
 def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts cut to 200 bytes of UTF-8 at a character border."""
     return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_id", F.md5(T.truncated_bytes("text", 200)).alias("digest")).distinct()
