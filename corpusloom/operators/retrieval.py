@@ -110,16 +110,12 @@ def page_fault(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, limits
     return fault(located(cand, chunks), queries, chunks, gist_scores(gist, queries), limits)
 
 
-def defines_any(text: Column, symbols: Column) -> Column:
-    """Whether a line of the text declares or assigns one of the symbols, which are runs of letters or
-    digits in lower case."""
-    low, keys = F.lower(text), "|".join(DECLARATIONS)
-
-    def one(s: Column) -> Column:
-        pattern = F.concat(F.lit(rf"(?m)(^|[^\p{{L}}\p{{N}}_])({keys})[ \t]+"), s, F.lit(r"($|[^a-z0-9_])|(^|[^a-z0-9_])"), s, F.lit(r"[ \t]*(=($|[^=])|:($|[^:]))"))
-        return low.contains(s) & F.rlike(low, pattern)
-
-    return F.exists(symbols, one)
+def definitions_pattern(symbols: Column) -> Column:
+    """Regular expression for lower-cased text with a line that declares or assigns one of the symbols, which
+    are runs of letters or digits in lower case; null without symbols."""
+    keys, one = "|".join(DECLARATIONS), F.array_join(symbols, "|")
+    pattern = F.concat(F.lit(rf"(?m)(^|[^\p{{L}}\p{{N}}_])({keys})[ \t]+("), one, F.lit(r")($|[^a-z0-9_])|(^|[^a-z0-9_])("), one, F.lit(r")[ \t]*(=($|[^=])|:($|[^:]))"))
+    return F.when(F.size(symbols) > 0, pattern)
 
 
 def hybrid_candidates(dense: DataFrame, chunks: DataFrame, queries: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -146,9 +142,10 @@ def hybrid_candidates(dense: DataFrame, chunks: DataFrame, queries: DataFrame, l
     both = near.join(lexical, ["q", "chunk"], "full_outer").fillna(0.0, ["dense", "lexical"])
     best = W.partitionBy("q")
     both = both.withColumns({"top": F.max("lexical").over(best), "bar": F.greatest(F.lit(limits.threshold), F.max("dense").over(best) * min(max(limits.relative, 0.0), 1.0))})
-    symbols = queries.select("q", F.filter(F.array_distinct(word_tokens("text")), lambda t: F.octet_length(t) >= 4).alias("symbols"))
-    texts = chunks.select("chunk", "text").join(small_side(both), "chunk").join(small_side(symbols), "q")
-    flagged = texts.withColumn("defines", F.when(defines_any(F.col("text"), F.col("symbols")), 1.0).otherwise(0.0)).drop("text", "symbols")
+    patterns = queries.select("q", definitions_pattern(F.filter(F.array_distinct(word_tokens("text")), lambda t: F.octet_length(t) >= 4)).alias("pattern"))
+    # A request's pattern is compiled once for all its candidates, which come one after the other.
+    texts = chunks.select("chunk", "text").join(small_side(both), "chunk").join(small_side(patterns), "q").repartition("q").sortWithinPartitions("q")
+    flagged = texts.withColumn("defines", F.when(F.rlike(F.lower("text"), F.col("pattern")), 1.0).otherwise(0.0)).drop("text", "pattern")
     norm = F.when(F.col("top") > TRUSTED, F.col("lexical") / F.col("top")).otherwise(0.0)
     scored = flagged.withColumn("score", F.round(F.col("dense") + LEXICAL_WEIGHT * norm + DEFINITION_BONUS * F.col("defines"), 6))
     kept = scored.where((F.col("dense") >= F.col("bar")) | (F.col("lexical") >= ADMITS) | (F.col("defines") > 0))
