@@ -26,17 +26,19 @@ def csr(idx: pa.Array, val: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.repeat(np.arange(len(idx)), lengths), idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False)
 
 
-def dense_batches(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, width: int) -> Iterator[tuple[slice, np.ndarray]]:
-    """Dense pieces of a sparse matrix, BATCH rows at a time."""
+def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, product): the sparse rows times a dense matrix, for rows that have entries. Entries are in
+    row order."""
+    starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    if not len(starts):
+        return starts, np.zeros((0, m.shape[1]), m.dtype)
+    return row[starts], np.add.reduceat(m[col] * val[:, None], starts)
+
+
+def pieces(row: np.ndarray, n: int) -> Iterator[slice]:
+    """Slices of the entries of BATCH rows at a time."""
     bounds = np.searchsorted(row, np.arange(0, n + BATCH, BATCH))
-    for k in range(len(bounds) - 1):
-        a, b = bounds[k], bounds[k + 1]
-        size = min(BATCH, n - k * BATCH)
-        if size <= 0:
-            return
-        out = np.zeros((size, width), np.float32)
-        out[row[a:b] - k * BATCH, col[a:b]] = val[a:b]
-        yield slice(k * BATCH, k * BATCH + size), out
+    yield from (slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b > a)
 
 
 def _partials(mats: dict[int, np.ndarray]):
@@ -50,9 +52,15 @@ def _partials(mats: dict[int, np.ndarray]):
                     continue
                 part = batch.filter(pa.array(groups == g))
                 m, acc = mats[int(g)], sums[int(g)]
-                for _, a in dense_batches(*csr(part.column("idx"), part.column("val")), part.num_rows, m.shape[0]):
-                    acc[:, :-1] += a.T @ (a @ m)
-                    acc[:, -1] += a.sum(0)
+                row, col, val = csr(part.column("idx"), part.column("val"))
+                for piece in pieces(row, part.num_rows):
+                    r, c, v = row[piece], col[piece], val[piece]
+                    rows, y = times(r, c, v, m)
+                    order = np.argsort(c, kind="stable")
+                    back = (y[np.searchsorted(rows, r)] * v[:, None])[order]
+                    starts = np.flatnonzero(np.diff(c[order], prepend=-1))
+                    acc[c[order][starts], :-1] += np.add.reduceat(back, starts)
+                acc[:, -1] += np.bincount(col, val, minlength=len(acc))
                 counts[int(g)] += part.num_rows
         rows = [(g, k // BLOCK, counts[g] if k == 0 else 0, acc[k : k + BLOCK].tobytes()) for g, acc in sums.items() if counts[g] for k in range(0, len(acc), BLOCK)]
         yield block_rows(rows)

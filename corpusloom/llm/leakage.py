@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.latent import dense_batches, truncated_svd
+from corpusloom.llm.latent import pieces, times, truncated_svd
 from corpusloom.session import cut
 
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -283,10 +283,11 @@ def search(items: Items, model: Model, size: int, stride: int, bar: float, run:
         for batch in batches:
             doc, begin, row, word, val = passages_of(batch.column(1), size, stride, width)
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for s, dense in dense_batches(row, word, val, len(doc), width):
-                cos = _unit(dense @ scaled) @ model.items.T
+            for piece in pieces(row, len(doc)):
+                found, latent_rows = times(row[piece], word[piece], val[piece], scaled)
+                cos = _unit(latent_rows) @ model.items.T
                 i, k = np.nonzero(cos >= bar)
-                for p, q, c in zip((i + s.start).tolist(), k.tolist(), cos[i, k].tolist(), strict=True):
+                for p, q, c in zip(found[i].tolist(), k.tolist(), cos[i, k].tolist(), strict=True):
                     at = (int(doc[p]), q)
                     if at not in best or c > best[at][0]:
                         best[at] = (c, int(begin[p]))
