@@ -400,3 +400,55 @@ def test_faults_scope_live_and_contexts(spark):
     assert empty.count() == 0
     answer = retrieval.page_fault(base, chunks, asks).where("q = 2").select(search.tool_block(F.col("hits"))).first()[0]
     assert answer == "── lib/ring.rs:8-12  (score 0.200)\nring tail"
+
+
+def test_scratchpad_use_and_cluster_removal(spark):
+    pad = state.scratchpad(log(spark, [("alloc", 0, 60), ("alloc", 0, 50), ("alloc", 0, 40), ("free", 0, 70), ("free", 0, 70)]), 100).orderBy("seq").collect()
+    assert [(r["offset"], r["used"]) for r in pad] == [(0, 60), (None, 60), (60, 100), (None, 30), (None, 0)]
+    use = state.resident_use(log(spark, [("add", 1, 5), ("add", 2, 7), ("remove", 1, 0), ("access", 1, 9), ("add", 2, 8)])).first()
+    assert (use["blocks"], use["used"]) == (1, 8)
+    rows = log(spark, [("add", 1, 5), ("add", 2, 5), ("remove", 1, 0), ("remove", 1, 0), ("add", 3, 1)]).withColumn("cluster", F.col("block"))
+    got = state.injected(rows, 10).orderBy("seq").collect()
+    assert [(r["position"], r["accepted"]) for r in got] == [(0, True), (5, True), (None, True), (None, False), (None, False)]
+
+
+def test_blends_marks_and_directions(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6, 8))
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "g long, i long, vector array<double>")
+    for alpha, a in ((0.3, 0.3), (-1, 0.0), (7, 1.0)):
+        want = x[0]
+        for v in x[1:]:
+            want = (1 - a) * want + a * v
+        assert holographic.tuned(rows, "g", "i", alpha).first()["vector"] == pytest.approx(want.tolist())
+    stream = hashlib.shake_256(b"seed").digest(2420)
+    want = np.zeros(8)
+    for i, b in enumerate(stream):
+        want[17 * i % 8] += b * 1e-6
+    marked = rows.where("i = 0").select(holographic.watermark_bias(F.col("vector"), "seed").alias("m")).first()["m"]
+    assert marked == pytest.approx((x[0] + want).tolist())
+    paths = spark.createDataFrame([("a/b/c",), ("a/b/d",), ("z/y/x",), (None,)], "p string")
+    near, same, other, none = (r[0] for r in paths.select(holographic.path_direction(F.col("p"), 64)).collect())
+    assert none is None and np.dot(near, same) > 0.8 > abs(np.dot(near, other)) + 0.3 and np.linalg.norm(near) == pytest.approx(1)
+
+
+def test_workspace_vector_against_a_loop(spark):
+    texts = {"b.md": "\n\n".join("block %d " % i * 12 for i in range(5)), "a.md": "short\n\n" + "long enough text " * 5}
+    blocks = {("a.md", 1): 0, ("b.md", 0): 1, ("b.md", 1): 2, ("b.md", 2): 3}
+    unit = np.eye(16)[:4]
+
+    def embed(df):
+        return df.sparkSession.createDataFrame([(r["path"], r["no"], unit[blocks[r["path"], r["no"]]].tolist()) for r in df.collect()], "path string, no int, vector array<double>")
+
+    got = holographic.workspace_vector(spark.createDataFrame(list(texts.items()), "path string, text string"), 16, embed).first()["vector"]
+    g = np.zeros(16)
+    for (path, _), i in sorted(blocks.items()):
+        g = 0.85 * g + 0.15 * unit[i] + 0.1 * holographic.convolve(holographic.path_key(path, 16), unit[i])
+    assert got == pytest.approx((g / np.linalg.norm(g)).tolist())
+
+
+def test_model_layers_and_snapshots(spark):
+    files = spark.createDataFrame([("m/x.gguf", 1100), ("m/layer_7.bin", 5), ("m/layer_7.bin", 5), ("m/readme", 5), ("e.gguf", 0)], "file string, size long")
+    assert {tuple(r) for r in graph.layer_files(files, 512).collect()} == {("m/x.gguf", 0), ("m/x.gguf", 1), ("m/x.gguf", 2), ("m/layer_7.bin", 7)}
+    one, two = (spark.createDataFrame(r, "k long, digest string") for r in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "d"), (4, "e")]))
+    assert {tuple(r) for r in graph.snapshot_changes(one, two, ["k"]).collect()} == {(1, "removed"), (2, "same"), (3, "changed"), (4, "added")}

@@ -122,3 +122,25 @@ def test_fault_phases(spark):
     rows = spark.createDataFrame([(1, i, 1.0) for i in range(9)] + [(2, i, 0.1) for i in range(9)], "cluster long, seq long, x double")
     got = [(r["seq"], r["before"], r["phase"]) for r in jobs.fault_phases(rows, 0.5, 0.85, 2).orderBy("seq").collect()]
     assert got == [(2, "monitoring", "fault_detected"), (3, "fault_detected", "inflating"), (5, "inflating", "monitoring"), (6, "monitoring", "fault_detected"), (7, "fault_detected", "inflating")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from corpusloom.__main__ import main
+
+    for name, body in {"lib/ring.rs": "fn push_ring(queue) {}\nlet depth = 3;\n", "doc/notes.md": "the ring queue overflows when depth is small\n", "app.py": "def serve(port):\n    return port\n"}.items():
+        p = tmp_path / "w" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    out = str(tmp_path / "c")
+    assert main(["build", str(tmp_path / "w"), "--out", out, "--dim", "64"], spark) == 0
+    capsys.readouterr()
+    assert main(["query", out, "why does the ring queue overflow", "--k", "2"], spark) == 0
+    assert capsys.readouterr().out.startswith("── ")
+    assert main(["query", out, "ring queue depth", "--scope", "notes.md", "--json"], spark) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["faulted"] and [h["path"] for h in got["hits"]] == ["doc/notes.md"]
+    assert main(["define", out, "serve"], spark) == 0 and "app.py:1-2" in capsys.readouterr().out
+    assert main(["stats", out], spark) == 0 and "file_count: 3" in capsys.readouterr().out
+    assert main(["stats", str(tmp_path / "none")], spark) == 1
