@@ -26,13 +26,31 @@ def csr(idx: pa.Array, val: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.repeat(np.arange(len(idx)), lengths), idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False)
 
 
+#: Up to this many features a piece of rows is multiplied as a dense matrix, which is faster then.
+DENSE_WIDTH = 4096
+
+
 def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, product): the sparse rows times a dense matrix, for rows that have entries. Entries are in
-    row order."""
+    """(rows, product): the sparse rows times a matrix, for rows that have entries. Entries are in row
+    order, one for each row and column."""
     starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
     if not len(starts):
         return starts, np.zeros((0, m.shape[1]), m.dtype)
-    return row[starts], np.add.reduceat(m[col] * val[:, None], starts)
+    if len(m) <= DENSE_WIDTH:
+        dense = np.zeros((len(starts), len(m)), m.dtype)
+        dense[np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(row)])), col] = val
+        return row[starts], dense @ m
+    return row[starts], by_column(m, col, val, starts)
+
+
+def by_column(m: np.ndarray, col: np.ndarray, val: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows col of m, times val, over the runs that begin at starts: one column after the
+    other, which is many times as fast as whole rows."""
+    out = np.empty((len(starts), m.shape[1]), m.dtype)
+    for j, column in enumerate(np.ascontiguousarray(m.T)):
+        part = column[col]
+        out[:, j] = np.add.reduceat(part if val is None else part * val, starts)
+    return out
 
 
 def pieces(row: np.ndarray, n: int) -> Iterator[slice]:
@@ -56,10 +74,15 @@ def _partials(mats: dict[int, np.ndarray]):
                 for piece in pieces(row, part.num_rows):
                     r, c, v = row[piece], col[piece], val[piece]
                     rows, y = times(r, c, v, m)
+                    at = np.searchsorted(rows, r)
+                    if len(m) <= DENSE_WIDTH:
+                        dense = np.zeros((len(rows), len(m)), np.float32)
+                        dense[at, c] = v
+                        acc[:, :-1] += dense.T @ y
+                        continue
                     order = np.argsort(c, kind="stable")
-                    back = (y[np.searchsorted(rows, r)] * v[:, None])[order]
                     starts = np.flatnonzero(np.diff(c[order], prepend=-1))
-                    acc[c[order][starts], :-1] += np.add.reduceat(back, starts)
+                    acc[c[order][starts], :-1] += by_column(y, at[order], v[order], starts)
                 acc[:, -1] += np.bincount(col, val, minlength=len(acc))
                 counts[int(g)] += part.num_rows
         rows = [(g, k // BLOCK, counts[g] if k == 0 else 0, acc[k : k + BLOCK].tobytes()) for g, acc in sums.items() if counts[g] for k in range(0, len(acc), BLOCK)]

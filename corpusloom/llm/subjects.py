@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +69,29 @@ def _repair(m: re.Match) -> str:
         return m.group()
 
 
-def item_runs(items: Iterable[Items]) -> frozenset[tuple[str, ...]]:
+class Runs(frozenset):
+    """Runs of words, with the words that occur in them."""
+
+    @cached_property
+    def words(self) -> frozenset[str]:
+        return frozenset(w for run in self for w in run)
+
+
+def item_runs(items: Iterable[Items]) -> Runs:
     """All runs of RUN consecutive words (letters only, as sentences have them) of the test items."""
     out = set()
     for part in items:
         for words in part.words:
             plain = [w for w in words if not any(c.isdigit() for c in w)]
             out.update(zip(*(plain[k:] for k in range(RUN)), strict=False))
-    return frozenset(out)
+    return Runs(out)
 
 
-def quoted(words: list[str], runs: frozenset[tuple[str, ...]]) -> bool:
-    """Whether QUOTED of a sentence's words lie in runs that a test item has."""
-    if len(words) < RUN or not runs:
+def quoted(words: list[str], runs: Runs) -> bool:
+    """Whether QUOTED of a sentence's words lie in runs that a test item has. Most sentences do not have
+    so many words of items at all."""
+    known = runs.words
+    if len(words) < RUN or sum(w in known for w in words) < QUOTED * len(words):
         return False
     upto = covered = 0
     for i, gram in enumerate(zip(*(words[k:] for k in range(RUN)), strict=False)):
@@ -90,7 +101,7 @@ def quoted(words: list[str], runs: frozenset[tuple[str, ...]]) -> bool:
     return covered >= QUOTED * len(words)
 
 
-def own_sentences(text: str, runs: frozenset[tuple[str, ...]]) -> list[list[str]]:
+def own_sentences(text: str, runs: Runs) -> list[list[str]]:
     """Word lists of a document's own sentences. A sentence ends with a stop, question or
     exclamation mark and is not quoted from a test item."""
     text = _FENCE.sub("\n", repaired(text).replace("\r\n", "\n").replace("\r", "\n"))
@@ -122,7 +133,7 @@ def language(sentences: list[list[str]]) -> int:
 SENTENCES = "doc_id long, grp int, words array<string>, lens array<int>"
 
 
-def _sentence_rows(runs: frozenset[tuple[str, ...]]):
+def _sentence_rows(runs: Runs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, groups, words, lens = [], [], [], []
@@ -184,7 +195,7 @@ def sentence_vectors(words: np.ndarray, lens: np.ndarray, vectors: np.ndarray) -
     ends = np.cumsum(lens)
     full = lens > 0
     if full.any():
-        out[full] = np.add.reduceat(vectors[words], (ends - lens)[full])
+        out[full] = latent.by_column(vectors, words, None, (ends - lens)[full])
     return out
 
 
@@ -272,7 +283,7 @@ def subject_areas(
     idf = [np.array([np.log(1 + sizes[g] / c) for h, _, c in known if h == g]) if g in sizes else np.zeros(0) for g in range(len(LANGUAGES))]
     rows = cut(sents.mapInArrow(_indexed(vocab, idf), INDEXED), "indexed-sentences")
     got = latent.truncated_svd(rows.where(F.size("idx") > 0), {g: len(vocab[g]) for g in sizes}, rank=2 * k + 4, centred=True)
-    vectors = {g: basis * idf[g][:, None] for g, (basis, _) in got.items()}
+    vectors = {g: (basis * idf[g][:, None]).astype(np.float32) for g, (basis, _) in got.items()}
     if not vectors or not k:
         return spark.createDataFrame([], "doc_id long, area string")
 

@@ -472,7 +472,7 @@ def test_subject_areas(spark):
 
 def test_own_sentences():
     text = "# Head.\nuser: One two three. Four five!\n```\nin code.\n```\n[03:32] step merge exit 0 in 5 ms\n- [core] six seven.\n  --> src/a.rs:1:2\nno stop here\n"
-    assert subjects.own_sentences(text, frozenset()) == [["one", "two", "three"], ["four", "five"], ["six", "seven"]]
+    assert subjects.own_sentences(text, subjects.Runs()) == [["one", "two", "three"], ["four", "five"], ["six", "seven"]]
     assert subjects.repaired("sÃ©cheresse") == "sécheresse"
     assert F is not None
 
@@ -497,3 +497,21 @@ def test_labels_held_out(spark):
         got.setdefault(r["doc_id"], set()).add(r["area"])
     rest = [i for i in truth if i % 5]
     assert sum(got.get(i, set()) == truth[i] for i in rest) / len(rest) > 0.95
+
+
+def test_sparse_products_narrow_and_wide(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm import latent
+
+    rng = np.random.default_rng(13)
+    a = rng.random((3000, 50)) * (rng.random((3000, 50)) < 0.1)
+    m = rng.standard_normal((50, 6)).astype(np.float32)
+    idx, val = [np.flatnonzero(r).astype(np.int32) for r in a], [r[r != 0].astype(np.float32) for r in a]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(3000, np.int32)), pa.array(idx), pa.array(val)], ["grp", "idx", "val"])
+    for width in (4096, 10):
+        monkeypatch.setattr(latent, "DENSE_WIDTH", width)
+        rows = list(latent._partials({0: m})(iter([batch])))[0].to_pylist()
+        got = np.concatenate([np.frombuffer(r["data"]) for r in sorted(rows, key=lambda r: r["block"])]).reshape(50, 7)
+        assert np.allclose(got[:, :6], a.T @ (a @ m), rtol=1e-3, atol=1e-2) and np.allclose(got[:, 6], a.sum(0), rtol=1e-4)
