@@ -191,7 +191,7 @@ INDEXED = "doc_id long, grp int, idx array<int>, val array<float>, words array<i
 
 def sentence_vectors(words: np.ndarray, lens: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Sum of the word vectors of each sentence; sentences may be empty."""
-    out = np.zeros((len(lens), vectors.shape[1]))
+    out = np.zeros((len(lens), vectors.shape[1]), vectors.dtype)
     ends = np.cumsum(lens)
     full = lens > 0
     if full.any():
@@ -204,18 +204,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 1e-12, norm, 1)
 
 
+SENTENCE_VECTORS = "doc_id long, grp int, n int, data binary"
+
+
+def _sentence_vectors(vectors: dict[int, np.ndarray]):
+    """Arrow map INDEXED to SENTENCE_VECTORS: the number of a document's sentences and their vectors in half
+    precision, computed once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column("grp").to_numpy(zero_copy_only=False)
+            for g in (int(x) for x in np.unique(groups) if int(x) in vectors):
+                part = batch.filter(pa.array(groups == g))
+                lens = part.column("lens")
+                sums = sentence_vectors(part.column("words").flatten().to_numpy(zero_copy_only=False), lens.flatten().to_numpy(zero_copy_only=False).astype(np.int64), vectors[g])
+                n = np.diff(lens.offsets.to_numpy())
+                raw = np.ascontiguousarray(sums.astype(np.float16))
+                offsets = (np.concatenate(([0], np.cumsum(n))) * raw.shape[1] * 2).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grp"), pa.array(n.astype(np.int32)), data], ["doc_id", "grp", "n", "data"])
+
+    return run
+
+
 def _parts(batch: pa.RecordBatch, vectors: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(group, document of each sentence, sentence vectors, rows) of a batch."""
+    """(group, document of each sentence, sentence vectors, rows) of a batch of SENTENCE_VECTORS."""
     groups = batch.column("grp").to_numpy(zero_copy_only=False)
-    for g in np.unique(groups):
-        if int(g) in vectors:
-            part = batch.filter(pa.array(groups == g))
-            lens = part.column("lens")
-            doc = np.repeat(np.arange(part.num_rows), np.diff(lens.offsets.to_numpy()))
-            sums = sentence_vectors(
-                part.column("words").flatten().to_numpy(zero_copy_only=False), lens.flatten().to_numpy(zero_copy_only=False).astype(np.int64), vectors[int(g)]
-            )
-            yield int(g), doc, sums, part
+    for g in (int(x) for x in np.unique(groups) if int(x) in vectors):
+        part = batch.filter(pa.array(groups == g))
+        doc = np.repeat(np.arange(part.num_rows), part.column("n").to_numpy(zero_copy_only=False))
+        sums = np.frombuffer(b"".join(part.column("data").to_pylist()), np.float16).reshape(-1, vectors[g].shape[1]).astype(np.float32)
+        yield g, doc, sums, part
 
 
 def _sums(vectors: dict[int, np.ndarray], k: int, pick):
@@ -228,8 +247,9 @@ def _sums(vectors: dict[int, np.ndarray], k: int, pick):
             for g, doc, sums, part in _parts(batch, vectors):
                 area, add = pick(g, doc, sums, part)
                 keep = area >= 0
-                np.add.at(acc[g][:, :-1], area[keep], add[keep])
-                acc[g][:, -1] += np.bincount(area[keep], minlength=k)[:k]
+                chosen = (area[keep] == np.arange(k)[:, None]).astype(np.float32)
+                acc[g][:, :-1] += chosen @ add[keep]
+                acc[g][:, -1] += chosen.sum(1)
         yield latent.block_rows([(g, 0, 0, a.tobytes()) for g, a in acc.items() if a[:, -1].any()])
 
     return run
@@ -242,7 +262,7 @@ def _collect(rows: DataFrame, run, k: int) -> dict[int, np.ndarray]:
 def assign(unit: np.ndarray, centroids: np.ndarray, low: float, margin: float) -> np.ndarray:
     """Area of each sentence: the nearest centroid, or -1 below the bar, without a lead over the
     second, or where the last row, the centroid of stock remarks, is nearest."""
-    cos = unit @ centroids.T
+    cos = unit @ centroids.T.astype(unit.dtype)
     best = cos.argmax(1)
     top, second = np.take_along_axis(cos, best[:, None], 1)[:, 0], np.partition(cos, -2, axis=1)[:, -2]
     return np.where((top > low) & (top - second > margin) & (best < len(centroids) - 1), best, -1)
@@ -287,18 +307,18 @@ def subject_areas(
     if not vectors or not k:
         return spark.createDataFrame([], "doc_id long, area string")
 
-    total = _collect(rows, _sums(vectors, 1, lambda g, doc, sums, part: (np.zeros(len(doc), np.int64), sums)), 1)
-    mean = {g: t[0, :-1] / max(t[0, -1], 1) for g, t in total.items()}
+    sent_rows = cut(rows.mapInArrow(_sentence_vectors(vectors), SENTENCE_VECTORS), "sentence-vectors")
+    total = _collect(sent_rows, _sums(vectors, 1, lambda g, doc, sums, part: (np.zeros(len(doc), np.int64), sums)), 1)
+    mean = {g: (t[0, :-1] / max(t[0, -1], 1)).astype(np.float32) for g, t in total.items()}
     number = {a: i for i, a in enumerate(names)}
     known_areas = F.create_map(*[x for a, i in number.items() for x in (F.lit(a), F.lit(i))])
     seeds = labels.select("doc_id", known_areas[F.col("area")].alias("label")).dropna().distinct()
-    labelled = rows.select("doc_id", "grp", "words", "lens").join(seeds, "doc_id")
+    labelled = sent_rows.join(seeds, "doc_id")
 
     def seed(g: int, doc: np.ndarray, sums: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return part.column("label").to_numpy(zero_copy_only=False)[doc].astype(np.int64), _unit(sums - mean[g])
 
     centroids = {g: _centroids(s) for g, s in _collect(labelled, _sums(vectors, k + 1, seed), k + 1).items()}
-    sent_rows = rows.select("doc_id", "grp", "words", "lens")
     for step in range(rounds):
         bar = STRICT if step < rounds - 2 else FINAL
         now = dict(centroids)
