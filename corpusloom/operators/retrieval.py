@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions.text import DECLARATIONS, gate, path_hints, word_tokens
 from corpusloom.operators.dense import sum_of
-from corpusloom.operators.search import Lexicon, bm25_blocks, bm25_hits, bm25_of, budget_fold, context_block, dense_top, in_scope, small_side, top_per, with_texts
+from corpusloom.operators.search import Lexicon, bm25_blocks, bm25_hits, bm25_of, budget_fold, context_block, dense_top, in_scope, scoped_requests, small_side, top_per, with_texts
 from corpusloom.session import cut
 
 
@@ -186,8 +186,7 @@ def live_page_fault(base: DataFrame, base_chunks: DataFrame, delta: DataFrame, d
     chunks = base_chunks.select("chunk", "path", "line_start", "line_end", "text", "tokens").unionByName(delta_chunks.select("chunk", "path", "line_start", "line_end", "text", "tokens"))
     if "hints" in queries.columns:
         paths = base_chunks.select("path").unionByName(delta_chunks.select("path")).distinct()
-        flat = queries.select("q", F.explode("hints").alias("h")).where("h <> ''")
-        matched = cut(paths.join(small_side(flat), F.col("path").contains(F.col("h"))).select("q").distinct(), "matched")
+        matched = cut(scoped_requests(paths, queries), "matched")
         inside = cut(queries.join(matched, "q", "left_semi"), "scoped-requests")
         rest = cut(queries.join(matched, "q", "left_anti").drop("hints"), "open-requests")
         cand = live_candidates(base, delta, shadowed, inside, limits, True).unionByName(live_candidates(base, delta, shadowed, rest, limits, False))

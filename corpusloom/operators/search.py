@@ -318,6 +318,27 @@ def in_scope(rows: list) -> Callable:
     return seen_by
 
 
+def scoped_requests(paths: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q): the queries (q, hints) of which some path (path) contains a hint; one narrow pass over the
+    paths for each set of at most SMALL_ROWS queries."""
+    sets = max(1, -(-queries.count() // SMALL_ROWS))
+    found = None
+    for i in range(sets):
+        mine = queries if sets == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(sets)) == i)
+        seen_by = in_scope(mine.select("q", "hints").collect())
+
+        def run(batches: Iterator[pa.RecordBatch], seen_by=seen_by) -> Iterator[pa.RecordBatch]:
+            out: set[int] = set()
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    out.update(seen_by(path).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], ["q"])
+
+        part = paths.select("path").mapInArrow(run, "q long")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
 def _contained(path: str, hints: dict[str, list[int]]) -> Iterator[str]:
     try:
         import ahocorasick

@@ -107,10 +107,3 @@ def search(catalog: dict[str, DataFrame], queries: DataFrame, k: int, probes: in
     if probes is None:
         return dense.dense_top(catalog["vectors"], asked, k)
     return dense.probe(catalog["vectors"], catalog["centroids"], asked, probes, k)
-
-
-def unchanged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Files (path, text) that need no new chunks: those with a row in chunks of the same path whose
-    file hash is the same; chunks must carry file_hash."""
-    known = chunks.select("path", "file_hash").distinct()
-    return files.withColumn("file_hash", F.sha2("text", 256)).join(known, ["path", "file_hash"], "left_semi")
