@@ -93,12 +93,13 @@ def defines(text: Column | str, symbol: str) -> Column:
 
 
 def defined_symbols(text: Column | str) -> Column:
-    """Distinct names that a text defines, in lower case: the inverse of `defines`, which turns a
-    search for definitions of many symbols into an equi-join."""
+    """Distinct names that a text defines, in lower case, as whole runs of letters, digits and underscores:
+    the inverse of `defines`, which turns a search for definitions of many symbols into an equi-join."""
     low = F.lower(_column(text))
-    keys = "|".join(DECLARATIONS)
-    declared = F.regexp_extract_all(low, F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{keys})[ \t]+([a-z_][a-z0-9_]*)"), F.lit(1))
-    assigned = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_])([a-z_][a-z0-9_]*)[ \t]*(?:=(?!=)|:(?!:))"), F.lit(1))
+    keys, name = "|".join(DECLARATIONS), r"[\p{L}\p{N}_]+"
+    # The name is only looked at, since it may itself be the keyword before another name.
+    declared = F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{keys})[ \t]+(?=({name}))"), F.lit(1))
+    assigned = F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({name})[ \t]*(?:=(?!=)|:(?!:))"), F.lit(1))
     return F.array_distinct(F.concat(declared, assigned))
 
 

@@ -217,6 +217,14 @@ def hybrid_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(retrieval.hybrid_fault(vectors, chunks, asked, LIMITS))
 
 
+@REGISTRY.query("request_definitions")
+def request_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that define a word of a request: an equi-join on the names that each chunk defines."""
+    words = requests(spark, sf_dir).select("q", F.explode(F.array_distinct(T.word_tokens("text"))).alias("symbol")).where("octet_length(symbol) >= 4")
+    names = catalog(spark, sf_dir).select("chunk", F.explode(T.defined_symbols("text")).alias("symbol"))
+    return names.join(search.small_side(words), "symbol").select("q", "symbol", "chunk")
+
+
 LIVE_ROWS = r"""edits AS (SELECT regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') AS path, arg_max(struct_pack(c := content), struct_pack(a := created_at, p := patch_id, c := coalesce(content, ''))).c AS text
   FROM code_patches WHERE relative_path IS NOT NULL AND patch_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1)"""
 

@@ -61,6 +61,17 @@ def test_defines(spark):
     assert [bool(r["d"]) for r in rows] == [True] * 6 + [False] * 7
 
 
+def test_defined_symbols_are_what_defines_finds(spark):
+    texts = ["static const depth = 4\nlet ring: u8", "fn Push_Ring(q) {\n  q == 2; a::b = 3 }", "type größe = 1\nx : y :: z", "", None, "enum\tKind { A, B = 2 }"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["s"] for r in rows.select(T.defined_symbols("t").alias("s")).collect()]
+    names = {n for g in got if g for n in g} | {"q", "a", "z", "u8", "static"}
+    for n in names:
+        want = [bool(r["d"]) for r in rows.select(T.defines("t", n).alias("d")).collect()]
+        assert [bool(g) and n in g for g in got] == want, n
+    assert set(got[0]) == {"const", "depth", "ring"}
+
+
 def test_embedder_id(spark):
     assert one(spark, "local:wide-dmodel-d640", T.embedder_dim) == 640
     assert one(spark, "local:wide-dmodel-d640", T.embedder_server) == "local"
