@@ -22,6 +22,11 @@ prev AS (SELECT r.run_id, o.node_id, arg_max(o.content_hash, o.observed_at) AS h
 """
 
 
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the changes of a source are kept."""
+    return f"{shared_dir(spark).rstrip('/')}/run-changes-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 @REGISTRY.query(
     "p7_found",
     STATES + "SELECT n.run_id, n.node_id FROM now n LEFT JOIN prev p USING (run_id, node_id) WHERE p.h IS NULL OR p.h <> n.h",
@@ -29,9 +34,7 @@ prev AS (SELECT r.run_id, o.node_id, arg_max(o.content_hash, o.observed_at) AS h
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept in the shared folder under the name of its source: a further call computes only the
     partitions whose observations have changed since."""
-    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark).rstrip('/')}/run-changes-{name}"
-    return inc.refreshed_run_changes(table(spark, sf_dir, "dag_nodes"), table(spark, sf_dir, "sync_runs"), path)
+    return inc.refreshed_run_changes(table(spark, sf_dir, "dag_nodes"), table(spark, sf_dir, "sync_runs"), stored_path(spark, sf_dir))
 
 
 @REGISTRY.query(
