@@ -28,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.llm.boruvka import components, contracted, spanning_forest, spanning_tree
-from corpusloom.llm.forest import CELL_BITS, FIT_ROWS, Forest, binary_column, blocks, code_matrix, from_codes, matrix, rows_by_dim, sorted_trees, stretches, to_codes
+from corpusloom.llm.forest import CELL_BITS, Forest, binary_column, blocks, code_matrix, from_codes, matrix, rows_by_dim, sorted_trees, stretches, to_codes
 from corpusloom.session import cut
 
 SMOOTHED = "id long, dim int, code binary"
@@ -94,21 +94,56 @@ def smoothed(window: int, nearest: int):
     return run
 
 
-def typical_fit(table: DataFrame, rows: int) -> dict[int, float]:
-    """For each dimension the median cosine of own and smoothed vectors, over a sample chosen by
-    the hash of the id, of about FIT_ROWS rows."""
+def typical_fit(table: DataFrame) -> dict[int, float]:
+    """For each dimension the median cosine of own and smoothed vectors over all rows: the smallest
+    that at least half of them do not exceed. The cosines' bits, as integers of the same order,
+    are counted by their upper half, then those of the median's upper half by their lower one;
+    what returns are at most 2^16 counts a dimension, whatever the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 y, x = halves(code_matrix(batch.filter(pa.array(dims == d)).column("code")), int(d))
-                fit = (x * y).sum(1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fit), d, np.int32)), pa.array(fit)], ["dim", "fit"])
+                bits = (x * y).sum(1).astype(np.float32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), d, np.int32)), pa.array(in_order(bits))], ["dim", "place"])
+
+    places = cut(table.select("dim", "code").mapInArrow(run, "dim int, place int"), "fits")
+    upper, lower = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF)
+    high = {d: at_rank(c, (sum(c.values()) + 1) // 2) for d, c in _counts(places, upper).items()}
+    if not high:
+        return {}
+    middle = F.lit(False)
+    for d, (half, _) in high.items():
+        middle = middle | ((F.col("dim") == d) & (upper == half))
+    out = {}
+    for d, c in _counts(places.where(middle), lower).items():
+        half, rank = high[d]
+        place = np.array([half << 16 | at_rank(c, rank)[0]], np.int32)
+        out[d] = float(in_order(place).view(np.float32)[0])
+    return out
+
+
+def in_order(bits: np.ndarray) -> np.ndarray:
+    """The bits of 32-bit floats as integers of the same order; applied again, the bits."""
+    return bits ^ (bits >> 31 & 0x7FFFFFFF)
+
+
+def _counts(places: DataFrame, part: Column) -> dict[int, dict[int, int]]:
+    """dim -> value of `part` -> number of rows."""
+    out: dict[int, dict[int, int]] = {}
+    for r in places.groupBy("dim", part.alias("part")).count().collect():
+        out.setdefault(r["dim"], {})[r["part"]] = r["count"]
+    return out
+
 
-    step = max(1, -(-rows // FIT_ROWS))
-    fits = table.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).mapInArrow(run, "dim int, fit double")
-    return {r["dim"]: r["fit"] for r in fits.groupBy("dim").agg(F.percentile_approx("fit", 0.5).alias("fit")).collect()}
+def at_rank(counts: dict[int, int], rank: int) -> tuple[int, int]:
+    """The value at a rank, from 1, of counted values, and the rank among those equal to it."""
+    for value in sorted(counts):
+        if rank <= counts[value]:
+            return value, rank
+        rank -= counts[value]
+    raise ValueError("rank beyond the counts")
 
 
 def reachability_graph(window: int, core: int, near: int, edges: int, fit: dict[int, float]):
@@ -286,7 +321,7 @@ def density_clusters(
             forest, smoothed_no = by_smoothed.some(smoothed_no, 1), smoothed_no + 1
         table = cut(sorted_trees(table, forest, codes=True, own=own).mapInArrow(smoothed(width, nearest), SMOOTHED), "smoothed")
     by_smoothed = by_smoothed or Forest.fit(table, total, seed + 1, "code", np.int8, counts)
-    fit = typical_fit(table, sum(counts.values()))
+    fit = typical_fit(table)
     trees = sorted_trees(table, by_smoothed.some(smoothed_no, TREES), codes=True)
     graph = cut(trees.mapInArrow(reachability_graph(window, core, near, edges, fit), GRAPH), "graph")
     cores = graph.where("other IS NULL").groupBy("id").agg(F.min("w").alias("core"))

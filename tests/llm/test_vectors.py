@@ -266,6 +266,22 @@ def test_core_distances_see_every_row_of_the_window(size):
     assert max(got[i] for i in range(at, at + size)) < 0.4 < min(got[i] for i in range(n) if not at <= i < at + size)
 
 
+def test_usual_fit_is_the_median_of_all_rows(spark):
+    # Three rows of one dimension beside many of another; more rows than any sample held.
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim, n in ((3, 3), (4, 45_000), (5, 1_000)):
+        code = rng.integers(-127, 128, (n, 2 * dim)).astype(np.int8)
+        y, x = clusters.halves(code, dim)
+        want[dim] = np.sort((x * y).sum(1))[(n - 1) // 2]
+        rows += [(len(rows) + i, dim, c.tobytes()) for i, c in enumerate(code)]
+    table = spark.createDataFrame(rows, clusters.SMOOTHED)
+    got = clusters.typical_fit(table)
+    assert got == {d: float(f) for d, f in want.items()}
+    assert got == clusters.typical_fit(table.repartition(7))
+    assert clusters.typical_fit(table.where("false")) == {}
+
+
 def test_a_third_of_one_vector_does_not_stop_clusters(spark):
     rng = np.random.default_rng(5)
     _, x = groups(rng, 600, 32, 3)
