@@ -123,18 +123,40 @@ def catalog_totals(chunks: DataFrame) -> DataFrame:
     )
 
 
+def page_count(page: int) -> Column:
+    """Number of pages of a file of `size` bytes."""
+    return F.ceil(F.col("size") / F.lit(page)).cast("int")
+
+
 def layer_pages(files: DataFrame, page: int) -> DataFrame:
     """(file, page_no, start, length): fixed-size pages of files (file, size); empty files have none."""
-    n = F.ceil(F.col("size") / F.lit(page)).cast("int")
+    n = page_count(page)
     rows = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_no"))
     start = F.col("page_no").cast("long") * page
     return rows.select("file", "page_no", start.alias("start"), F.least(F.lit(page).cast("long"), F.col("size") - start).alias("length"))
 
 
+# Pages a task gives, tasks at most, pages dealt to a task together, pages a task holds at once.
+TASK_PAGES, PAGE_TASKS, RUN_PAGES, STEP_PAGES = 1 << 22, 20_000, 1 << 14, 1 << 6
+
+
+def spread_pages(files: DataFrame, page: int) -> DataFrame:
+    """(file, page_no): the pages of files (file, size), the work in proportion to the pages. A file is a
+    short row and may have any number of pages, so runs of pages are dealt over as many tasks as the
+    total asks for; a task sorts its steps, which keeps the expansion of one from joining the next's."""
+    rows = files.where("size > 0").select("file", page_count(page).alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    end = lambda x, size: F.col(x) + F.least(F.col("n") - F.col(x), F.lit(size)) - 1
+    runs = rows.select("file", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN_PAGES))).alias("run"))
+    dealt = runs.repartition(min(PAGE_TASKS, max(1, -(-total // TASK_PAGES))))
+    steps = dealt.select("file", "n", F.explode(F.sequence("run", end("run", RUN_PAGES), F.lit(STEP_PAGES))).alias("step")).sortWithinPartitions("file", "step")
+    return steps.select("file", F.explode(F.sequence("step", end("step", STEP_PAGES))).alias("page_no"))
+
+
 def layer_files(files: DataFrame, page: int = 512 << 20) -> DataFrame:
     """(file, layer): layers that model files (file, size) hold. A .gguf file has one for each page; of
     other files those named layer_N have layer N, however often they are listed."""
-    single = layer_pages(files.where(F.col("file").endswith(".gguf")), page).select("file", F.col("page_no").alias("layer"))
+    single = spread_pages(files.where(F.col("file").endswith(".gguf")), page).withColumnRenamed("page_no", "layer")
     named = files.where(~F.col("file").endswith(".gguf")).select("file", F.regexp_extract("file", r"layer_([0-9]+)[^/]*$", 1).try_cast("int").alias("layer"))
     return single.unionByName(named.where("layer IS NOT NULL").distinct())
 

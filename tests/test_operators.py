@@ -452,3 +452,13 @@ def test_model_layers_and_snapshots(spark):
     assert {tuple(r) for r in graph.layer_files(files, 512).collect()} == {("m/x.gguf", 0), ("m/x.gguf", 1), ("m/x.gguf", 2), ("m/layer_7.bin", 7)}
     one, two = (spark.createDataFrame(r, "k long, digest string") for r in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "d"), (4, "e")]))
     assert {tuple(r) for r in graph.snapshot_changes(one, two, ["k"]).collect()} == {(1, "removed"), (2, "same"), (3, "changed"), (4, "added")}
+
+
+def test_layers_are_dealt_evenly(spark):
+    sizes = {f"{n}.gguf": n for n in (1, 63, 64, 65, 16383, 16384, 16385, 40000)}
+    got = graph.layer_files(spark.createDataFrame(list(sizes.items()), "file string, size long"), 1)
+    assert got.dtypes == [("file", "string"), ("layer", "int")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f, i) for f, n in sizes.items() for i in range(n))
+    one = graph.layer_files(spark.createDataFrame([("a.gguf", 9 << 20)], "file string, size long"), 1)
+    at = [r[1] for r in one.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(at) == 9 << 20 and max(at) <= 4 << 20
